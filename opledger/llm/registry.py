@@ -3,13 +3,33 @@
 from __future__ import annotations
 
 from opledger.llm.common import table
+from opledger.llm.decontamination import decontaminate
 from opledger.llm.packing import pack_documents
+from opledger.llm.quality_model import score_quality
+from opledger.llm.quality_rules import quality_rules
+from opledger.llm.toxicity import score_toxicity
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_packing": op7_packing}
+def op8_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_packing, op8_toxicity, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
