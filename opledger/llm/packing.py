@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from opledger.llm import kk
 from opledger.llm.common import bounded_batches, task_index
-from opledger.llm.subwords import WordEncoder
+from opledger.llm.subwords import word_encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -84,7 +84,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: i
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = word_encoder(path)
         packer, held = Packer(task_index() << 36, capacity, piece), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

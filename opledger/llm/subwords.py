@@ -6,12 +6,16 @@ are its words' ids one after another; each distinct word is encoded once.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
 #: Words held; a full cache starts afresh, which bounds a worker's memory.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 #: What may follow a word's letters: ASCII punctuation but the apostrophe, which can begin a token of its own.
@@ -70,45 +74,80 @@ class WordCache:
         return self.flat[where], count
 
 
+def _raw_bytes() -> dict[str, int]:
+    """The byte that each printable stand-in of a byte-level vocabulary means."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def _word_end_ranks(path: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """The file's merges as byte ranks, a space standing for the word end, and the id of each rank.
+
+    Every last byte joins its word end before any merge of the file, which the
+    lowest ranks ensure; then merges follow in the file's order.
+    """
+    model = json.loads(Path(path).read_text())["model"]
+    raw, end = _raw_bytes(), model["end_of_word_suffix"]
+
+    def to_bytes(token: str) -> bytes:
+        return bytes(map(raw.__getitem__, token.removesuffix(end))) + (b" " if token.endswith(end) else b"")
+
+    singles = [c for c, _ in sorted(raw.items(), key=lambda x: x[1])]
+    order = singles + [c + end for c in singles]
+    order += [a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    ranks: dict[bytes, int] = {}
+    ids = np.zeros(len(order), dtype=np.int64)
+    for rank, token in enumerate(order):
+        ranks.setdefault(to_bytes(token), rank)
+        ids[rank] = model["vocab"][token]
+    return ranks, ids
+
+
 class WordEncoder:
     """Ids of a UTF-8 text by a lower-casing word-end BPE file, without special tokens.
 
     Words of letters with punctuation behind are one or two tokens before BPE;
-    they are encoded in one text and told apart by their word-end ids.  Any other
-    word is encoded by itself.
+    they are merged together by ranks and told apart by their word-end ids.  Any
+    other word goes through the file's own normaliser and splitter by itself.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        ranks, self.id_of = _word_end_ranks(path)
+        self.merge = tiktoken.Encoding("word-end", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ends = np.zeros(len(self.id_of), dtype=bool)
+        self.ends[[rank for token, rank in ranks.items() if len(token) > 1 and token.endswith(b" ")]] = True
         self.cache = WordCache(self._encode, limit)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        simple, parts, other = [], [], []
+        simple, pieces, parts, other = [], [], [], []
         for k, w in enumerate(words):
             core = w.rstrip(TAIL)
-            if core.isalpha() or core and core.decode("utf-8", "replace").isalpha():
+            if core.isalpha() and core.islower() or core and _plain_letters(core):
                 simple.append(k)
-                parts.append(2 if len(core) < len(w) else 1)
+                pieces.append(core)
+                if len(core) < len(w):
+                    pieces.append(w[len(core) :])
+                    parts.append(2)
+                else:
+                    parts.append(1)
             else:
                 other.append(k)
         count = np.zeros(len(words), dtype=np.int64)
-        encode = self.tokenizer.encode_batch_fast
-        together = np.array(encode([b" ".join([words[k] for k in simple]).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.int64) if simple else np.zeros(0, dtype=np.int64)
-        last = np.flatnonzero(self.ends[together])
-        want = np.cumsum(parts, dtype=np.int64) - 1 if simple else np.zeros(0, dtype=np.int64)
-        if len(last) != (int(want[-1]) + 1 if simple else 0):  # some rule of the file told the words apart differently
-            other, simple, together = list(range(len(words))), [], together[:0]
-        else:
-            bounds = last[want] + 1 if simple else last
+        together = np.zeros(0, dtype=np.int64)
+        if simple:
+            pieces.append(b"")
+            rank = np.array(self.merge(b" ".join(pieces).decode("utf-8")), dtype=np.int64)
+            bounds = np.flatnonzero(self.ends[rank])[np.cumsum(parts) - 1] + 1
             count[simple] = np.diff(bounds, prepend=0)
-        alone = [e.ids for e in encode([words[k].decode("utf-8", "replace") for k in other], add_special_tokens=False)] if other else []
+            together = self.id_of[rank]
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in other], add_special_tokens=False)] if other else []
         count[other] = [len(x) for x in alone]
         out = np.empty(int(count.sum()), dtype=np.int64)
         begin = np.cumsum(count) - count
@@ -121,3 +160,18 @@ class WordEncoder:
 
     def __call__(self, text: bytes) -> np.ndarray:
         return self.cache.ids(self.cache.numbers(text.lower().split()))[0]
+
+
+def _plain_letters(core: bytes) -> bool:
+    """True for letters that the file's normaliser leaves as they are."""
+    try:
+        text = core.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder, with its cache, for all tasks of a worker process."""
+    return WordEncoder(path)
