@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from opledger.llm.common import table
 from opledger.llm.decontamination import decontaminate
+from opledger.llm.near_duplicates import near_duplicates
 from opledger.llm.packing import pack_documents
 from opledger.llm.quality_model import score_quality
 from opledger.llm.quality_rules import quality_rules
@@ -30,6 +31,10 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_packing, op8_toxicity, op9_decontamination)}
+def op10_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_packing, op8_toxicity, op9_decontamination, op10_near_duplicates)}
 
 ORACLE_SQL: dict[str, str] = {}
