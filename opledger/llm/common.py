@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opledger.shipping import ship
+
 #: Rows of one Arrow batch: bounds a Python worker's memory on tables of long texts.
 BATCH_ROWS = 512
 
@@ -22,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small; lowers the session's limit, never raises it."""
+    """Keep Arrow batches of texts small; lowers the session's limit, never raises it.
+
+    Also sends the package to workers that lack it.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
