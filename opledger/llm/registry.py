@@ -5,6 +5,7 @@ from __future__ import annotations
 from opledger.llm import licenses, urls
 from opledger.llm.common import table
 from opledger.llm.decontamination import decontaminate
+from opledger.llm.extraction import extract_text
 from opledger.llm.lm_scoring import score_texts
 from opledger.llm.near_duplicates import near_duplicates
 from opledger.llm.packing import pack_documents
@@ -21,6 +22,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,6 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_lm_scoring, op5_license_scan, op6_url_filter, op7_packing, op8_toxicity, op9_decontamination, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_html_extraction, op4_lm_scoring, op5_license_scan, op6_url_filter, op7_packing, op8_toxicity, op9_decontamination, op10_near_duplicates)}
 
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.ORACLE, "op6_url_filter": urls.ORACLE}
