@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+BOOKS = ("kv", "shards")
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for b in BOOKS for name, f in import_module(f"opledger.plans.{b}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for b in BOOKS for name, sql in import_module(f"opledger.plans.{b}").ORACLE.items()}
