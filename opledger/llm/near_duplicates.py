@@ -9,10 +9,11 @@ falls into one register; a register keeps its earliest point.  Two texts agree i
 a register with the probability of their weighted Jaccard similarity.
 
 Texts that share a band meet in its bucket.  Each bucket's hub, the member that
-meets most others, is compared with the members, and buckets whose members are
-then still in different components are compared across components; every pair of
-different texts that shares a bucket is so compared or already connected.  Exact
-copies are one node throughout.
+meets most others, is compared with the members.  Where a bucket's members are
+then still in different components, those outside the hub's component are held
+against the others in blocks, of which only links come out.  So every pair of
+similar texts that shares a bucket is compared or already connected.  Exact copies
+are one node throughout.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ REGISTERS = BANDS * ROWS
 BROADCAST_KEYS = 200_000
 #: Members compared with one copy of their hub's text.
 PER_HUB = 256
+#: Members, and members outside the hub's component, of a bucket that one task holds against each other.
+BLOCK = 1024
 CACHE_WORDS = 300_000
 
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -211,6 +214,59 @@ def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return laid.select("hub", "part", "a", "text").mapInArrow(run, "a binary, b binary")
 
 
+def _across(placed: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between components, of texts that share a bucket.
+
+    ``placed`` has ``(h, node, root, out)`` of buckets whose members are not all in
+    the hub's component; ``out`` marks those outside.  A bucket's outsiders and its
+    members are dealt into blocks of ``BLOCK``, and a task takes a block of either:
+    it holds the outsiders while the members pass.  A pair is compared in the first
+    bucket that it shares, and no more once the outsider is linked to the other's
+    component.  Only links leave the task.
+    """
+    blocks = placed.groupBy("h").agg(F.count("*").alias("n"), F.count_if("out").alias("outs"))
+    blocks = blocks.select("h", (F.col("n") / BLOCK).cast("int").alias("mb"), (F.col("outs") / BLOCK).cast("int").alias("ob"))
+    rows = placed.join(blocks, "h").withColumn("own", F.xxhash64("node"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n))
+    as_out = rows.filter("out").withColumn("o", F.pmod("own", F.col("ob") + 1).cast("int")).withColumn("m", F.explode(every("mb"))).withColumn("member", F.lit(False))
+    as_member = rows.withColumn("m", F.pmod("own", F.col("mb") + 1).cast("int")).withColumn("o", F.explode(every("ob"))).withColumn("member", F.lit(True))
+    texts_of = candidates.join(nodes.select("node", "bands"), "node").select("node", "text", "bands")
+    laid = as_out.unionByName(as_member).select("h", "o", "m", "member", "node", "root", "out").join(texts_of, "node")
+    laid = laid.repartition("h", "o", "m").sortWithinPartitions("h", "o", "m", "member").select("h", "o", "m", "member", "node", "root", "out", "bands", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, key, outs, grid, linked = Shingles(), None, [], None, []
+        for batch in batches:
+            found: list[tuple] = []
+            for h, o, m, member, node, root, out, bands, text in zip(*(batch.column(k).to_pylist() for k in range(8)), batch.column(8), strict=True):
+                if (h, o, m) != key:
+                    key, outs, grid, linked = (h, o, m), [], None, []
+                bands = np.frombuffer(bands, dtype="<i8")
+                if not member:
+                    outs.append((node, root, bands, shingles(text.as_py())))
+                    linked.append(set())
+                    continue
+                if not outs:
+                    continue
+                if grid is None:
+                    grid = np.stack([x[2] for x in outs])
+                same = grid == bands
+                here = int(np.flatnonzero(bands == h)[0])
+                bag = None
+                for k in np.flatnonzero(same[:, here] & (same.argmax(axis=1) == here)).tolist():
+                    a, a_root, _, a_bag = outs[k]
+                    if a_root == root or root in linked[k] or out and a >= node:
+                        continue
+                    bag = bag or shingles(text.as_py())
+                    if similarity(a_bag, bag) >= SIMILARITY:
+                        linked[k].add(root)
+                        found.append((a, node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    return laid.mapInArrow(run, "a binary, b binary")
+
+
 def _picked(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row with its text for each wanted node."""
     keys = wanted.join(nodes.select("node", F.col("doc_id").alias("least")), "node")
@@ -233,15 +289,14 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
 
     placed = members.select("h", "node").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    hub_root = heavy.join(roots, heavy.hub == roots.node, "left").select("h", "hub", F.coalesce("root", "hub").alias("hub_root"))
-    placed = placed.join(hub_root, "h")
-    outside = placed.filter("root <> hub_root").select("h", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    others = placed.join(outside.select("h").distinct(), "h", "left_semi").select("h", F.col("node").alias("b"), F.col("root").alias("b_root"), "hub", "hub_root")
-    across = outside.join(others, "h").filter("a_root <> b_root and b <> hub and (b_root = hub_root or a < b)").select("a", F.col("b").alias("hub")).distinct()
-    more = materialised(_verified(across, candidates))
+    hub_root = heavy.join(roots, heavy.hub == roots.node, "left").select("h", F.coalesce("root", "hub").alias("hub_root"))
+    apart = placed.join(hub_root, "h").withColumn("out", F.col("root") != F.col("hub_root"))
+    mixed = apart.filter("out").select("h").distinct()
+    left = materialised(apart.join(mixed, "h", "left_semi").select("h", "node", "root", "out"))
+    more = materialised(_across(left, nodes, candidates))
     all_links = materialised(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(more))
     out = components(all_links)
-    for t in (members, pairs, candidates, links, more, all_links):
+    for t in (members, pairs, candidates, links, left, more, all_links):
         dropped(t)
     return nodes, out
 
