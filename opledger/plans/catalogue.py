@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-BOOKS = ("kv", "shards")
+BOOKS = ("kv", "shards", "ratelimit", "placement")
 
 
 def queries() -> dict:

@@ -17,7 +17,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint"))
 
 
-EVENTS = """ev AS (SELECT *, epoch_ms(ts) AS ts_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+EVENTS = """ev AS (SELECT *, epoch_us(ts) // 1000 AS ts_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"""
 
 
