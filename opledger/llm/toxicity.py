@@ -3,12 +3,14 @@
 Features are the character n-grams of the restored words, hashed.  The labelled
 training rows give each feature the documents of either label that hold it; a
 feature whose excess of toxic documents is significant weighs its log odds.  A
-document's weights are summed over its distinct words, divided by the root of
-their number, and a logistic curve fitted on labelled rows makes a probability.
+document's distinct words are summed up, each by its own weights, and the sum over
+the root of their number, the strongest word, the strongest three and eight make a
+probability by a logistic curve fitted on labelled rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +26,10 @@ from opledger.llm.common import bounded_batches, crc_bucket, long_id, map_batche
 #: Hashed features; n-gram lengths (a word's edges count); words whose sums a worker holds.
 BITS, NGRAMS, CACHE_WORDS = 17, (3, 4, 5, 6), 300_000
 #: Standard deviations by which the toxic documents of a feature must exceed chance, and its least documents.
-LEAST_Z, LEAST_DOCS = 6.0, 4
-#: Labelled rows, the first by a hash of their id, on which the logistic curve is fitted.
-CURVE_ROWS = 20_000
-SLICES = 64
+LEAST_Z, LEAST_DOCS = 4.0, 4
+#: Labelled rows, the first by a hash of their id, on which weights and curve are fitted.
+TRAIN_ROWS = 20_000
+SLICES, INPUTS = 64, 6
 
 SCHEMA = T.StructType([long_id(), T.StructField("held_out", T.BooleanType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
 
@@ -81,7 +83,7 @@ class ToxicModel:
 
     chars: CharModel
     weights: np.ndarray
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    curve: tuple = (0.0,) * (1 + INPUTS)
 
 
 class Scorer:
@@ -107,7 +109,8 @@ class Scorer:
         feature, word = ngram_features(parts)
         return np.bincount(np.array(owner)[word], weights=self.model.weights[feature], minlength=len(readings))
 
-    def pooled(self, text: str) -> tuple[float, float]:
+    def pooled(self, text: str) -> list[float]:
+        """The curve's inputs: what the words' sums come to, and how strong the strongest are."""
         words = self.reader.words(text)
         known = self.known
         if new := [w for w in words if w not in known]:
@@ -115,19 +118,16 @@ class Scorer:
             self._learn(new)
             if len(known) < before + len(new):
                 self._learn([w for w in words if w not in known])
-        total = sum(map(known.__getitem__, words))
+        sums = [x for x in map(known.__getitem__, words) if x > 0]
         if runs := self.reader.runs(text):
-            total += float(self._sums(runs).sum())
-        return total, float(len(words))
+            sums += self._sums(runs).tolist()
+        sums.sort(reverse=True)
+        total = sum(sums)
+        return [total / (len(words) + 4) ** 0.5, math.log1p(total), sums[0] if sums else 0.0, sum(sums[:3]) / 3, sum(sums[:8]) / 8, math.log1p(len(words))]
 
     def score(self, text: str) -> float:
-        a, b, c = self.model.curve
-        x = _inputs(*self.pooled(text))
-        return float(1 / (1 + np.exp(-np.clip(a + b * x[0] + c * x[1], -50, 50))))
-
-
-def _inputs(total: float, words: float) -> tuple[float, float]:
-    return total / np.sqrt(words + 4), np.log1p(max(total, 0.0))
+        z = self.model.curve[0] + sum(w * x for w, x in zip(self.model.curve[1:], self.pooled(text), strict=True))
+        return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
 
 def _char_counts(docs: DataFrame) -> np.ndarray:
@@ -150,14 +150,13 @@ def _whole(parts: list[bytes], per: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype=np.float64) if x else np.zeros(per) for x in parts])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Two-input logistic regression by Newton steps, with a slight pull to 0."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple:
+    """Logistic regression by Newton steps, with a slight pull to 0."""
     if len(y) == 0 or y.min() == y.max():
-        return (float(-4 + 8 * (y.mean() if len(y) else 0)), 0.0, 0.0)
+        return (float(-4 + 8 * (y.mean() if len(y) else 0)), *[0.0] * INPUTS)
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    pull = np.diag([1e-3, 3e-2, 3e-2])
-    for _ in range(30):
+    w, pull = np.zeros(1 + INPUTS), np.diag([1e-3] + [3e-2] * INPUTS)
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (p - y) + pull @ w
         h = (a * (p * (1 - p))[:, None]).T @ a + pull
@@ -175,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5) -> ToxicM
     bounded_batches(spark)
     chars = CharModel(_char_counts(docs))
     told = labels.filter("toxic is not null").filter(crc_bucket("doc_id", held_out_of) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(told, "doc_id").select("doc_id", "text", "toxic")
+    few = F.broadcast(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS))  # a fixed number of rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id").select("doc_id", "text", "toxic")
     shared, per = spark.sparkContext.broadcast(chars), (2 << BITS) // (SLICES - 1) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,16 +214,16 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5) -> ToxicM
     seen = _whole(summed(rows.mapInArrow(count, "slice int, vec binary"), SLICES), per)
     model = ToxicModel(chars, _weights(seen[: 1 << BITS], seen[1 << BITS : 2 << BITS], seen[-2], seen[-1]))
     model_shared = spark.sparkContext.broadcast(model)
-    few = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model_shared.value)
         for batch in batches:
-            got = [_inputs(*scorer.pooled(t)) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(2)], ["a", "b", "toxic"])
+            got = np.array([scorer.pooled(t) for t in texts(batch.column(1))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(got[:, k]) for k in range(INPUTS)), batch.column(2)], names=[*(f"x{k}" for k in range(INPUTS)), "toxic"])
 
-    got = rows.join(few.select("doc_id"), "doc_id", "left_semi").mapInArrow(pool, "a double, b double, toxic int").toPandas()
-    model.curve = _logistic(got[["a", "b"]].to_numpy(dtype=float), (got["toxic"] > 0).to_numpy(dtype=float))
+    names = [f"x{k}" for k in range(INPUTS)]
+    got = rows.mapInArrow(pool, ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas()
+    model.curve = _logistic(got[names].to_numpy(dtype=float), (got["toxic"] > 0).to_numpy(dtype=float))
     return model
 
 
