@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-BOOKS = ("kv", "shards", "ratelimit", "placement")
+BOOKS = ("kv", "shards", "ratelimit", "placement", "textsim")
 
 
 def queries() -> dict:
