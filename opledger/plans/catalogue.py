@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-BOOKS = ("kv", "shards", "ratelimit", "placement", "textsim")
+BOOKS = ("kv", "shards", "ratelimit", "placement", "textsim", "jobs")
 
 
 def queries() -> dict:
