@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-BOOKS = ("kv", "shards", "ratelimit", "placement", "textsim", "jobs")
+BOOKS = ("kv", "shards", "ratelimit", "placement", "textsim", "jobs", "serving", "reports", "audit")
 
 
 def queries() -> dict:
