@@ -67,7 +67,7 @@ def disguised(core: str) -> bool:
 
 
 def _choices(core: str) -> list[list[tuple[str, float]]]:
-    out, k, n = [], 0, len(core)
+    out, k, n, spread = [], 0, len(core), _SPREAD.match(core) is not None
     while k < n:
         ch = core[k]
         if ch.isalpha():
@@ -82,7 +82,7 @@ def _choices(core: str) -> list[list[tuple[str, float]]]:
             k = run
             continue
         options = [(x, COST_LIKE) for x in LOOKALIKE.get(ch, "")]
-        if ch in SEPARATORS:
+        if ch in SEPARATORS and (spread or ch not in MASKS):
             options.append(("", COST_DROP))
         if ch in MASKS:
             options += [(chr(x), COST_MASK) for x in range(97, 123)]
