@@ -21,8 +21,6 @@ ALONE, GROUPS, UNITS_ALONE = 192, 64, 1024
 CLASSES, UNITS = ALONE + GROUPS, UNITS_ALONE + GROUPS
 #: Windows computed at once: their arrays stay in a core's cache.
 BATCH = 32
-#: Logits up to here need no shift before exp in single precision.
-LARGE = 60.0
 
 SHAPES = (("emb", (UNITS, WIDTH)), ("pos", (LENGTH, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wkv", (WIDTH, 2 * WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, INNER)), ("b1", (INNER,)), ("w2", (INNER, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES,)))
 SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
@@ -55,7 +53,7 @@ class Vocabulary:
         unit_of[rank[:UNITS_ALONE]] = np.arange(UNITS_ALONE)
         mine = counts + 0.1
         share = mine / np.bincount(class_of, weights=mine, minlength=CLASSES)[class_of]
-        return cls(class_of, unit_of, np.log(share))
+        return cls(class_of.astype(np.int32), unit_of.astype(np.int32), np.log(share))
 
 
 def initial(seed: int = 5) -> np.ndarray:
@@ -80,24 +78,12 @@ def bigram_logits(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 30 * all_ / all_.sum()) / (counts.sum(1, keepdims=True) + 30)).astype(np.float32)
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start (against the document's first position) and document of every window.
-
-    A document of ``n`` tokens has positions 0 (its start mark) to n; the window
-    at ``a`` reads positions a .. a+LENGTH-1 and scores what follows the last
-    ``SCORED`` of them.
-    """
-    per = -(-lengths // SCORED)
-    doc = np.repeat(np.arange(len(lengths)), per)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    return k * SCORED - CONTEXT, doc
-
-
 class Model:
     def __init__(self, flat: np.ndarray, bigram: np.ndarray):
-        self.p, self.bigram = unpacked(flat), bigram
+        self.p = unpacked(flat)
+        self.prior = bigram + self.p["bias"]
 
-    def forward(self, units: np.ndarray, keep: bool = False):
+    def forward(self, units: np.ndarray, keep: bool = False, shift: bool = True):
         """Class logits at the scored positions; units below 0 are not there and are masked."""
         p, n = self.p, len(units)
         gone = units < 0
@@ -110,37 +96,43 @@ class Model:
         a += _MASK
         if gone.any():
             a += np.where(gone, np.float32(-1e9), np.float32(0))[:, None, :]
-        if a.max() > LARGE:
+        if shift:
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        each = a.sum(axis=2, keepdims=True)
         if keep:
-            a /= each
+            a /= a.sum(axis=2, keepdims=True)
             c = np.matmul(a, v).reshape(-1, WIDTH)
-        else:
-            c = (np.matmul(a, v) / each).reshape(-1, WIDTH)
+        else:  # a column of ones beside the values adds up the weights
+            c = np.matmul(a, np.concatenate([v, np.ones((n, LENGTH, 1), dtype=np.float32)], axis=2)).reshape(-1, WIDTH + 1)
+            c = c[:, :WIDTH] / c[:, WIDTH:]
         y = xs.reshape(-1, WIDTH) + c @ p["wo"]
         u = np.maximum(y @ p["w1"] + p["b1"], 0)
         h = y + u @ p["w2"]
         z = h @ p["out"]
-        z += p["bias"]
-        z += self.bigram[np.maximum(units[:, CONTEXT:], 0).ravel()]
+        z += self.prior[np.maximum(units[:, CONTEXT:], 0).ravel()]
         return (z, (x, xs, q, k, v, a, c, y, u, h)) if keep else z
 
     def log_probabilities(self, units: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of the target class at each scored position."""
         out = np.empty(target.shape, dtype=np.float32)
         for at in range(0, len(units), BATCH):
-            z = self.forward(units[at : at + BATCH])
-            t = target[at : at + BATCH]
-            won = z[np.arange(len(z)), np.maximum(t, 0).ravel()].copy()
-            if z.max() > LARGE:
+            u, t = units[at : at + BATCH], target[at : at + BATCH]
+            got = self._batch(u, t, False)
+            if not np.isfinite(got).all():  # exp went beyond single precision
+                got = self._batch(u, t, True)
+            out[at : at + BATCH] = got
+        return out
+
+    def _batch(self, units: np.ndarray, target: np.ndarray, shift: bool) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            z = self.forward(units, shift=shift)
+            won = z[np.arange(len(z)), np.maximum(target, 0).ravel()]
+            if shift:
                 top = z.max(axis=1)
                 z -= top[:, None]
                 won -= top
             np.exp(z, out=z)
-            out[at : at + BATCH] = (won - np.log(z @ _ONES)).reshape(t.shape)
-        return out
+            return (won - np.log(z @ _ONES)).reshape(target.shape)
 
 
 def gradient(model: Model, units: np.ndarray, target: np.ndarray) -> np.ndarray:

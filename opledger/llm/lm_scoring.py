@@ -1,8 +1,7 @@
 """Language-model scoring: word unigrams as the base, causal self-attention on subwords.
 
 What the model gathers follows the corpus: the counts of all training words, from
-them the counts of all subwords, the counts of subword pairs over all training
-texts, and weights trained in rounds on a fixed share of the training documents.
+them the counts of all subwords and subword pairs, and weights trained in rounds on a fixed share of the training documents.
 A round's tasks train from the same weights and their results are averaged by the
 windows they saw, as a stream on the executors.  A word's probability is the mean
 of the product of its subwords' under attention and its share among the most
@@ -28,11 +27,11 @@ from opledger.llm.common import bounded_batches, crc_bucket, materialised, summe
 from opledger.llm.subwords import WordCache
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
-HEAD_WORDS = 65_536
+HEAD_WORDS = 100_000
 #: Rounds of training, each on one of ``SHARES`` shares of the training documents.
-ROUNDS, SHARES, STEP_WINDOWS = 3, 32, 32
+ROUNDS, SHARES, STEP_WINDOWS = 2, 32, 32
 #: Steps that a task with documents takes at least in a round, over its windows again and again.
-LEAST_STEPS, RATE = 250, 1e-2
+LEAST_STEPS, RATE = 200, 1e-2
 #: Share of the attention model in a word's probability; the rest is the word's share among the head words.
 MIX = 0.5
 COUNT_WORDS, SLICES = 200_000, 64
@@ -90,23 +89,25 @@ class LanguageModel:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def laid_out(ids: list[np.ndarray], vocabulary: net.Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units and target classes of all windows of some texts, and each window's text.
+def laid_out(ids: list[np.ndarray], vocabulary: net.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Units and target classes of all windows of some texts, windows of a text in order.
 
-    Places before a text's start mark and behind its end are -1.
+    A text of ``n`` ids has its start mark and ``n - 1`` ids to read and ``n`` to
+    score, ``SCORED`` a window; places before the mark and behind the end are -1.
     """
     n = np.array([len(x) for x in ids])
-    start, doc = net.windows(n)
     flat = np.concatenate(ids)
-    base = (np.cumsum(n) - n)[doc]
-    at = start[:, None] + np.arange(net.LENGTH)
-    unit = vocabulary.unit_of[flat[np.clip(base[:, None] + at - 1, 0, len(flat) - 1)]]
-    unit = np.where(at == 0, vocabulary.unit_of[END], unit)
-    unit[(at < 0) | (at > n[doc][:, None])] = -1
-    to = at[:, net.CONTEXT :]
-    target = vocabulary.class_of[flat[np.clip(base[:, None] + to, 0, len(flat) - 1)]]
-    target[to >= n[doc][:, None]] = -1
-    return unit, target, doc
+    per = -(-n // net.SCORED)
+    room = net.CONTEXT + per * net.SCORED
+    begin, first = np.cumsum(room) - room, np.cumsum(per) - per
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    read = np.full(int(room.sum()), -1, dtype=np.int32)
+    at = np.repeat(begin + net.CONTEXT, n) + inside
+    read[at] = np.where(inside == 0, vocabulary.unit_of[END], vocabulary.unit_of[np.concatenate([[END], flat[:-1]])])
+    target = np.full(int(per.sum()) * net.SCORED, -1, dtype=np.int32)
+    target[np.repeat(first * net.SCORED, n) + inside] = vocabulary.class_of[flat]
+    starts = np.repeat(begin - first * net.SCORED, per) + np.arange(len(target) // net.SCORED) * net.SCORED
+    return read[starts[:, None] + np.arange(net.LENGTH)], target.reshape(-1, net.SCORED)
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -154,37 +155,62 @@ def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = Non
     head = {bytes(r[0]): r[1] for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()}
     ends = head.pop(b"", 0)
 
-    def subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Subwords(path), np.zeros(END + 1)
-        for batch in batches:
-            ws, n = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            if b"" in ws:
-                total[END] += n[ws.index(b"")]
-            keep = [k for k, w in enumerate(ws) if w]
-            ids, each = encode([ws[k] for k in keep])
-            total += np.bincount(ids, weights=np.repeat(n[keep], each), minlength=END + 1)
-        yield _slices(total)
-
+    subwords = counts.mapInArrow(_word_sums(path, lambda ids, each, n: np.bincount(ids, weights=np.repeat(n, each), minlength=END + 1)), "slice int, vec binary")
     order = np.array(sorted(range(END), key=Subwords(path).names.__getitem__) + [END])
-    vocabulary = net.Vocabulary.of_counts(_dense(counts.mapInArrow(subword_counts, "slice int, vec binary"), END + 1), order)
+    per_id = _dense(subwords, END + 1)
+    per_id[END] = ends
+    vocabulary = net.Vocabulary.of_counts(per_id, order)
     known = spark.sparkContext.broadcast(vocabulary)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams, v, total = Streams(path), known.value, np.zeros(net.UNITS * net.CLASSES)
-        for batch in batches:
-            ids = [streams(t) for t in texts(batch.column(0))]
-            flat = np.concatenate(ids)
-            before = np.concatenate([[END], flat[:-1]])  # a text follows the end of another, as it follows its own start mark
-            total += np.bincount(v.unit_of[before] * net.CLASSES + v.class_of[flat], minlength=len(total))
-        yield _slices(total)
-
-    bigram = net.bigram_logits(_dense(seen.select("text").mapInArrow(pairs, "slice int, vec binary"), net.UNITS * net.CLASSES).reshape(net.UNITS, net.CLASSES))
+    bigram = net.bigram_logits(_pairs(counts, path, known, ends))
     flat = net.initial()
     for k in range(ROUNDS):
         flat = _round(seen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) == k), path, known, bigram, flat)
     return LanguageModel(vocabulary, bigram, flat, head, int(tokens), int(distinct), int(ends)), counts
 
 
+def _word_sums(path: str, of):
+    """Batch function that adds up ``of(ids, subwords of each word, counts of the words)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, total = Subwords(path), 0.0
+        for batch in batches:
+            ws, n = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            keep = [k for k, w in enumerate(ws) if w]
+            if keep:
+                total = total + of(*encode([ws[k] for k in keep]), n[keep])
+        if not np.isscalar(total):
+            yield _slices(total)
+
+    return run
+
+
+def _pairs(counts: DataFrame, path: str, known, ends: int) -> np.ndarray:
+    """Expected counts of a class after a unit over the training texts.
+
+    Within words they are exact, from the words' counts.  After a word's last unit,
+    and after a text's start, the words' first classes and the end stand in their
+    share of all words, which is what word counts say about the next word.
+    """
+    u, c = net.UNITS, net.CLASSES
+
+    def of(ids: np.ndarray, each: np.ndarray, n: np.ndarray) -> np.ndarray:
+        v, weight = known.value, np.repeat(n, each)
+        last = np.cumsum(each) - 1
+        inner = np.ones(len(ids), dtype=bool)
+        inner[last] = False
+        at = np.flatnonzero(inner)
+        within = np.bincount(v.unit_of[ids[at]].astype(np.int64) * c + v.class_of[ids[at + 1]], weights=weight[at], minlength=u * c)
+        first = np.bincount(v.class_of[ids[last - each + 1]], weights=n, minlength=c)
+        return np.concatenate([within, first, np.bincount(v.unit_of[ids[last]], weights=n, minlength=u)])
+
+    total = _dense(counts.mapInArrow(_word_sums(path, of), "slice int, vec binary"), u * c + c + u)
+    within, first, final = total[: u * c].reshape(u, c), total[u * c : u * c + c], total[u * c + c :]
+    v = known.value
+    first[v.class_of[END]] += ends
+    final[v.unit_of[END]] += ends
+    return within + final[:, None] * (first / max(first.sum(), 1.0))[None, :]
+
+
 def _round(share: DataFrame, path: str, known, bigram: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Weights after one round; unchanged if the share has no document."""
     start = share.sparkSession.sparkContext.broadcast((bigram, flat))
@@ -193,7 +219,7 @@ def _round(share: DataFrame, path: str, known, bigram: np.ndarray, flat: np.ndar
         streams, v = Streams(path), known.value
         trainer, done, rng, held = net.Trainer(start.value[1], start.value[0], RATE), 0, np.random.default_rng(7), []
         for batch in batches:
-            unit, target, _ = laid_out([streams(t) for t in texts(batch.column(0))], v)
+            unit, target = laid_out([streams(t) for t in texts(batch.column(0))], v)
             if done < LEAST_STEPS * STEP_WINDOWS:
                 held = [np.concatenate([*held[:1], unit]), np.concatenate([*held[1:], target])]
             _steps(trainer, unit, target, rng)
@@ -297,7 +323,7 @@ def _scores(ids: list[np.ndarray], each: list[np.ndarray], unigram: list[np.ndar
         while end < len(ids) and (tokens == 0 or tokens + len(ids[end]) <= 1 << 18):
             tokens += len(ids[end])
             end += 1
-        unit, target, _ = laid_out(ids[begin:end], vocabulary)
+        unit, target = laid_out(ids[begin:end], vocabulary)
         got = attention.log_probabilities(unit, target)
         token = got[target >= 0].astype(np.float64) + vocabulary.log_share[np.concatenate(ids[begin:end])]
         n = np.concatenate(each[begin:end])
