@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opledger.llm.common import bounded_batches, long_id, map_batches, texts
+from opledger.llm.common import bounded_batches, long_id, map_batches, materialised, texts
 
 WINDOW = 10
-#: Largest benchmark, in bytes of text, that is sent to the executors at once; a larger one is taken in blocks.
+#: Characters of benchmark text that are sent to the executors at once; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 8 << 20
 
 #: Other bytes than 0-9, a-z after lower-casing A-Z, and those of characters beyond ASCII.
@@ -62,11 +62,11 @@ class WindowIndex:
             self.by_word[w[rarest]].append((rarest, list(w), tuple(ids)))
         self.by_word = dict(self.by_word)
 
-    def find(self, doc: list[bytes]) -> tuple[int, set]:
-        """Number of words inside any occurrence, and the items that occur."""
+    def find(self, doc: list[bytes]) -> tuple[set, set]:
+        """Places of the words inside any occurrence, and the items that occur."""
         table = self.by_word
         if table.keys().isdisjoint(doc):
-            return 0, set()
+            return set(), set()
         hit, items, n = set(), set(), len(doc)
         for at, word in enumerate(doc):
             if word not in table:
@@ -76,7 +76,7 @@ class WindowIndex:
                 if begin >= 0 and begin + len(window) <= n and doc[begin : begin + len(window)] == window:
                     hit.update(range(begin, begin + len(window)))
                     items.update(ids)
-        return len(hit), items
+        return hit, items
 
 
 def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
@@ -97,33 +97,26 @@ def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     return {bytes(r[0]): r[1] for r in rows}
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, width: int) -> list[WindowIndex]:
-    items, blocks, size = [], [], 0
+def _blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
+    """The items in blocks of about ``BLOCK_BYTES``; at least one, empty or not."""
+    out, size = [[]], 0
     listed = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     for item_id, text in listed.toLocalIterator():
-        items.append((item_id, text))
-        size += len(text)
         if size >= BLOCK_BYTES:
-            blocks.append(items)
-            items, size = [], 0
-    blocks.append(items)
-    out = []
-    for block in blocks:
-        wanted = {w for _, text in block for w in words(text)}
-        out.append(WindowIndex(block, word_counts(docs, wanted) if wanted else {}, width))
+            out.append([])
+            size = 0
+        out[-1].append((item_id, text))
+        size += len(text)
     return out
 
 
-def _finder(docs: DataFrame, benchmark: DataFrame, width: int):
-    """``doc words -> (hits, items)`` as a broadcast index of the stated items.
+def _shared_index(docs: DataFrame, block: list[tuple[str, str]], width: int):
+    wanted = {w for _, text in block for w in words(text)}
+    return docs.sparkSession.sparkContext.broadcast(WindowIndex(block, word_counts(docs, wanted) if wanted else {}, width))
 
-    The benchmark is a stated query set.  It must fit one block of
-    ``BLOCK_BYTES``; callers with more items call once per block.
-    """
-    blocks = _indexes(docs, benchmark, width)
-    if len(blocks) > 1 and blocks[-1].by_word:
-        raise ValueError(f"the benchmark exceeds {BLOCK_BYTES} bytes: pass it in blocks")
-    return docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+def _digest(items) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW) -> DataFrame:
@@ -133,8 +126,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW)
     neither is ever hit.  Null items, and items without a word, have no window.
     Items of equal text are all reported.  Repeated documents are reported each;
     a null ``doc_id`` stays null; other columns are not read.
+
+    The benchmark is a stated query set, held against all documents in blocks of
+    ``BLOCK_BYTES``.  With several blocks the places found are merged by text.
     """
-    shared = _finder(docs, benchmark, width)
+    blocks = _blocks(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if len(blocks) > 1:
+        return _in_blocks(rows, [_shared_index(docs, b, width) for b in blocks])
+    shared = _shared_index(docs, blocks[0], width)
 
     def start():
         index = shared.value
@@ -143,21 +143,58 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW)
             n, hit, many, sha = [], [], [], []
             for text in texts(batch.column(1)):
                 doc = words(text)
-                h, items = index.find(doc)
+                places, items = index.find(doc)
                 n.append(len(doc))
-                hit.append(h)
+                hit.append(len(places))
                 many.append(len(items))
-                sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+                sha.append(_digest(items))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=SCHEMA.names)
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), SCHEMA, start)
+    return map_batches(rows, SCHEMA, start)
+
+
+def _in_blocks(rows: DataFrame, indexes: list) -> DataFrame:
+    """One pass over the texts for each block; only texts with hits leave it, as places and items by digest."""
+    keyed = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(words(t)) for t in texts(batch.column(1))], pa.int64())], names=["doc_id", "key", "n_words"])
+
+    def found_by(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                got = [(k, *index.find(words(t))) for k, t in zip(batch.column(2).to_pylist(), texts(batch.column(1)), strict=True)]
+                got = [g for g in got if g[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([sorted(g[1]) for g in got], pa.list_(pa.int32())), pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))], names=["key", "places", "items"])
+
+        return run
+
+    parts = [keyed.mapInArrow(found_by(s), "key binary, places array<int>, items array<string>").dropDuplicates(["key"]) for s in indexes]
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  one entry a block
+    merged = materialised(hits.groupBy("key").agg(F.size(merge("places")).cast("long").alias("n_hit"), merge("items").alias("items")))
+    none = F.array().cast("array<string>")
+    items = F.coalesce("items", none)
+    out = keyed.mapInArrow(counted, "doc_id long, key binary, n_words long").join(merged, "key", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns stay."""
-    shared, at = _finder(docs, benchmark, width), docs.columns.index("text")
+    at = docs.columns.index("text")
+    for k, block in enumerate(_blocks(benchmark)):
+        docs = _kept(materialised(docs) if k else docs, block, width, at)
+    return docs
+
+
+def _kept(docs: DataFrame, block: list[tuple[str, str]], width: int, at: int) -> DataFrame:
+    shared = _shared_index(docs, block, width)
 
     def start():
         index = shared.value

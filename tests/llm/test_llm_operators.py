@@ -327,7 +327,7 @@ def brute_leaks(text, items):
     return len(doc), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-def test_leaks_equal_brute_force(spark, benchmark):
+def test_leaks_equal_brute_force(spark, benchmark, monkeypatch):
     rng = random.Random(5)
     items = [(r.item_id, r.text) for r in benchmark.limit(12).collect()] + [(500, "Short item"), (501, None), (502, "!!"), (503, "short ITEM")]
     rows = [(1, None), (2, "a short, item; here")]
@@ -335,8 +335,13 @@ def test_leaks_equal_brute_force(spark, benchmark):
         source = rng.choice(items[:12])[1].split()
         at, n = rng.randrange(len(source)), rng.randrange(5, 16)
         rows.append((10 + k, " ".join(["filler"] * rng.randrange(4) + source[at : at + n] + ["tail"] * rng.randrange(3) + source[:9])))
-    got = {r[0]: tuple(r)[1:] for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    table, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in decontamination.decontaminate(table, asked).collect()}
     assert got == {i: brute_leaks(t, items) for i, t in rows}
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    in_blocks = {r[0]: tuple(r)[1:] for r in decontamination.decontaminate(table, asked).collect()}
+    assert in_blocks == got
+    assert {r.doc_id for r in decontamination.keep_uncontaminated(table, asked).collect()} == {i for i, g in got.items() if not g[-1]}
 
 
 # 10: near-duplicates
