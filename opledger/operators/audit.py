@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opledger.operators.folds import fold
 from opledger.shipping import ship
 
 RETRYABLE = ("Unavailable", "DeadlineExceeded", "ResourceExhausted")
@@ -33,22 +34,22 @@ def model_step(value: str | None, op: dict) -> list[str | None] | None:
     return [op["value"]] if fits else [value]
 
 
-def linearizable(ops: list[dict], budget: int) -> str:
-    """Whether one key's operations have a legal order that respects their intervals.
+def _reachable(ops: list[dict], starts: set, budget: int) -> tuple[set, int]:
+    """States after all of some operations in any legal order, and the steps the search took.
 
-    Depth-first search over (operations placed, state); an operation may come next
-    if no unplaced one returned before it was called.  ``unknown`` beyond the budget.
+    Depth-first over (operations placed, state); an operation may come next if no
+    unplaced one returned before it was called.
     """
     ops = sorted(ops, key=lambda o: (o["call_ns"], o["return_ns"]))
-    n, start = len(ops), (0, None)
-    full, stack, seen, steps = (1 << n) - 1, [start], {start}, 0
-    while stack:
+    n, full = len(ops), (1 << len(ops)) - 1
+    stack = [(0, s) for s in starts]
+    seen, ends, steps = set(stack), set(), 0
+    while stack and steps <= budget:
         placed, value = stack.pop()
         if placed == full:
-            return "ok"
+            ends.add(value)
+            continue
         steps += 1
-        if steps > budget:
-            return "unknown"
         open_ = [k for k in range(n) if not placed >> k & 1]
         first_return = min(ops[k]["return_ns"] for k in open_)
         for k in open_:
@@ -58,22 +59,43 @@ def linearizable(ops: list[dict], budget: int) -> str:
                 if (new := (placed | 1 << k, after)) not in seen:
                     seen.add(new)
                     stack.append(new)
-    return "violation"
+    return ends, steps
+
+
+class _Search:
+    def __init__(self):
+        self.states, self.open, self.until, self.ops, self.steps, self.verdict = {None}, [], None, 0, 0, "ok"
+
+    def close(self, budget: int) -> None:
+        if self.open and self.verdict == "ok":
+            self.states, steps = _reachable(self.open, self.states, budget - self.steps)
+            self.steps += steps
+            self.verdict = "unknown" if self.steps > budget else "ok" if self.states else "violation"
+        self.open = []
 
 
 def linearizability(history: DataFrame, *, budget: int = 200_000) -> DataFrame:
     """Verdict of each key of a history ``(key, op, value, expected, found, swapped, failed, out_value, current, call_ns, return_ns)``.
 
-    Keys are independent.  Operations that overlap no others cut a key's history,
-    so a key is searched in windows between moments at which nothing runs.
+    ``ok`` if a legal order respects the intervals, else ``violation``; ``unknown``
+    beyond ``budget`` steps.  Keys are independent, and a moment at which nothing
+    runs cuts a key's history: only the states possible there are carried on, so a
+    task holds the operations between two such moments.
     """
-    ship(history.sparkSession)
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame({"key": [rows[0]["key"]], "ops": [len(rows)], "verdict": [linearizable(rows, budget)]})
+    def step(s: _Search, row: dict) -> list[tuple]:
+        if s.until is not None and row["call_ns"] > s.until:
+            s.close(budget)
+        s.open.append(row)
+        s.ops += 1
+        s.until = max(row["return_ns"], s.until or row["return_ns"])
+        return []
+
+    def finish(key: tuple, s: _Search) -> list[tuple]:
+        s.close(budget)
+        return [(key[0], s.ops, s.verdict)]
 
-    return history.groupBy("key").applyInPandas(check, "key string, ops long, verdict string")
+    return fold(history, ["key"], ["call_ns", "return_ns"], _Search, step, "key string, ops long, verdict string", finish)
 
 
 def retryable(code: str):
