@@ -6,8 +6,6 @@ All but the last return the columns of ``documents``; what a stage rejects is go
 
 from __future__ import annotations
 
-import uuid
-
 from opledger.llm import common
 from opledger.llm.decontamination import keep_uncontaminated
 from opledger.llm.near_duplicates import keep_one_of_each
@@ -49,10 +47,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``, each written to the shared folder and read again as the next one's input."""
-    docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = common.materialised(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.dropped(before)
+        before = docs
     return docs

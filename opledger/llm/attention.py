@@ -1,9 +1,9 @@
 """A small causal self-attention language model in numpy.
 
 One head of attention and one feed-forward layer over unit embeddings correct the
-logits of a bigram table; the output is a distribution over classes of subwords,
-and a subword's share of its class comes from corpus counts, so the probabilities
-of all subwords add up to one.  A window's first ``CONTEXT`` positions are read
+logits of a bigram table.  The output goes down in two steps: to a frequent class
+or a cluster of classes, then to the class in its cluster; a subword's share of its
+class comes from corpus counts, so the probabilities of all subwords add up to one.  A window's first ``CONTEXT`` positions are read
 but not scored; windows overlap by them, and each token is scored once.
 """
 
@@ -14,21 +14,27 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Window length, positions of it that are context alone, width, feed-forward width.
-LENGTH, CONTEXT, WIDTH, INNER = 40, 8, 16, 32
+LENGTH, CONTEXT, WIDTH, INNER = 40, 8, 16, 16
 SCORED = LENGTH - CONTEXT
 #: Output classes: so many frequent subwords alone, the rest in groups.  Input units: frequent subwords alone, then the groups.
 ALONE, GROUPS, UNITS_ALONE = 192, 64, 1024
 CLASSES, UNITS = ALONE + GROUPS, UNITS_ALONE + GROUPS
+#: Classes of the first step that are no cluster, classes of a cluster, clusters, and all choices of the first step.
+TOP, MEMBERS = 64, 32
+CLUSTERS = (CLASSES - TOP) // MEMBERS
+FIRST = TOP + CLUSTERS
 #: Windows computed at once: their arrays stay in a core's cache.
-BATCH = 32
+BATCH = 64
+#: Rows of a cluster computed at once.
+ROWS = 2048
 
-SHAPES = (("emb", (UNITS, WIDTH)), ("pos", (LENGTH, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wkv", (WIDTH, 2 * WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, INNER)), ("b1", (INNER,)), ("w2", (INNER, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES,)))
+SHAPES = (("emb", (UNITS, WIDTH)), ("pos", (LENGTH, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wkv", (WIDTH, 2 * WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, INNER)), ("b1", (INNER,)), ("w2", (INNER, WIDTH)), ("out", (WIDTH, FIRST)), ("bias", (FIRST,)), ("out2", (CLUSTERS, WIDTH, MEMBERS)), ("bias2", (CLUSTERS, MEMBERS)))
 SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
 
 _MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None], 0.0, -1e9).astype(np.float32)
 
 
-_ONES = np.ones(CLASSES, dtype=np.float32)
+_ONES = np.ones(FIRST, dtype=np.float32)
 
 
 @dataclass
@@ -59,7 +65,7 @@ class Vocabulary:
 def initial(seed: int = 5) -> np.ndarray:
     """Start of training; the output is 0, so the model starts as its bigram table."""
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 1 / np.sqrt(s[0]) if len(s) > 1 and n not in ("emb", "pos") else 0.3, s) if n not in ("out", "bias", "b1") else np.zeros(s) for n, s in SHAPES]
+    parts = [rng.normal(0, 1 / np.sqrt(s[0]) if len(s) > 1 and n not in ("emb", "pos") else 0.3, s) if n not in ("out", "bias", "out2", "bias2", "b1") else np.zeros(s) for n, s in SHAPES]
     return np.concatenate([p.ravel() for p in parts])
 
 
@@ -72,19 +78,32 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def bigram_logits(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log probabilities of classes after each unit."""
+def _smoothed(counts: np.ndarray) -> np.ndarray:
     all_ = counts.sum(0) + 0.5
     return np.log((counts + 30 * all_ / all_.sum()) / (counts.sum(1, keepdims=True) + 30)).astype(np.float32)
 
 
+def bigram_logits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log probabilities after each unit: of the first step's choices, and of each cluster's members."""
+    inner = counts[:, TOP:].reshape(len(counts), CLUSTERS, MEMBERS)
+    first = np.concatenate([counts[:, :TOP], inner.sum(2)], axis=1)
+    return _smoothed(first), np.stack([_smoothed(inner[:, k]) for k in range(CLUSTERS)])
+
+
+def steps_of(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First choice of each class, and its cluster (-1: none)."""
+    cluster = np.where(target >= TOP, (target - TOP) // MEMBERS, -1)
+    return np.where(cluster >= 0, TOP + cluster, target), cluster
+
+
 class Model:
-    def __init__(self, flat: np.ndarray, bigram: np.ndarray):
+    def __init__(self, flat: np.ndarray, bigram: tuple[np.ndarray, np.ndarray]):
         self.p = unpacked(flat)
-        self.prior = bigram + self.p["bias"]
+        self.prior = bigram[0] + self.p["bias"]
+        self.prior2 = bigram[1] + self.p["bias2"][:, None, :]
 
     def forward(self, units: np.ndarray, keep: bool = False, shift: bool = True):
-        """Class logits at the scored positions; units below 0 are not there and are masked."""
+        """First-step logits and features of the scored positions; units below 0 are not there and are masked."""
         p, n = self.p, len(units)
         gone = units < 0
         x = p["emb"][np.maximum(units, 0)] + p["pos"]
@@ -110,43 +129,74 @@ class Model:
         h = y + u @ p["w2"]
         z = h @ p["out"]
         z += self.prior[np.maximum(units[:, CONTEXT:], 0).ravel()]
-        return (z, (x, xs, q, k, v, a, c, y, u, h)) if keep else z
+        return (z, (x, xs, q, k, v, a, c, y, u, h)) if keep else (z, h)
+
+    def second(self, k: int, h: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Logits of cluster ``k``'s members."""
+        z = h @ self.p["out2"][k]
+        z += self.prior2[k][units]
+        return z
 
     def log_probabilities(self, units: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of the target class at each scored position."""
-        out = np.empty(target.shape, dtype=np.float32)
+        """Natural log probability of the target class at each scored position; 0 where there is no target."""
+        choice, cluster = steps_of(target)
+        out, features = np.empty(target.size, dtype=np.float32), np.empty((target.size, WIDTH), dtype=np.float32)
         for at in range(0, len(units), BATCH):
-            u, t = units[at : at + BATCH], target[at : at + BATCH]
-            got = self._batch(u, t, False)
-            if not np.isfinite(got).all():  # exp went beyond single precision
-                got = self._batch(u, t, True)
-            out[at : at + BATCH] = got
-        return out
-
-    def _batch(self, units: np.ndarray, target: np.ndarray, shift: bool) -> np.ndarray:
+            here = slice(at * SCORED, (at + BATCH) * SCORED)
+            u, t = units[at : at + BATCH], np.maximum(choice[at : at + BATCH], 0).ravel()
+            out[here], features[here] = self._batch(u, t, False)
+            if not np.isfinite(out[here]).all():  # exp went beyond single precision
+                out[here], features[here] = self._batch(u, t, True)
+        before, member, cluster = np.maximum(units[:, CONTEXT:], 0).ravel(), target.ravel(), cluster.ravel()
+        for k in range(CLUSTERS):
+            rows = np.flatnonzero(cluster == k)
+            for at in range(0, len(rows), ROWS):
+                r = rows[at : at + ROWS]
+                z = self.second(k, features[r], before[r])
+                won = z[np.arange(len(r)), member[r] - TOP - k * MEMBERS]
+                with np.errstate(over="ignore"):
+                    total = np.exp(z) @ _ONES[:MEMBERS]
+                out[r] += won - (np.log(total) if np.isfinite(total).all() else np.logaddexp.reduce(z, axis=1))
+        out[member < 0] = 0
+        return out.reshape(target.shape)
+
+    def _batch(self, units: np.ndarray, choice: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            z = self.forward(units, shift=shift)
-            won = z[np.arange(len(z)), np.maximum(target, 0).ravel()]
+            z, h = self.forward(units, shift=shift)
+            won = z[np.arange(len(z)), choice]
             if shift:
                 top = z.max(axis=1)
                 z -= top[:, None]
                 won -= top
             np.exp(z, out=z)
-            return (won - np.log(z @ _ONES)).reshape(target.shape)
+            return won - np.log(z @ _ONES), h
+
+
+def _error(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Softmax less the indicator of the choice."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), choice] -= 1
+    return z
 
 
 def gradient(model: Model, units: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Gradient of the mean loss over the targets that are there (not below 0)."""
     p, n = model.p, len(units)
     z, (x, xs, q, k, v, a, c, y, u, h) = model.forward(units, keep=True)
-    t = target.ravel()
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), np.maximum(t, 0)] -= 1
-    z *= (t >= 0)[:, None] / np.float32(max((t >= 0).sum(), 1))
-    g = {"out": h.T @ z, "bias": z.sum(0)}
+    choice, cluster = steps_of(target)
+    t, scale_ = target.ravel(), np.float32(1 / max((target >= 0).sum(), 1))
+    z = _error(z, np.maximum(choice, 0).ravel()) * ((t >= 0)[:, None] * scale_)
+    g = {"out": h.T @ z, "bias": z.sum(0), "out2": np.zeros((CLUSTERS, WIDTH, MEMBERS), dtype=np.float32), "bias2": np.zeros((CLUSTERS, MEMBERS), dtype=np.float32)}
     dh = z @ p["out"].T
+    before, cluster = np.maximum(units[:, CONTEXT:], 0).ravel(), cluster.ravel()
+    for j in range(CLUSTERS):
+        r = np.flatnonzero(cluster == j)
+        if len(r):
+            e = _error(model.second(j, h[r], before[r]), t[r] - TOP - j * MEMBERS) * scale_
+            g["out2"][j], g["bias2"][j] = h[r].T @ e, e.sum(0)
+            dh[r] += e @ p["out2"][j].T
     g["w2"] = u.T @ dh
     du = (dh @ p["w2"].T) * (u > 0)
     g["w1"], g["b1"] = y.T @ du, du.sum(0)

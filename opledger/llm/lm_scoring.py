@@ -14,6 +14,8 @@ import base64
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,14 +29,14 @@ from opledger.llm.common import bounded_batches, crc_bucket, materialised, summe
 from opledger.llm.subwords import WordCache
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
-HEAD_WORDS = 100_000
-#: Rounds of training, each on one of ``SHARES`` shares of the training documents.
-ROUNDS, SHARES, STEP_WINDOWS = 2, 32, 32
-#: Steps that a task with documents takes at least in a round, over its windows again and again.
-LEAST_STEPS, RATE = 200, 1e-2
+HEAD_WORDS = 250_000
+#: Learning rates of the rounds of training, each on one of ``SHARES`` shares of the training documents; windows of a step.
+RATES, SHARES, STEP_WINDOWS = (3e-2, 2e-2, 7e-3), 64, 32
+#: Steps that a task with documents takes at least in a round.
+LEAST_STEPS = 150
 #: Share of the attention model in a word's probability; the rest is the word's share among the head words.
 MIX = 0.5
-COUNT_WORDS, SLICES = 200_000, 64
+COUNT_WORDS, CACHE_WORDS, SLICES = 400_000, 300_000, 64
 END = 50_256
 
 SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<binary>, times array<long>"
@@ -65,20 +67,44 @@ class Subwords:
         return ids, np.diff(begin, append=len(ids))
 
 
-class Streams:
-    """Subword ids of texts, each ended by ``END``."""
+@lru_cache(maxsize=1)
+def subwords(path: str) -> Subwords:
+    """One tokenizer for all tasks of a worker process."""
+    return Subwords(path)
 
-    def __init__(self, path: str):
-        self.cache = WordCache(Subwords(path), limit=250_000)
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.append(self.cache.ids(self.cache.numbers(words(text)))[0], END)
+def encoded(cache: WordCache, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of several texts at once: their cache numbers, how many each text has, all ids, and how many each word has."""
+    each = [words(t) for t in some]
+    numbers = cache.numbers(list(chain.from_iterable(each)))
+    ids, count = cache.ids(numbers)
+    return numbers, np.array([len(w) for w in each], dtype=np.int64), ids, count
+
+
+def ended(ids: np.ndarray, count: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with ``END`` behind each text, and how many ids each text then has."""
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    n = np.bincount(owner, weights=count, minlength=len(n_words)).astype(np.int64)
+    return np.insert(ids, np.cumsum(n), END), n + 1
+
+
+def parts(some: list[str], most: int = 1 << 20):
+    """The texts in runs of about ``most`` characters."""
+    run, size = [], 0
+    for t in some:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @dataclass
 class LanguageModel:
     vocabulary: net.Vocabulary
-    bigram: np.ndarray
+    bigram: tuple[np.ndarray, np.ndarray]
     flat: np.ndarray
     head: dict[bytes, int]
     tokens: int
@@ -89,21 +115,19 @@ class LanguageModel:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def laid_out(ids: list[np.ndarray], vocabulary: net.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Units and target classes of all windows of some texts, windows of a text in order.
+def laid_out(flat: np.ndarray, n: np.ndarray, vocabulary: net.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Units and target classes of all windows of texts with ``n`` ids each, windows of a text in order.
 
     A text of ``n`` ids has its start mark and ``n - 1`` ids to read and ``n`` to
     score, ``SCORED`` a window; places before the mark and behind the end are -1.
     """
-    n = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids)
     per = -(-n // net.SCORED)
     room = net.CONTEXT + per * net.SCORED
     begin, first = np.cumsum(room) - room, np.cumsum(per) - per
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
     read = np.full(int(room.sum()), -1, dtype=np.int32)
-    at = np.repeat(begin + net.CONTEXT, n) + inside
-    read[at] = np.where(inside == 0, vocabulary.unit_of[END], vocabulary.unit_of[np.concatenate([[END], flat[:-1]])])
+    unit = vocabulary.unit_of[flat]
+    read[np.repeat(begin + net.CONTEXT, n) + inside] = np.where(inside == 0, vocabulary.unit_of[END], np.concatenate([unit[-1:], unit[:-1]]))
     target = np.full(int(per.sum()) * net.SCORED, -1, dtype=np.int32)
     target[np.repeat(first * net.SCORED, n) + inside] = vocabulary.class_of[flat]
     starts = np.repeat(begin - first * net.SCORED, per) + np.arange(len(target) // net.SCORED) * net.SCORED
@@ -132,6 +156,25 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _head(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent words, ``HEAD_WORDS`` at most: those above a count that a histogram of counts gives.
+
+    Counts are binned by sixteenths of powers of two, so the histogram is small; a
+    bin that would not fit whole is left out.
+    """
+    level = F.floor(F.log2("n") * 16)
+    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    least, room = None, HEAD_WORDS
+    for b in bins:
+        room -= b["words"]
+        if room < 0:
+            break
+        least = b["level"]
+    if least is None:
+        return {}
+    return {bytes(r[0]): r[1] for r in counts.filter((level >= least) & (F.octet_length("word") > 0)).collect()}
+
+
 def _dense(parts: DataFrame, size: int, slices: int = SLICES) -> np.ndarray:
     per = -(-size // slices)
     got = summed(parts, slices)
@@ -152,19 +195,19 @@ def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = Non
     seen = docs.filter(crc_bucket("doc_id", held_out_of) != 0).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = materialised(_word_counts(seen))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r[0]): r[1] for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()}
-    ends = head.pop(b"", 0)
+    head = _head(counts)
+    ends = counts.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    subwords = counts.mapInArrow(_word_sums(path, lambda ids, each, n: np.bincount(ids, weights=np.repeat(n, each), minlength=END + 1)), "slice int, vec binary")
-    order = np.array(sorted(range(END), key=Subwords(path).names.__getitem__) + [END])
-    per_id = _dense(subwords, END + 1)
+    per_word = counts.mapInArrow(_word_sums(path, lambda ids, each, n: np.bincount(ids, weights=np.repeat(n, each), minlength=END + 1)), "slice int, vec binary")
+    order = np.array(sorted(range(END), key=subwords(path).names.__getitem__) + [END])
+    per_id = _dense(per_word, END + 1)
     per_id[END] = ends
     vocabulary = net.Vocabulary.of_counts(per_id, order)
     known = spark.sparkContext.broadcast(vocabulary)
     bigram = net.bigram_logits(_pairs(counts, path, known, ends))
     flat = net.initial()
-    for k in range(ROUNDS):
-        flat = _round(seen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) == k), path, known, bigram, flat)
+    for k, rate in enumerate(RATES):
+        flat = _round(seen, k, rate, path, known, bigram, flat)
     return LanguageModel(vocabulary, bigram, flat, head, int(tokens), int(distinct), int(ends)), counts
 
 
@@ -172,7 +215,7 @@ def _word_sums(path: str, of):
     """Batch function that adds up ``of(ids, subwords of each word, counts of the words)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Subwords(path), 0.0
+        encode, total = subwords(path), 0.0
         for batch in batches:
             ws, n = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
             keep = [k for k, w in enumerate(ws) if w]
@@ -189,7 +232,7 @@ def _pairs(counts: DataFrame, path: str, known, ends: int) -> np.ndarray:
 
     Within words they are exact, from the words' counts.  After a word's last unit,
     and after a text's start, the words' first classes and the end stand in their
-    share of all words, which is what word counts say about the next word.
+    share of all words; what a text's words say about the next is left to attention.
     """
     u, c = net.UNITS, net.CLASSES
 
@@ -211,25 +254,48 @@ def _pairs(counts: DataFrame, path: str, known, ends: int) -> np.ndarray:
     return within + final[:, None] * (first / max(first.sum(), 1.0))[None, :]
 
 
-def _round(share: DataFrame, path: str, known, bigram: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Weights after one round; unchanged if the share has no document."""
-    start = share.sparkSession.sparkContext.broadcast((bigram, flat))
+def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple[np.ndarray, np.ndarray], flat: np.ndarray) -> np.ndarray:
+    """Weights after round ``k``; unchanged if there is no document.
+
+    A task trains on its share of documents, and on others up to ``LEAST_STEPS``
+    steps; where all of them do not make so many, over its windows again.
+    """
+    start = seen.sparkSession.sparkContext.broadcast((bigram, flat))
+    least = LEAST_STEPS * STEP_WINDOWS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams, v = Streams(path), known.value
-        trainer, done, rng, held = net.Trainer(start.value[1], start.value[0], RATE), 0, np.random.default_rng(7), []
-        for batch in batches:
-            unit, target = laid_out([streams(t) for t in texts(batch.column(0))], v)
-            if done < LEAST_STEPS * STEP_WINDOWS:
-                held = [np.concatenate([*held[:1], unit]), np.concatenate([*held[1:], target])]
+        cache, v = WordCache(subwords(path), limit=CACHE_WORDS), known.value
+        trainer, done, rng = net.Trainer(start.value[1], start.value[0], rate), 0, np.random.default_rng(7)
+        spare, spare_bytes, held = [], 0, []
+
+        def train_on(some: list[str], hold: bool) -> int:
+            _, n_words, ids, count = encoded(cache, some)
+            unit, target = laid_out(*ended(ids, count, n_words), v)
+            if hold:
+                held.append((unit, target))
             _steps(trainer, unit, target, rng)
-            done += len(unit)
+            return len(unit)
+
+        for batch in batches:
+            text, share = texts(batch.column(0)), batch.column(1).to_pylist()
+            if mine := [t for t, s in zip(text, share, strict=True) if s == k]:
+                done += train_on(mine, done < least)
+            if spare_bytes < 16 * least * net.SCORED:
+                other = [t for t, s in zip(text, share, strict=True) if s != k]
+                spare += other
+                spare_bytes += sum(map(len, other))
+        order = rng.permutation(len(spare))
+        for at in range(0, len(spare), 16):
+            if trainer.t < LEAST_STEPS:
+                done += train_on([spare[j] for j in order[at : at + 16]], True)
         while held and trainer.t < LEAST_STEPS:
-            _steps(trainer, *held, rng, LEAST_STEPS)
+            unit, target = (np.concatenate(x) for x in zip(*held, strict=True))
+            _steps(trainer, unit, target, rng, LEAST_STEPS)
         if done:
             yield _slices(np.append(trainer.flat * done, done), 16)
 
-    total = _dense(share.select("text").mapInArrow(learn, "slice int, vec binary"), net.SIZE + 1, 16)
+    rows = seen.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share"))
+    total = _dense(rows.mapInArrow(learn, "slice int, vec binary"), net.SIZE + 1, 16)
     return total[:-1] / total[-1] if total[-1] else flat
 
 
@@ -245,7 +311,7 @@ class _Scored(WordCache):
 
     def __init__(self, encode, head: dict[bytes, int]):
         self.head = head
-        super().__init__(encode, limit=250_000)
+        super().__init__(encode, limit=CACHE_WORDS)
 
     def _clear(self) -> None:
         super()._clear()
@@ -275,29 +341,15 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cache, attention, uid = _Scored(Subwords(path), m.head), net.Model(m.flat, m.bigram), task_index() << 36
+        cache, attention, uid = _Scored(subwords(path), m.head), net.Model(m.flat, m.bigram), task_index() << 36
         end_log, head_tokens = float(m.log10_unigram(m.ends)), max(sum(m.head.values()) + m.ends, 1)
         for batch in batches:
-            ids, each, unigram, length, known, base, tail, times = [], [], [], [], [], [], [], []
-            for text in texts(batch.column(1)):
-                numbers = cache.numbers(words(text))
-                c = cache.seen[numbers]
-                inside = c >= 0
-                base.append(float(m.log10_unigram(c[inside]).sum()) + end_log)
-                known.append(int(inside.sum()) + (m.ends > 0))
-                length.append(len(numbers) + 1)
-                far, n = np.unique(numbers[~inside], return_counts=True)
-                tail.append([cache.named[k] for k in far])
-                times.append(n.tolist())
-                flat, n = cache.ids(numbers)
-                ids.append(np.append(flat, END))
-                each.append(np.append(n, 1))
-                unigram.append(np.append(np.maximum(c, 0), m.ends) / head_tokens)
-            score = _scores(ids, each, unigram, attention, m.vocabulary)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(2), pa.array(length, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score),
-                pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-            ], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
+            columns: list[list] = [[] for _ in range(6)]
+            for some in parts(texts(batch.column(1))):
+                for column, got in zip(columns, _scored(some, cache, attention, m, end_log, head_tokens), strict=True):
+                    column.append(got)
+            length, known, base, score, tail, times = (pa.concat_arrays(c) for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(2), length, known, base, score, tail, times], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
             uid += batch.num_rows
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_bucket("doc_id", held_out_of) == 0).alias("held_out"))
@@ -312,24 +364,30 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _scores(ids: list[np.ndarray], each: list[np.ndarray], unigram: list[np.ndarray], attention: net.Model, vocabulary: net.Vocabulary) -> np.ndarray:
-    """log10 probability of each text, ``END`` included; windows are laid out a bounded number of tokens at a time.
+def _scored(some: list[str], cache: _Scored, attention: net.Model, m: LanguageModel, end_log: float, head_tokens: int) -> list[pa.Array]:
+    """Token counts, base sums over head words, scores, and the words outside the head, of several texts."""
+    numbers, n_words, ids, count = encoded(cache, some)
+    c, owner = cache.seen[numbers], np.repeat(np.arange(len(some)), n_words)
+    inside = c >= 0
+    base = np.bincount(owner[inside], weights=m.log10_unigram(c[inside]), minlength=len(some)) + end_log
+    known = np.bincount(owner[inside], minlength=len(some)) + (m.ends > 0)
+    far, times = np.unique(owner[~inside] << 32 | numbers[~inside], return_counts=True)
+    offsets = pa.array(np.searchsorted(far >> 32, np.arange(len(some) + 1)), pa.int32())
+    names = pa.array([cache.named[k] for k in (far & 0xFFFFFFFF).tolist()], pa.binary())
+    flat, n = ended(ids, count, n_words)
+    at = np.cumsum(n_words)
+    share = np.insert(np.maximum(c, 0), at, m.ends) / head_tokens
+    score = _scores(flat, n, np.insert(count, at, 1), n_words + 1, share, attention, m.vocabulary)
+    return [pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
+
+
+def _scores(flat: np.ndarray, n: np.ndarray, count: np.ndarray, n_words: np.ndarray, share: np.ndarray, attention: net.Model, vocabulary: net.Vocabulary) -> np.ndarray:
+    """log10 probability of texts of ``n`` ids and ``n_words`` words, their ends among both.
 
-    ``each`` has the subwords of every word, ``unigram`` its share in the head.
+    ``count`` has the ids of each word, ``share`` its part of the head words.
     """
-    out, begin = np.zeros(len(ids)), 0
-    while begin < len(ids):
-        end, tokens = begin, 0
-        while end < len(ids) and (tokens == 0 or tokens + len(ids[end]) <= 1 << 18):
-            tokens += len(ids[end])
-            end += 1
-        unit, target = laid_out(ids[begin:end], vocabulary)
-        got = attention.log_probabilities(unit, target)
-        token = got[target >= 0].astype(np.float64) + vocabulary.log_share[np.concatenate(ids[begin:end])]
-        n = np.concatenate(each[begin:end])
-        word = np.add.reduceat(token, np.cumsum(n) - n)
-        word = np.log(MIX * np.exp(word) + (1 - MIX) * np.concatenate(unigram[begin:end]) + 1e-300)
-        owner = np.repeat(np.arange(end - begin), [len(x) for x in each[begin:end]])
-        out[begin:end] = np.bincount(owner, weights=word, minlength=end - begin) / np.log(10)
-        begin = end
-    return out
+    unit, target = laid_out(flat, n, vocabulary)
+    token = attention.log_probabilities(unit, target)[target >= 0] + vocabulary.log_share[flat]
+    word = np.add.reduceat(token, np.cumsum(count) - count)
+    word = np.log10(MIX * np.exp(word) + (1 - MIX) * share + 1e-300)
+    return np.bincount(np.repeat(np.arange(len(n)), n_words), weights=word, minlength=len(n))

@@ -10,6 +10,7 @@ import json
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -57,13 +58,16 @@ class WordCache:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Cache number of each word; words not met before are encoded together."""
-        known = self.number
-        if new := [w for w in set(words) if w not in known]:
-            before = len(known)
+        out = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missed = np.flatnonzero(out < 0).tolist()
+        if missed:
+            before, new = len(self.number), list(dict.fromkeys([words[k] for k in missed]))
             self._learn(new)
             if len(self.number) < before + len(new):  # started afresh: the text's other words went
-                self._learn([w for w in set(words) if w not in self.number])
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+                self._learn([w for w in dict.fromkeys(words) if w not in self.number])
+                return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+            out[missed] = [self.number[words[k]] for k in missed]
+        return out
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words, and how many ids each has."""
