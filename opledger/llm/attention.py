@@ -19,6 +19,8 @@ SCORED = LENGTH - CONTEXT
 #: Output classes: so many frequent subwords alone, the rest in groups.  Input units: frequent subwords alone, then the groups.
 ALONE, GROUPS, UNITS_ALONE = 192, 64, 1024
 CLASSES, UNITS = ALONE + GROUPS, UNITS_ALONE + GROUPS
+#: Input unit of a place before a text's start mark or behind its end.
+ABSENT = UNITS
 #: Classes of the first step that are no cluster, classes of a cluster, clusters, and all choices of the first step.
 TOP, MEMBERS = 64, 32
 CLUSTERS = (CLASSES - TOP) // MEMBERS
@@ -28,7 +30,7 @@ BATCH = 64
 #: Rows of a cluster computed at once.
 ROWS = 2048
 
-SHAPES = (("emb", (UNITS, WIDTH)), ("pos", (LENGTH, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wkv", (WIDTH, 2 * WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, INNER)), ("b1", (INNER,)), ("w2", (INNER, WIDTH)), ("out", (WIDTH, FIRST)), ("bias", (FIRST,)), ("out2", (CLUSTERS, WIDTH, MEMBERS)), ("bias2", (CLUSTERS, MEMBERS)))
+SHAPES = (("emb", (UNITS + 1, WIDTH)), ("pos", (LENGTH, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wkv", (WIDTH, 2 * WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, INNER)), ("b1", (INNER,)), ("w2", (INNER, WIDTH)), ("out", (WIDTH, FIRST)), ("bias", (FIRST,)), ("out2", (CLUSTERS, WIDTH, MEMBERS)), ("bias2", (CLUSTERS, MEMBERS)))
 SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
 
 _MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None], 0.0, -1e9).astype(np.float32)
@@ -99,22 +101,19 @@ def steps_of(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     def __init__(self, flat: np.ndarray, bigram: tuple[np.ndarray, np.ndarray]):
         self.p = unpacked(flat)
-        self.prior = bigram[0] + self.p["bias"]
-        self.prior2 = bigram[1] + self.p["bias2"][:, None, :]
+        self.prior = np.pad(bigram[0], ((0, 1), (0, 0))) + self.p["bias"]
+        self.prior2 = np.pad(bigram[1], ((0, 0), (0, 1), (0, 0))) + self.p["bias2"][:, None, :]
 
     def forward(self, units: np.ndarray, keep: bool = False, shift: bool = True):
-        """First-step logits and features of the scored positions; units below 0 are not there and are masked."""
+        """First-step logits and features of the scored positions."""
         p, n = self.p, len(units)
-        gone = units < 0
-        x = p["emb"][np.maximum(units, 0)] + p["pos"]
+        x = p["emb"][units] + p["pos"]
         kv = (x.reshape(-1, WIDTH) @ p["wkv"]).reshape(n, LENGTH, 2 * WIDTH)
         k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
         xs = x[:, CONTEXT:]
         q = (xs.reshape(-1, WIDTH) @ p["wq"]).reshape(n, SCORED, WIDTH) * np.float32(WIDTH**-0.5)
         a = np.matmul(q, k.transpose(0, 2, 1))
         a += _MASK
-        if gone.any():
-            a += np.where(gone, np.float32(-1e9), np.float32(0))[:, None, :]
         if shift:
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
@@ -128,7 +127,7 @@ class Model:
         u = np.maximum(y @ p["w1"] + p["b1"], 0)
         h = y + u @ p["w2"]
         z = h @ p["out"]
-        z += self.prior[np.maximum(units[:, CONTEXT:], 0).ravel()]
+        z += self.prior[units[:, CONTEXT:].ravel()]
         return (z, (x, xs, q, k, v, a, c, y, u, h)) if keep else (z, h)
 
     def second(self, k: int, h: np.ndarray, units: np.ndarray) -> np.ndarray:
@@ -147,7 +146,7 @@ class Model:
             out[here], features[here] = self._batch(u, t, False)
             if not np.isfinite(out[here]).all():  # exp went beyond single precision
                 out[here], features[here] = self._batch(u, t, True)
-        before, member, cluster = np.maximum(units[:, CONTEXT:], 0).ravel(), target.ravel(), cluster.ravel()
+        before, member, cluster = units[:, CONTEXT:].ravel(), target.ravel(), cluster.ravel()
         for k in range(CLUSTERS):
             rows = np.flatnonzero(cluster == k)
             for at in range(0, len(rows), ROWS):
@@ -190,7 +189,7 @@ def gradient(model: Model, units: np.ndarray, target: np.ndarray) -> np.ndarray:
     z = _error(z, np.maximum(choice, 0).ravel()) * ((t >= 0)[:, None] * scale_)
     g = {"out": h.T @ z, "bias": z.sum(0), "out2": np.zeros((CLUSTERS, WIDTH, MEMBERS), dtype=np.float32), "bias2": np.zeros((CLUSTERS, MEMBERS), dtype=np.float32)}
     dh = z @ p["out"].T
-    before, cluster = np.maximum(units[:, CONTEXT:], 0).ravel(), cluster.ravel()
+    before, cluster = units[:, CONTEXT:].ravel(), cluster.ravel()
     for j in range(CLUSTERS):
         r = np.flatnonzero(cluster == j)
         if len(r):
@@ -215,9 +214,8 @@ def gradient(model: Model, units: np.ndarray, target: np.ndarray) -> np.ndarray:
     dx = (dkv @ p["wkv"].T).reshape(n, LENGTH, WIDTH)
     dx[:, CONTEXT:] += (dq.reshape(-1, WIDTH) @ p["wq"].T + dy).reshape(n, SCORED, WIDTH)
     g["pos"] = dx.sum(0)
-    emb = np.zeros((UNITS, WIDTH), dtype=np.float32)
-    there = (units >= 0).ravel()
-    np.add.at(emb, units.ravel()[there], dx.reshape(-1, WIDTH)[there])
+    emb = np.zeros((UNITS + 1, WIDTH), dtype=np.float32)
+    np.add.at(emb, units.ravel(), dx.reshape(-1, WIDTH))
     g["emb"] = emb
     return np.concatenate([g[name].ravel() for name, _ in SHAPES]).astype(np.float64)
 

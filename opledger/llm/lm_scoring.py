@@ -20,12 +20,13 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opledger.llm import attention as net
-from opledger.llm.common import bounded_batches, crc_bucket, materialised, summed, task_index, texts
+from opledger.llm.common import bounded_batches, crc_bucket, dropped, materialised, summed, task_index, texts
 from opledger.llm.subwords import WordCache
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
@@ -119,13 +120,13 @@ def laid_out(flat: np.ndarray, n: np.ndarray, vocabulary: net.Vocabulary) -> tup
     """Units and target classes of all windows of texts with ``n`` ids each, windows of a text in order.
 
     A text of ``n`` ids has its start mark and ``n - 1`` ids to read and ``n`` to
-    score, ``SCORED`` a window; places before the mark and behind the end are -1.
+    score, ``SCORED`` a window; other places are absent, and have no target (-1).
     """
     per = -(-n // net.SCORED)
     room = net.CONTEXT + per * net.SCORED
     begin, first = np.cumsum(room) - room, np.cumsum(per) - per
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    read = np.full(int(room.sum()), -1, dtype=np.int32)
+    read = np.full(int(room.sum()), net.ABSENT, dtype=np.int32)
     unit = vocabulary.unit_of[flat]
     read[np.repeat(begin + net.CONTEXT, n) + inside] = np.where(inside == 0, vocabulary.unit_of[END], np.concatenate([unit[-1:], unit[:-1]]))
     target = np.full(int(per.sum()) * net.SCORED, -1, dtype=np.int32)
@@ -198,36 +199,50 @@ def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = Non
     head = _head(counts)
     ends = counts.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    per_word = counts.mapInArrow(_word_sums(path, lambda ids, each, n: np.bincount(ids, weights=np.repeat(n, each), minlength=END + 1)), "slice int, vec binary")
-    order = np.array(sorted(range(END), key=subwords(path).names.__getitem__) + [END])
-    per_id = _dense(per_word, END + 1)
+    codes = materialised(counts.mapInArrow(_word_codes(path), "code long, n double").groupBy("code").agg(F.sum("n").alias("n")))
+    per_id = np.zeros(END + 1)
+    for code, n in codes.filter(F.col("code") <= END).collect():  # at most one row a subword
+        per_id[code] = n
     per_id[END] = ends
+    order = np.array(sorted(range(END), key=subwords(path).names.__getitem__) + [END])
     vocabulary = net.Vocabulary.of_counts(per_id, order)
     known = spark.sparkContext.broadcast(vocabulary)
-    bigram = net.bigram_logits(_pairs(counts, path, known, ends))
+    bigram = net.bigram_logits(_pairs(codes, known, ends))
+    dropped(codes)
     flat = net.initial()
     for k, rate in enumerate(RATES):
         flat = _round(seen, k, rate, path, known, bigram, flat)
     return LanguageModel(vocabulary, bigram, flat, head, int(tokens), int(distinct), int(ends)), counts
 
 
-def _word_sums(path: str, of):
-    """Batch function that adds up ``of(ids, subwords of each word, counts of the words)``."""
+#: What a code counts: a subword, a pair within a word (the first's id above ``ID_BITS``), a word's last and its first.
+ID_BITS, PAIR, LAST, FIRST = 17, 1 << 40, 2 << 40, 3 << 40
+
+
+def _word_codes(path: str):
+    """Batch function from words with counts to ``(code, n)`` of their subwords, pairs, and edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = subwords(path), 0.0
+        encode = subwords(path)
         for batch in batches:
             ws, n = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
             keep = [k for k, w in enumerate(ws) if w]
-            if keep:
-                total = total + of(*encode([ws[k] for k in keep]), n[keep])
-        if not np.isscalar(total):
-            yield _slices(total)
+            if not keep:
+                continue
+            ids, each = encode([ws[k] for k in keep])
+            last = np.cumsum(each) - 1
+            weight, inner = np.repeat(n[keep], each), np.ones(len(ids), dtype=bool)
+            inner[last] = False
+            at = np.flatnonzero(inner)
+            code = np.concatenate([ids, PAIR + (ids[at] << ID_BITS) + ids[at + 1], LAST + ids[last], FIRST + ids[last - each + 1]])
+            code, where = np.unique(code, return_inverse=True)
+            total = np.bincount(where, weights=np.concatenate([weight, weight[at], n[keep], n[keep]]))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total)], names=["code", "n"])
 
     return run
 
 
-def _pairs(counts: DataFrame, path: str, known, ends: int) -> np.ndarray:
+def _pairs(codes: DataFrame, known, ends: int) -> np.ndarray:
     """Expected counts of a class after a unit over the training texts.
 
     Within words they are exact, from the words' counts.  After a word's last unit,
@@ -236,17 +251,17 @@ def _pairs(counts: DataFrame, path: str, known, ends: int) -> np.ndarray:
     """
     u, c = net.UNITS, net.CLASSES
 
-    def of(ids: np.ndarray, each: np.ndarray, n: np.ndarray) -> np.ndarray:
-        v, weight = known.value, np.repeat(n, each)
-        last = np.cumsum(each) - 1
-        inner = np.ones(len(ids), dtype=bool)
-        inner[last] = False
-        at = np.flatnonzero(inner)
-        within = np.bincount(v.unit_of[ids[at]].astype(np.int64) * c + v.class_of[ids[at + 1]], weights=weight[at], minlength=u * c)
-        first = np.bincount(v.class_of[ids[last - each + 1]], weights=n, minlength=c)
-        return np.concatenate([within, first, np.bincount(v.unit_of[ids[last]], weights=n, minlength=u)])
-
-    total = _dense(counts.mapInArrow(_word_sums(path, of), "slice int, vec binary"), u * c + c + u)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, total = known.value, np.zeros(u * c + c + u)
+        for batch in batches:
+            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            kind, low = code >> 40, code & ((1 << 40) - 1)
+            pair, last, first = low[kind == 1], low[kind == 2], low[kind == 3]
+            at = v.unit_of[pair >> ID_BITS].astype(np.int64) * c + v.class_of[pair & ((1 << ID_BITS) - 1)]
+            total += np.concatenate([np.bincount(at, weights=n[kind == 1], minlength=u * c), np.bincount(v.class_of[first], weights=n[kind == 3], minlength=c), np.bincount(v.unit_of[last], weights=n[kind == 2], minlength=u)])
+        yield _slices(total)
+
+    total = _dense(codes.filter(F.col("code") > END).mapInArrow(run, "slice int, vec binary"), u * c + c + u)
     within, first, final = total[: u * c].reshape(u, c), total[u * c : u * c + c], total[u * c + c :]
     v = known.value
     first[v.class_of[END]] += ends
@@ -277,11 +292,11 @@ def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple
             return len(unit)
 
         for batch in batches:
-            text, share = texts(batch.column(0)), batch.column(1).to_pylist()
-            if mine := [t for t, s in zip(text, share, strict=True) if s == k]:
+            own = pc.equal(batch.column(1), k)
+            if mine := texts(batch.column(0).filter(own)):
                 done += train_on(mine, done < least)
             if spare_bytes < 16 * least * net.SCORED:
-                other = [t for t, s in zip(text, share, strict=True) if s != k]
+                other = texts(batch.column(0).filter(pc.invert(own)))
                 spare += other
                 spare_bytes += sum(map(len, other))
         order = rng.permutation(len(spare))

@@ -205,7 +205,7 @@ def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     flat, table = attention.initial(), attention.bigram_logits(rng.integers(0, 9, (attention.UNITS, attention.CLASSES)).astype(float))
     unit, target = rng.integers(0, attention.UNITS, (6, attention.LENGTH)), rng.integers(0, attention.CLASSES, (6, attention.SCORED))
-    unit[0, : attention.CONTEXT], target[1, 5:] = -1, -1
+    unit[0, : attention.CONTEXT], target[1, 5:] = attention.ABSENT, -1
     loss = lambda f: -attention.Model(f, table).log_probabilities(unit, target).sum(dtype=float) / (target >= 0).sum()
     g, at = attention.gradient(attention.Model(flat, table), unit, target), 0
     for _, shape in attention.SHAPES:
