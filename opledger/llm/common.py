@@ -78,6 +78,11 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def utf8(column: pa.Array) -> list[bytes]:
+    """Bytes of a column of strings; null is the empty text."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def crc_bucket(column, n: int):
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opledger.llm import attention as net
-from opledger.llm.common import bounded_batches, crc_bucket, dropped, materialised, summed, task_index, texts
+from opledger.llm.common import bounded_batches, crc_bucket, dropped, materialised, summed, task_index, utf8
 from opledger.llm.subwords import WordCache
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
@@ -43,8 +43,8 @@ END = 50_256
 SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<binary>, times array<long>"
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+def words(text: bytes) -> list[bytes]:
+    return text.lower().split()  # of bytes: ASCII alone
 
 
 class Subwords:
@@ -60,6 +60,11 @@ class Subwords:
         self.first = np.array([n.startswith(b" ") for n in self.names])
 
     def __call__(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has; the empty word is ``END``."""
+        if b"" in ws:
+            at = ws.index(b"")
+            ids, count = self(ws[:at] + ws[at + 1 :])
+            return np.insert(ids, int(count[:at].sum()), END), np.insert(count, at, 1)
         ids = np.array(self.encode((b" " + b" ".join(ws)).decode("utf-8", "replace")) if ws else [], dtype=np.int64)
         begin = np.flatnonzero(self.first[ids]) if len(ids) else ids
         if len(begin) != len(ws):
@@ -74,23 +79,20 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-def encoded(cache: WordCache, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of several texts at once: their cache numbers, how many each text has, all ids, and how many each word has."""
-    each = [words(t) for t in some]
-    numbers = cache.numbers(list(chain.from_iterable(each)))
-    ids, count = cache.ids(numbers)
-    return numbers, np.array([len(w) for w in each], dtype=np.int64), ids, count
-
+def encoded(cache: WordCache, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Several texts, each with the empty word as its end.
 
-def ended(ids: np.ndarray, count: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids with ``END`` behind each text, and how many ids each text then has."""
-    owner = np.repeat(np.arange(len(n_words)), n_words)
-    n = np.bincount(owner, weights=count, minlength=len(n_words)).astype(np.int64)
-    return np.insert(ids, np.cumsum(n), END), n + 1
+    Cache numbers of the words, how many words each text has, all ids, how many
+    each word has, and how many each text has.
+    """
+    each = [[*words(t), b""] for t in some]
+    numbers, n_words = cache.numbers(list(chain.from_iterable(each))), np.array([len(w) for w in each], dtype=np.int64)
+    ids, count = cache.ids(numbers)
+    return numbers, n_words, ids, count, np.add.reduceat(count, np.cumsum(n_words) - n_words)
 
 
-def parts(some: list[str], most: int = 1 << 20):
-    """The texts in runs of about ``most`` characters."""
+def parts(some: list[bytes], most: int = 1 << 20):
+    """The texts in runs of about ``most`` bytes."""
     run, size = [], 0
     for t in some:
         run.append(t)
@@ -110,7 +112,6 @@ class LanguageModel:
     head: dict[bytes, int]
     tokens: int
     distinct: int
-    ends: int
 
     def log10_unigram(self, count):
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
@@ -145,9 +146,8 @@ def _word_counts(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in texts(batch.column(0)):
-                seen.update(words(text))
-                seen[b""] += 1
+            seen.update(chain.from_iterable(map(words, utf8(batch.column(0)))))
+            seen[b""] += batch.num_rows
             if len(seen) > COUNT_WORDS:
                 yield batch_of()
                 seen.clear()
@@ -198,7 +198,8 @@ def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = Non
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = _head(counts)
     ends = counts.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
+    if ends:
+        head[b""] = ends
     codes = materialised(counts.mapInArrow(_word_codes(path), "code long, n double").groupBy("code").agg(F.sum("n").alias("n")))
     per_id = np.zeros(END + 1)
     for code, n in codes.filter(F.col("code") <= END).collect():  # at most one row a subword
@@ -212,7 +213,7 @@ def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = Non
     flat = net.initial()
     for k, rate in enumerate(RATES):
         flat = _round(seen, k, rate, path, known, bigram, flat)
-    return LanguageModel(vocabulary, bigram, flat, head, int(tokens), int(distinct), int(ends)), counts
+    return LanguageModel(vocabulary, bigram, flat, head, int(tokens), int(distinct)), counts
 
 
 #: What a code counts: a subword, a pair within a word (the first's id above ``ID_BITS``), a word's last and its first.
@@ -283,9 +284,9 @@ def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple
         trainer, done, rng = net.Trainer(start.value[1], start.value[0], rate), 0, np.random.default_rng(7)
         spare, spare_bytes, held = [], 0, []
 
-        def train_on(some: list[str], hold: bool) -> int:
-            _, n_words, ids, count = encoded(cache, some)
-            unit, target = laid_out(*ended(ids, count, n_words), v)
+        def train_on(some: list[bytes], hold: bool) -> int:
+            _, _, ids, _, n = encoded(cache, some)
+            unit, target = laid_out(ids, n, v)
             if hold:
                 held.append((unit, target))
             _steps(trainer, unit, target, rng)
@@ -293,10 +294,10 @@ def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple
 
         for batch in batches:
             own = pc.equal(batch.column(1), k)
-            if mine := texts(batch.column(0).filter(own)):
+            if mine := utf8(batch.column(0).filter(own)):
                 done += train_on(mine, done < least)
             if spare_bytes < 16 * least * net.SCORED:
-                other = texts(batch.column(0).filter(pc.invert(own)))
+                other = utf8(batch.column(0).filter(pc.invert(own)))
                 spare += other
                 spare_bytes += sum(map(len, other))
         order = rng.permutation(len(spare))
@@ -357,11 +358,11 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache, attention, uid = _Scored(subwords(path), m.head), net.Model(m.flat, m.bigram), task_index() << 36
-        end_log, head_tokens = float(m.log10_unigram(m.ends)), max(sum(m.head.values()) + m.ends, 1)
+        head_tokens = max(sum(m.head.values()), 1)
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for some in parts(texts(batch.column(1))):
-                for column, got in zip(columns, _scored(some, cache, attention, m, end_log, head_tokens), strict=True):
+            for some in parts(utf8(batch.column(1))):
+                for column, got in zip(columns, _scored(some, cache, attention, m, head_tokens), strict=True):
                     column.append(got)
             length, known, base, score, tail, times = (pa.concat_arrays(c) for c in columns)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(2), length, known, base, score, tail, times], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
@@ -379,21 +380,18 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _scored(some: list[str], cache: _Scored, attention: net.Model, m: LanguageModel, end_log: float, head_tokens: int) -> list[pa.Array]:
+def _scored(some: list[bytes], cache: _Scored, attention: net.Model, m: LanguageModel, head_tokens: int) -> list[pa.Array]:
     """Token counts, base sums over head words, scores, and the words outside the head, of several texts."""
-    numbers, n_words, ids, count = encoded(cache, some)
+    numbers, n_words, ids, count, n = encoded(cache, some)
     c, owner = cache.seen[numbers], np.repeat(np.arange(len(some)), n_words)
     inside = c >= 0
-    base = np.bincount(owner[inside], weights=m.log10_unigram(c[inside]), minlength=len(some)) + end_log
-    known = np.bincount(owner[inside], minlength=len(some)) + (m.ends > 0)
+    base = np.bincount(owner[inside], weights=m.log10_unigram(c[inside]), minlength=len(some))
+    known = np.bincount(owner[inside], minlength=len(some))
     far, times = np.unique(owner[~inside] << 32 | numbers[~inside], return_counts=True)
     offsets = pa.array(np.searchsorted(far >> 32, np.arange(len(some) + 1)), pa.int32())
     names = pa.array([cache.named[k] for k in (far & 0xFFFFFFFF).tolist()], pa.binary())
-    flat, n = ended(ids, count, n_words)
-    at = np.cumsum(n_words)
-    share = np.insert(np.maximum(c, 0), at, m.ends) / head_tokens
-    score = _scores(flat, n, np.insert(count, at, 1), n_words + 1, share, attention, m.vocabulary)
-    return [pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
+    score = _scores(ids, n, count, n_words, np.maximum(c, 0) / head_tokens, attention, m.vocabulary)
+    return [pa.array(n_words), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
 
 
 def _scores(flat: np.ndarray, n: np.ndarray, count: np.ndarray, n_words: np.ndarray, share: np.ndarray, attention: net.Model, vocabulary: net.Vocabulary) -> np.ndarray:
