@@ -157,23 +157,26 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _head(counts: DataFrame) -> dict[bytes, int]:
-    """The most frequent words, ``HEAD_WORDS`` at most: those above a count that a histogram of counts gives.
+def _head(counts: DataFrame) -> tuple[dict[bytes, int], int, int, int]:
+    """The most frequent words, and the numbers of all tokens, of different ones, and of text ends.
 
-    Counts are binned by sixteenths of powers of two, so the histogram is small; a
-    bin that would not fit whole is left out.
+    The words are those above a count that a histogram of counts gives, ``HEAD_WORDS``
+    at most.  Counts are binned by sixteenths of powers of two, so the histogram is
+    small; a bin that would not fit whole is left out.  The end is always among them.
     """
-    level = F.floor(F.log2("n") * 16)
-    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    level, end = F.floor(F.log2("n") * 16), F.octet_length("word") == 0
+    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum(F.when(end, F.col("n")).otherwise(0)).alias("ends")).collect(), reverse=True)
     least, room = None, HEAD_WORDS
     for b in bins:
         room -= b["words"]
         if room < 0:
             break
         least = b["level"]
-    if least is None:
-        return {}
-    return {bytes(r[0]): r[1] for r in counts.filter((level >= least) & (F.octet_length("word") > 0)).collect()}
+    ends = sum(b["ends"] for b in bins)
+    head = {bytes(r[0]): r[1] for r in counts.filter((level >= least) & ~end).collect()} if least is not None else {}
+    if ends:
+        head[b""] = ends
+    return head, sum(b["n"] for b in bins), sum(b["words"] for b in bins), ends
 
 
 def _dense(parts: DataFrame, size: int, slices: int = SLICES) -> np.ndarray:
@@ -195,11 +198,7 @@ def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = Non
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     seen = docs.filter(crc_bucket("doc_id", held_out_of) != 0).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = materialised(_word_counts(seen))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = _head(counts)
-    ends = counts.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if ends:
-        head[b""] = ends
+    head, tokens, distinct, ends = _head(counts)
     codes = materialised(counts.mapInArrow(_word_codes(path), "code long, n double").groupBy("code").agg(F.sum("n").alias("n")))
     per_id = np.zeros(END + 1)
     for code, n in codes.filter(F.col("code") <= END).collect():  # at most one row a subword
