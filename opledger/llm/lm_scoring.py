@@ -1,7 +1,7 @@
 """Language-model scoring: word unigrams as the base, causal self-attention on subwords.
 
 What the model gathers follows the corpus: the counts of all training words, from
-them the counts of all subwords and subword pairs, and weights trained in rounds on a fixed share of the training documents.
+them the counts of all subwords and subword pairs, and weights trained in rounds that share out all training documents.
 A round's tasks train from the same weights and their results are averaged by the
 windows they saw, as a stream on the executors.  A word's probability is the mean
 of the product of its subwords' under attention and its share among the most
@@ -31,8 +31,8 @@ from opledger.llm.subwords import WordCache
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
 HEAD_WORDS = 250_000
-#: Learning rates of the rounds of training, each on one of ``SHARES`` shares of the training documents; windows of a step.
-RATES, SHARES, STEP_WINDOWS = (3e-2, 2e-2, 7e-3), 64, 32
+#: Learning rates of the rounds of training, which share out all training documents; windows of a step.
+RATES, STEP_WINDOWS = (3e-2, 2e-2, 7e-3), 32
 #: Steps that a task with documents takes at least in a round.
 LEAST_STEPS = 150
 #: Share of the attention model in a word's probability; the rest is the word's share among the head words.
@@ -272,8 +272,9 @@ def _pairs(codes: DataFrame, known, ends: int) -> np.ndarray:
 def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple[np.ndarray, np.ndarray], flat: np.ndarray) -> np.ndarray:
     """Weights after round ``k``; unchanged if there is no document.
 
-    A task trains on its share of documents, and on others up to ``LEAST_STEPS``
-    steps; where all of them do not make so many, over its windows again.
+    A task trains on all its documents of the round, each document being in one
+    round, and on others up to ``LEAST_STEPS`` steps; where all of them do not make
+    so many, over its windows again.
     """
     start = seen.sparkSession.sparkContext.broadcast((bigram, flat))
     least = LEAST_STEPS * STEP_WINDOWS
@@ -293,7 +294,7 @@ def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple
 
         for batch in batches:
             own = pc.equal(batch.column(1), k)
-            if mine := utf8(batch.column(0).filter(own)):
+            for mine in parts(utf8(batch.column(0).filter(own))):
                 done += train_on(mine, done < least)
             if spare_bytes < 16 * least * net.SCORED:
                 other = utf8(batch.column(0).filter(pc.invert(own)))
@@ -309,7 +310,7 @@ def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple
         if done:
             yield _slices(np.append(trainer.flat * done, done), 16)
 
-    rows = seen.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share"))
+    rows = seen.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))).cast("int").alias("share"))
     total = _dense(rows.mapInArrow(learn, "slice int, vec binary"), net.SIZE + 1, 16)
     return total[:-1] / total[-1] if total[-1] else flat
 

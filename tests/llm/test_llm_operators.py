@@ -182,6 +182,23 @@ def test_base_score_equals_brute_force_and_probabilities_add_up(docs):
     assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
 
 
+def test_rounds_train_on_all_training_documents_once(docs, monkeypatch):
+    windows, dense = [], lm_scoring._dense
+
+    def counted(parts, size, slices=lm_scoring.SLICES):
+        total = dense(parts, size, slices)
+        if size == attention.SIZE + 1:
+            windows.append(total[-1])
+        return total
+
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
+    monkeypatch.setattr(lm_scoring, "_dense", counted)
+    lm_scoring.train(docs)
+    texts = [(r.text or "").encode() for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10]
+    n = lm_scoring.encoded(subwords.WordCache(lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"))), texts)[-1]
+    assert len(windows) == len(lm_scoring.RATES) and sum(windows) == (-(-n // attention.SCORED)).sum()
+
+
 def test_each_token_is_scored_once_under_a_causal_mask():
     rng = np.random.default_rng(0)
     flat, table = attention.initial(), attention.bigram_logits(rng.integers(0, 9, (attention.UNITS, attention.CLASSES)).astype(float))
