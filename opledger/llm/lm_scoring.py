@@ -4,8 +4,8 @@ What the model gathers follows the corpus: the counts of all training words, fro
 them the counts of all subwords and subword pairs, and weights trained in rounds that share out all training documents.
 A round's tasks train from the same weights and their results are averaged by the
 windows they saw, as a stream on the executors.  A word's probability is the mean
-of the product of its subwords' under attention and its share among the most
-frequent words, so a text's words still have probabilities that add up to one.
+of the product of its subwords' under attention and its share of all training
+words, so a text's words still have probabilities that add up to one.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ HEAD_WORDS = 250_000
 RATES, STEP_WINDOWS = (3e-2, 2e-2, 7e-3), 32
 #: Steps that a task with documents takes at least in a round.
 LEAST_STEPS = 150
-#: Share of the attention model in a word's probability; the rest is the word's share among the head words.
+#: Share of the attention model in a word's probability; the rest is the word's share of the training tokens.
 MIX = 0.5
 COUNT_WORDS, CACHE_WORDS, SLICES = 400_000, 300_000, 64
 END = 50_256
 
-SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<binary>, times array<long>"
+SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, attention: double>>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -347,7 +347,8 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
     """One row per document: token counts, base score and the model's log10 probability.
 
     A null text is empty and has its end token alone.  Words outside the head are
-    joined with their counts, so each token has its count however rare it is.
+    joined with their counts, their attention probabilities beside them, so each
+    token has its count in both scores however rare it is.
     Repeated rows are scored each; a null ``doc_id`` stays null and counts as the
     empty text for the fold.  Without training documents all counts are 0.
     """
@@ -358,49 +359,46 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache, attention, uid = _Scored(subwords(path), m.head), net.Model(m.flat, m.bigram), task_index() << 36
-        head_tokens = max(sum(m.head.values()), 1)
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(5)]
             for some in parts(utf8(batch.column(1))):
-                for column, got in zip(columns, _scored(some, cache, attention, m, head_tokens), strict=True):
+                for column, got in zip(columns, _scored(some, cache, attention, m), strict=True):
                     column.append(got)
-            length, known, base, score, tail, times = (pa.concat_arrays(c) for c in columns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(2), length, known, base, score, tail, times], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
+            length, known, base, score, tail = (pa.concat_arrays(c) for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(2), length, known, base, score, tail], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
             uid += batch.num_rows
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_bucket("doc_id", held_out_of) == 0).alias("held_out"))
     rows = materialised(wanted.mapInArrow(run, SCHEMA))
-    each = rows.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("w")).select("uid", F.col("w.tail").alias("word"), F.col("w.times").alias("times"))
+    each = rows.select("uid", F.explode("tail").alias("w")).select("uid", F.col("w.word").alias("word"), F.col("w.attention").alias("attention"))
     c = F.coalesce(F.col("n"), F.lit(0))
+    mixed = F.log10(MIX * F.exp("attention") + (1 - MIX) * c / F.lit(max(model.tokens, 1)) + 1e-300)
     per_text = each.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
+        F.sum(F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))).alias("more"), F.count_if(c > 0).alias("found"), F.sum(mixed).alias("more_score"))
     zero = F.lit(0)
-    return rows.drop("tail", "times").join(per_text, "uid", "left").select(
+    return rows.drop("tail").join(per_text, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", zero)).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
 
 
-def _scored(some: list[bytes], cache: _Scored, attention: net.Model, m: LanguageModel, head_tokens: int) -> list[pa.Array]:
-    """Token counts, base sums over head words, scores, and the words outside the head, of several texts."""
+def _scored(some: list[bytes], cache: _Scored, attention: net.Model, m: LanguageModel) -> list[pa.Array]:
+    """Token counts, sums over head words of both scores, and the words outside the head, of several texts."""
     numbers, n_words, ids, count, n = encoded(cache, some)
     c, owner = cache.seen[numbers], np.repeat(np.arange(len(some)), n_words)
     inside = c >= 0
     base = np.bincount(owner[inside], weights=m.log10_unigram(c[inside]), minlength=len(some))
     known = np.bincount(owner[inside], minlength=len(some))
-    far, times = np.unique(owner[~inside] << 32 | numbers[~inside], return_counts=True)
-    offsets = pa.array(np.searchsorted(far >> 32, np.arange(len(some) + 1)), pa.int32())
-    names = pa.array([cache.named[k] for k in (far & 0xFFFFFFFF).tolist()], pa.binary())
-    score = _scores(ids, n, count, n_words, np.maximum(c, 0) / head_tokens, attention, m.vocabulary)
-    return [pa.array(n_words), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
+    word = _attention(ids, n, count, attention, m.vocabulary)
+    mixed = np.log10(MIX * np.exp(word[inside]) + (1 - MIX) * c[inside] / max(m.tokens, 1) + 1e-300)
+    score = np.bincount(owner[inside], weights=mixed, minlength=len(some))
+    offsets = pa.array(np.searchsorted(owner[~inside], np.arange(len(some) + 1)), pa.int32())
+    names = pa.array([cache.named[k] for k in numbers[~inside].tolist()], pa.binary())
+    tail = pa.StructArray.from_arrays([names, pa.array(word[~inside], pa.float64())], names=["word", "attention"])
+    return [pa.array(n_words), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, tail)]
 
 
-def _scores(flat: np.ndarray, n: np.ndarray, count: np.ndarray, n_words: np.ndarray, share: np.ndarray, attention: net.Model, vocabulary: net.Vocabulary) -> np.ndarray:
-    """log10 probability of texts of ``n`` ids and ``n_words`` words, their ends among both.
-
-    ``count`` has the ids of each word, ``share`` its part of the head words.
-    """
+def _attention(flat: np.ndarray, n: np.ndarray, count: np.ndarray, attention: net.Model, vocabulary: net.Vocabulary) -> np.ndarray:
+    """Natural log probability of each word, of ``count`` ids, in texts of ``n`` ids, their ends among both."""
     unit, target = laid_out(flat, n, vocabulary)
     token = attention.log_probabilities(unit, target)[target >= 0] + vocabulary.log_share[flat]
-    word = np.add.reduceat(token, np.cumsum(count) - count)
-    word = np.log10(MIX * np.exp(word) + (1 - MIX) * share + 1e-300)
-    return np.bincount(np.repeat(np.arange(len(n)), n_words), weights=word, minlength=len(n))
+    return np.add.reduceat(token, np.cumsum(count) - count)

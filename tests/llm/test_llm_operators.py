@@ -199,6 +199,14 @@ def test_rounds_train_on_all_training_documents_once(docs, monkeypatch):
     assert len(windows) == len(lm_scoring.RATES) and sum(windows) == (-(-n // attention.SCORED)).sum()
 
 
+def test_scores_do_not_depend_on_the_head(docs, monkeypatch):
+    want = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 50)
+    for r in lm_scoring.score_texts(docs).collect():
+        w = want[r.doc_id]
+        assert r.n_known == w.n_known and math.isclose(r.base_score, w.base_score, rel_tol=1e-9) and math.isclose(r.score, w.score, rel_tol=1e-3)
+
+
 def test_each_token_is_scored_once_under_a_causal_mask():
     rng = np.random.default_rng(0)
     flat, table = attention.initial(), attention.bigram_logits(rng.integers(0, 9, (attention.UNITS, attention.CLASSES)).astype(float))
