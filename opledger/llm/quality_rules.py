@@ -1,9 +1,10 @@
 """Quality rules: basic word counts and zstandard compression bands.
 
 A text's compressed share (compressed bytes over bytes) must lie in the band of
-its length: below it the text repeats itself, above it the text is noise.  Long
-texts are also compressed in chunks of ``CHUNK`` bytes, so that a repetitive or
-incompressible stretch shows that the whole text's share would hide.
+its length: below it the text repeats itself, above it the text is noise.  Texts
+are also compressed in chunks, of ``CHUNK`` bytes or of ``SMALL_CHUNK`` in texts
+under two ``CHUNK``, so that a repetitive or incompressible stretch shows that the
+whole text's share would hide.  The last chunk ends with the text and may overlap.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import types as T
 
 from opledger.llm.common import long_id, map_batches, texts
 
-LEVEL, CHUNK = 3, 4096
+LEVEL, CHUNK, SMALL_CHUNK = 3, 4096, 512
 #: From so many bytes on (to the next row's), the least and the largest share that is kept.
 BANDS = ((0, 0.0, 9.9), (64, 0.45, 1.25), (128, 0.40, 1.00), (256, 0.36, 0.88), (512, 0.33, 0.80), (1024, 0.30, 0.74), (4096, 0.27, 0.70), (65536, 0.24, 0.68))
-#: A chunk's band, and the share of chunks that may lie outside.
+#: A chunk's band, and the share of chunks that may lie outside.  A small chunk's band is that of a text of its length.
 CHUNK_BAND, CHUNK_SHARE = (0.30, 0.72), 0.25
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 
@@ -59,19 +60,25 @@ def duplicate_lines(data: bytes) -> int:
 
 
 def compression(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Compressed share of the text, and the share of its whole chunks outside their band."""
+    """Compressed share of the text, and the share of its chunks outside their band."""
     if not data:
         return 0.0, 0.0
     whole = len(compressor.compress(data)) / len(data)
-    if len(data) < 2 * CHUNK:
+    size, (low, high) = (CHUNK, CHUNK_BAND) if len(data) >= 2 * CHUNK else (SMALL_CHUNK, band(SMALL_CHUNK))
+    if len(data) <= size:
         return whole, 0.0
-    shares = [len(compressor.compress(data[k : k + CHUNK])) / CHUNK for k in range(0, len(data) - CHUNK + 1, CHUNK)]
-    low, high = CHUNK_BAND
+    starts = [*range(0, len(data) - size, size), len(data) - size]
+    shares = [len(compressor.compress(data[k : k + size])) / size for k in starts]
     return whole, sum(not low <= x <= high for x in shares) / len(shares)
 
 
+def band(size: int) -> tuple[float, float]:
+    """The least and the largest share of a text of ``size`` bytes."""
+    return next((lo, hi) for start, lo, hi in reversed(BANDS) if size >= start)
+
+
 def passes(size: int, share: float, bad_chunks: float) -> bool:
-    low, high = next((lo, hi) for start, lo, hi in reversed(BANDS) if size >= start)
+    low, high = band(size)
     return low <= share <= high and bad_chunks <= CHUNK_SHARE
 
 

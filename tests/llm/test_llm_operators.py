@@ -119,6 +119,19 @@ def test_compression_bands():
     assert not verdict(prose + " " + "junk words here " * 1500)
 
 
+def test_junk_shows_in_short_texts_and_in_last_parts(docs):
+    import zstandard
+
+    c, rng = zstandard.ZstdCompressor(level=3), random.Random(2)
+    noise = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    kept = lambda t: quality_rules.passes(len(t), *quality_rules.compression(t.encode(), c))
+    prose = max((r.text for r in docs.filter("lang = 'en' and octet_length(text) = length(text)").collect() if kept(r.text)), key=len)
+    assert len(prose) > 9000
+    for good, junk in ((400, 400), (1000, 600), (3000, 3000), (5000, 4000)):
+        assert kept(prose[: good + junk]) and not kept(prose[:good] + noise(junk))
+    assert not kept(prose[:3000] + "junk words here " * 120)
+
+
 # 3: extraction
 
 
