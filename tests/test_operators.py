@@ -143,6 +143,22 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_near_pairs_query_equals_brute_force_beyond_ascii(spark, tmp_path):
+    from opledger.plans import textsim as plans
+
+    base = ["Große Straße über den Fluß", "déjà  vu à l'école", "plain words of ascii", "año nuevo,\u00a0niño pequeño", "日本語の文章です"]
+    texts = base + ["große strasse über den fluß", "deja vu à l'ecole", "déjà vu À L'ÉCOLE", "plain wörds of ascii", "ano nuevo, niño pequeñ", "日本語の文章だ", "日本語の文書です", ""]
+    rows = [(k // 4, k % 4, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    forms = {}
+    for c, t, text in rows:
+        forms.setdefault(" ".join(text.split()).lower(), c * 1000 + t)
+    items = [(i, f.encode()) for f, i in forms.items() if f]
+    want = {(i, j) for i, a in items for j, b in items if i < j and textsim._levenshtein(a, b) <= 3}
+    got = [tuple(r) for r in plans.near_duplicate_pairs(spark, str(tmp_path)).collect()]
+    assert len(want) >= 4 and sorted(got) == sorted(want)
+
+
 def test_nearest_ties_go_to_the_least_id(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
     got = {r.query_id: r.neighbour_id for r in textsim.nearest(rows, rows).collect()}
