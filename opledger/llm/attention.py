@@ -1,235 +1,176 @@
 """A small causal self-attention language model in numpy.
 
-One head of attention and one feed-forward layer over unit embeddings correct the
-logits of a bigram table.  The output goes down in two steps: to a frequent class
-or a cluster of classes, then to the class in its cluster; a subword's share of its
-class comes from corpus counts, so the probabilities of all subwords add up to one.  A window's first ``CONTEXT`` positions are read
-but not scored; windows overlap by them, and each token is scored once.
+A position is a token of a text; its vector is a trained projection of the features
+of its subword ids.  One head of attention with a bias by distance gives the
+probabilities of the next token's class, each in its share of :func:`link` over
+all classes.  A window's first ``CONTEXT`` positions are read but not scored;
+windows overlap by them, and each token is scored once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import ctypes
+from itertools import accumulate
 
 import numpy as np
 
-#: Window length, positions of it that are context alone, width, feed-forward width.
-LENGTH, CONTEXT, WIDTH, INNER = 40, 8, 16, 16
+#: Window length, positions of it that are context alone, width.
+LENGTH, CONTEXT, WIDTH = 40, 8, 16
 SCORED = LENGTH - CONTEXT
-#: Output classes: so many frequent subwords alone, the rest in groups.  Input units: frequent subwords alone, then the groups.
-ALONE, GROUPS, UNITS_ALONE = 192, 64, 1024
-CLASSES, UNITS = ALONE + GROUPS, UNITS_ALONE + GROUPS
-#: Input unit of a place before a text's start mark or behind its end.
-ABSENT = UNITS
-#: Classes of the first step that are no cluster, classes of a cluster, clusters, and all choices of the first step.
-TOP, MEMBERS = 64, 32
-CLUSTERS = (CLASSES - TOP) // MEMBERS
-FIRST = TOP + CLUSTERS
+#: Features of a token: one for each of the most frequent subwords, spectral ones for all, and those of the places before a text's start mark and of the mark.
+KNOWN, SPECTRAL = 46, 16
+ABSENT, START = KNOWN + SPECTRAL, KNOWN + SPECTRAL + 1
+FEATURES = KNOWN + SPECTRAL + 2
+#: Output classes: frequent words alone (the end of a text among them), the others in groups.
+ALONE, GROUPS = 32, 64
+CLASSES = ALONE + GROUPS
 #: Windows computed at once: their arrays stay in a core's cache.
 BATCH = 64
-#: Rows of a cluster computed at once.
-ROWS = 2048
 
-SHAPES = (("emb", (UNITS + 1, WIDTH)), ("pos", (LENGTH, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wkv", (WIDTH, 2 * WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, INNER)), ("b1", (INNER,)), ("w2", (INNER, WIDTH)), ("out", (WIDTH, FIRST)), ("bias", (FIRST,)), ("out2", (CLUSTERS, WIDTH, MEMBERS)), ("bias2", (CLUSTERS, MEMBERS)))
-SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
+SHAPES = {"emb": (FEATURES, WIDTH), "wq": (WIDTH, WIDTH), "wkv": (WIDTH, 2 * WIDTH), "far": (LENGTH,), "wo": (WIDTH, WIDTH), "out": (WIDTH + 1, CLASSES)}
+_ENDS = list(accumulate(int(np.prod(s)) for s in SHAPES.values()))
+_PLACES = [(name, end - int(np.prod(s)), end, s) for (name, s), end in zip(SHAPES.items(), _ENDS, strict=True)]
+SIZE = _ENDS[-1]
 
-_MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None], 0.0, -1e9).astype(np.float32)
+#: Distance from each scored position back to each place of its window; what lies ahead is not seen.
+_BACK = np.arange(CONTEXT, LENGTH)[:, None] - np.arange(LENGTH)[None, :]
+_SEEN, _FAR = (_BACK >= 0).astype(np.float32), np.maximum(_BACK, 0)
+#: A step of e and the value of 1 in the bits of a single-precision number, and the bits of 2**-60 and 2**60.
+_E, _ONE, _LEAST, _MOST = np.float32((1 << 23) / np.log(2)), np.float32(127 << 23), np.float32(67 << 23), np.float32(187 << 23)
+_SCALE = np.float32(WIDTH**-0.5)
 
 
-_ONES = np.ones(FIRST, dtype=np.float32)
+def keep_memory() -> None:
+    """Let this process keep freed blocks up to 64 MB for the next batch instead of asking the system for cleared pages."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-1, 1 << 28)  # what may lie free
+        libc.mallopt(-3, 1 << 26)  # the least block with pages of its own
 
 
-@dataclass
-class Vocabulary:
-    """Class, input unit and log share in its class of every subword."""
+def link(bits: np.ndarray) -> np.ndarray:
+    """The exponential, linear between powers of two, of ``z`` given as ``z * _E + _ONE``; changes its argument.
 
-    class_of: np.ndarray
-    unit_of: np.ndarray
-    log_share: np.ndarray
+    Attention and classes are shares of this function, so that both add up to one;
+    it costs a clip and a cast.
+    """
+    np.clip(bits, _LEAST, _MOST, out=bits)
+    return bits.astype(np.int32).view(np.float32)
 
-    @classmethod
-    def of_counts(cls, counts: np.ndarray, order: np.ndarray) -> Vocabulary:
-        """Frequent subwords alone; the others, in ``order``, in groups of about equal mass."""
-        rank = np.argsort(-counts, kind="stable")
-        group = np.zeros(len(counts), dtype=np.int64)
-        rest = order[~np.isin(order, rank[:ALONE])]
-        mass = np.cumsum(counts[rest] + 0.1)
-        group[rest] = np.minimum((mass / mass[-1] * GROUPS).astype(np.int64), GROUPS - 1)
-        class_of = ALONE + group
-        class_of[rank[:ALONE]] = np.arange(ALONE)
-        unit_of = UNITS_ALONE + group
-        unit_of[rank[:UNITS_ALONE]] = np.arange(UNITS_ALONE)
-        mine = counts + 0.1
-        share = mine / np.bincount(class_of, weights=mine, minlength=CLASSES)[class_of]
-        return cls(class_of.astype(np.int32), unit_of.astype(np.int32), np.log(share))
 
-
-def initial(seed: int = 5) -> np.ndarray:
-    """Start of training; the output is 0, so the model starts as its bigram table."""
+def initial(class_share: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Start of training: the output knows the classes' shares alone."""
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 1 / np.sqrt(s[0]) if len(s) > 1 and n not in ("emb", "pos") else 0.3, s) if n not in ("out", "bias", "out2", "bias2", "b1") else np.zeros(s) for n, s in SHAPES]
-    return np.concatenate([p.ravel() for p in parts])
+    parts = [np.zeros(s) if name in ("out", "far") else rng.normal(0, s[0] ** -0.5, s) for name, s in SHAPES.items()]
+    parts[-1][-1] = np.log(class_share)
+    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES:
-        n = int(np.prod(shape))
-        out[name] = np.ascontiguousarray(flat[at : at + n].reshape(shape), dtype=np.float32)
-        at += n
-    return out
-
-
-def _smoothed(counts: np.ndarray) -> np.ndarray:
-    all_ = counts.sum(0) + 0.5
-    return np.log((counts + 30 * all_ / all_.sum()) / (counts.sum(1, keepdims=True) + 30)).astype(np.float32)
-
-
-def bigram_logits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log probabilities after each unit: of the first step's choices, and of each cluster's members."""
-    inner = counts[:, TOP:].reshape(len(counts), CLUSTERS, MEMBERS)
-    first = np.concatenate([counts[:, :TOP], inner.sum(2)], axis=1)
-    return _smoothed(first), np.stack([_smoothed(inner[:, k]) for k in range(CLUSTERS)])
-
-
-def steps_of(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First choice of each class, and its cluster (-1: none)."""
-    cluster = np.where(target >= TOP, (target - TOP) // MEMBERS, -1)
-    return np.where(cluster >= 0, TOP + cluster, target), cluster
+    """Views of the parameters in ``flat``; the last row of ``out`` is the bias."""
+    return {name: flat[begin:end].reshape(shape) for name, begin, end, shape in _PLACES}
 
 
 class Model:
-    def __init__(self, flat: np.ndarray, bigram: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, flat: np.ndarray):
         self.p = unpacked(flat)
-        self.prior = np.pad(bigram[0], ((0, 1), (0, 0))) + self.p["bias"]
-        self.prior2 = np.pad(bigram[1], ((0, 0), (0, 1), (0, 0))) + self.p["bias2"][:, None, :]
-
-    def forward(self, units: np.ndarray, keep: bool = False, shift: bool = True):
-        """First-step logits and features of the scored positions."""
-        p, n = self.p, len(units)
-        x = p["emb"][units] + p["pos"]
-        kv = (x.reshape(-1, WIDTH) @ p["wkv"]).reshape(n, LENGTH, 2 * WIDTH)
+        self.bias = (self.p["far"] * _E + _ONE)[_FAR]
+        self.out = self.p["out"] * _E
+        self.out[-1] += _ONE
+        self.wq = self.p["wq"] * (_SCALE * _E)
+
+    def hidden(self, x: np.ndarray, keep: bool = False):
+        """Features of the scored positions of windows with position vectors ``x``, a one behind them."""
+        p, n = self.p, len(x)
+        kv = np.ones((n, LENGTH, 2 * WIDTH + 1), dtype=np.float32)  # the last column adds up the weights
+        kv[:, :, : 2 * WIDTH] = (x.reshape(-1, WIDTH) @ p["wkv"]).reshape(n, LENGTH, 2 * WIDTH)
         k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-        xs = x[:, CONTEXT:]
-        q = (xs.reshape(-1, WIDTH) @ p["wq"]).reshape(n, SCORED, WIDTH) * np.float32(WIDTH**-0.5)
+        xs = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
+        q = (xs @ self.wq).reshape(n, SCORED, WIDTH)
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a += _MASK
-        if shift:
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        if keep:
-            a /= a.sum(axis=2, keepdims=True)
-            c = np.matmul(a, v).reshape(-1, WIDTH)
-        else:  # a column of ones beside the values adds up the weights
-            c = np.matmul(a, np.concatenate([v, np.ones((n, LENGTH, 1), dtype=np.float32)], axis=2)).reshape(-1, WIDTH + 1)
-            c = c[:, :WIDTH] / c[:, WIDTH:]
-        y = xs.reshape(-1, WIDTH) + c @ p["wo"]
-        u = np.maximum(y @ p["w1"] + p["b1"], 0)
-        h = y + u @ p["w2"]
-        z = h @ p["out"]
-        z += self.prior[units[:, CONTEXT:].ravel()]
-        return (z, (x, xs, q, k, v, a, c, y, u, h)) if keep else (z, h)
-
-    def second(self, k: int, h: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Logits of cluster ``k``'s members."""
-        z = h @ self.p["out2"][k]
-        z += self.prior2[k][units]
-        return z
-
-    def log_probabilities(self, units: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of the target class at each scored position; 0 where there is no target."""
-        choice, cluster = steps_of(target)
-        out, features = np.empty(target.size, dtype=np.float32), np.empty((target.size, WIDTH), dtype=np.float32)
-        for at in range(0, len(units), BATCH):
-            here = slice(at * SCORED, (at + BATCH) * SCORED)
-            u, t = units[at : at + BATCH], np.maximum(choice[at : at + BATCH], 0).ravel()
-            out[here], features[here] = self._batch(u, t, False)
-            if not np.isfinite(out[here]).all():  # exp went beyond single precision
-                out[here], features[here] = self._batch(u, t, True)
-        before, member, cluster = units[:, CONTEXT:].ravel(), target.ravel(), cluster.ravel()
-        for k in range(CLUSTERS):
-            rows = np.flatnonzero(cluster == k)
-            for at in range(0, len(rows), ROWS):
-                r = rows[at : at + ROWS]
-                z = self.second(k, features[r], before[r])
-                won = z[np.arange(len(r)), member[r] - TOP - k * MEMBERS]
-                with np.errstate(over="ignore"):
-                    total = np.exp(z) @ _ONES[:MEMBERS]
-                out[r] += won - (np.log(total) if np.isfinite(total).all() else np.logaddexp.reduce(z, axis=1))
-        out[member < 0] = 0
-        return out.reshape(target.shape)
-
-    def _batch(self, units: np.ndarray, choice: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            z, h = self.forward(units, shift=shift)
-            won = z[np.arange(len(z)), choice]
-            if shift:
-                top = z.max(axis=1)
-                z -= top[:, None]
-                won -= top
-            np.exp(z, out=z)
-            return won - np.log(z @ _ONES), h
-
-
-def _error(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    """Softmax less the indicator of the choice."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), choice] -= 1
-    return z
-
-
-def gradient(model: Model, units: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Gradient of the mean loss over the targets that are there (not below 0)."""
-    p, n = model.p, len(units)
-    z, (x, xs, q, k, v, a, c, y, u, h) = model.forward(units, keep=True)
-    choice, cluster = steps_of(target)
-    t, scale_ = target.ravel(), np.float32(1 / max((target >= 0).sum(), 1))
-    z = _error(z, np.maximum(choice, 0).ravel()) * ((t >= 0)[:, None] * scale_)
-    g = {"out": h.T @ z, "bias": z.sum(0), "out2": np.zeros((CLUSTERS, WIDTH, MEMBERS), dtype=np.float32), "bias2": np.zeros((CLUSTERS, MEMBERS), dtype=np.float32)}
-    dh = z @ p["out"].T
-    before, cluster = units[:, CONTEXT:].ravel(), cluster.ravel()
-    for j in range(CLUSTERS):
-        r = np.flatnonzero(cluster == j)
-        if len(r):
-            e = _error(model.second(j, h[r], before[r]), t[r] - TOP - j * MEMBERS) * scale_
-            g["out2"][j], g["bias2"][j] = h[r].T @ e, e.sum(0)
-            dh[r] += e @ p["out2"][j].T
-    g["w2"] = u.T @ dh
-    du = (dh @ p["w2"].T) * (u > 0)
-    g["w1"], g["b1"] = y.T @ du, du.sum(0)
-    dy = dh + du @ p["w1"].T
-    g["wo"] = c.T @ dy
-    dc = (dy @ p["wo"].T).reshape(n, SCORED, WIDTH)
-    da = np.matmul(dc, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dc)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    scale = np.float32(WIDTH**-0.5)
-    dq = np.matmul(ds, k) * scale
-    dk = np.matmul(ds.transpose(0, 2, 1), q)
-    dkv = np.concatenate([dk, dv], axis=2).reshape(-1, 2 * WIDTH)
-    g["wkv"] = x.reshape(-1, WIDTH).T @ dkv
-    g["wq"] = xs.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
+        a += self.bias
+        a = link(a)
+        a *= _SEEN
+        c = np.matmul(a, v).reshape(-1, WIDTH + 1)
+        total = c[:, WIDTH:]
+        c = c[:, :WIDTH] / total
+        h = np.ones((len(xs), WIDTH + 1), dtype=np.float32)
+        np.add(xs, c @ p["wo"], out=h[:, :WIDTH])
+        if not keep:
+            return h
+        a /= total.reshape(n, SCORED, 1)
+        return h, xs, q, k, v[:, :, :WIDTH], a, c
+
+    def log_probabilities(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs for each place with a target (not below 0), windows in order.
+
+        The probability of the target class, and the classes' mean ``weight`` under their probabilities.
+        """
+        each = np.stack([np.ones(CLASSES), weight], axis=1).astype(np.float32)
+        won, mean = [np.zeros(0, dtype=np.float32)], [np.zeros(0, dtype=np.float32)]
+        for at in range(0, len(x), BATCH):
+            t = target[at : at + BATCH].ravel()
+            there = np.flatnonzero(t >= 0)
+            z = link(self.hidden(x[at : at + BATCH])[there] @ self.out)
+            total = z @ each
+            log = np.log(total[:, 0])
+            won.append(np.log(z[np.arange(len(z)), t[there]]) - log)
+            mean.append(np.log(np.maximum(total[:, 1], 1e-30)) - log)
+        return np.concatenate(won), np.concatenate(mean)
+
+
+def gradient(flat: np.ndarray, features: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Gradient of the mean loss over the targets that are there (not below 0).
+
+    ``features`` are those of each place of the windows.  The link's slope is taken for its value.
+    """
+    model, n = Model(flat), len(features)
+    p, features = model.p, features.reshape(-1, FEATURES)
+    x = (features @ p["emb"]).reshape(n, LENGTH, WIDTH)
+    h, xs, q, k, v, a, c = model.hidden(x, keep=True)
+    t = target.ravel()
+    there = np.flatnonzero(t >= 0)
+    hs, t, of = h[there], t[there], np.arange(len(there))
+    z = link(hs @ model.out)
+    z *= (1 / ((z @ np.ones(CLASSES, dtype=np.float32)) * max(len(z), 1)))[:, None]
+    z[of, t] -= np.float32(1 / max(len(z), 1))
+    flat_g = np.zeros(SIZE, dtype=np.float32)
+    g = unpacked(flat_g)
+    g["out"][:] = hs.T @ z
+    dh = np.zeros((len(h), WIDTH), dtype=np.float32)
+    dh[there] = z @ p["out"][:-1].T
+    g["wo"][:] = c.T @ dh
+    dc = (dh @ p["wo"].T).reshape(n, SCORED, WIDTH)
+    dkv = np.empty((n, LENGTH, 2 * WIDTH), dtype=np.float32)
+    dkv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), dc)
+    ds = np.matmul(dc, v.transpose(0, 2, 1))
+    ds -= np.einsum("rw,rw->r", dc.reshape(-1, WIDTH), c).reshape(n, SCORED, 1)
+    ds *= a
+    g["far"][:] = np.bincount(_FAR.ravel(), weights=ds.sum(0).ravel(), minlength=LENGTH)
+    dq = np.matmul(ds, k).reshape(-1, WIDTH)
+    dq *= _SCALE
+    q *= np.float32(1 / _E)
+    dkv[:, :, :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+    dkv = dkv.reshape(-1, 2 * WIDTH)
+    g["wkv"][:] = x.reshape(-1, WIDTH).T @ dkv
+    g["wq"][:] = xs.T @ dq
     dx = (dkv @ p["wkv"].T).reshape(n, LENGTH, WIDTH)
-    dx[:, CONTEXT:] += (dq.reshape(-1, WIDTH) @ p["wq"].T + dy).reshape(n, SCORED, WIDTH)
-    g["pos"] = dx.sum(0)
-    emb = np.zeros((UNITS + 1, WIDTH), dtype=np.float32)
-    np.add.at(emb, units.ravel(), dx.reshape(-1, WIDTH))
-    g["emb"] = emb
-    return np.concatenate([g[name].ravel() for name, _ in SHAPES]).astype(np.float64)
+    dh += dq @ p["wq"].T
+    dx[:, CONTEXT:] += dh.reshape(n, SCORED, WIDTH)
+    g["emb"][:] = (dx.reshape(-1, WIDTH).T @ features).T
+    return flat_g
 
 
 class Trainer:
     """Adam over batches of windows."""
 
-    def __init__(self, flat: np.ndarray, bigram: np.ndarray, rate: float = 3e-3):
-        self.flat, self.bigram, self.rate = flat.copy(), bigram, rate
-        self.m, self.v, self.t = np.zeros(SIZE), np.zeros(SIZE), 0
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat.astype(np.float32)
+        self.m, self.v, self.t = np.zeros(SIZE, dtype=np.float32), np.zeros(SIZE, dtype=np.float32), 0
 
-    def step(self, units: np.ndarray, target: np.ndarray) -> None:
-        g = gradient(Model(self.flat, self.bigram), units, target)
+    def step(self, features: np.ndarray, target: np.ndarray, rate: float) -> None:
+        g = gradient(self.flat, features, target)
         self.t += 1
-        self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.99 * self.v + 0.01 * g * g
-        self.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        self.m += np.float32(0.1) * (g - self.m)
+        self.v += np.float32(0.01) * (g * g - self.v)
+        self.flat -= np.float32(rate / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.v * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-8))

@@ -1,46 +1,51 @@
-"""Language-model scoring: word unigrams as the base, causal self-attention on subwords.
-
-What the model gathers follows the corpus: the counts of all training words, from
-them the counts of all subwords and subword pairs, and weights trained in rounds that share out all training documents.
-A round's tasks train from the same weights and their results are averaged by the
-windows they saw, as a stream on the executors.  A word's probability is the mean
-of the product of its subwords' under attention and its share of all training
-words, so a text's words still have probabilities that add up to one.
+"""Language-model scoring: word unigrams as the base, causal self-attention over subword ids.
+
+What the model gathers follows the corpus.  Counts of all training words give the
+counts of all subwords and of subword pairs within words; from those come the
+subwords' features, the words' groups and a chain that spells any word.  Attention
+over a token's past gives the probabilities of the next token's class: a frequent
+word by itself, or a group.  A word's probability is its class's times its
+discounted share of the class, plus what the discount leaves times the chain's
+spelling, so all words together have probability one.
+
+Training documents are dealt into shares by their ids.  Every share trains once, in
+one of a few rounds that grow fourfold; a round's shares start from the same weights
+and are averaged exactly, so the result depends on the documents alone and not on
+how they lie in partitions.
 """
 
 from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opledger.llm import attention as net
-from opledger.llm.common import bounded_batches, crc_bucket, dropped, materialised, summed, task_index, utf8
-from opledger.llm.subwords import WordCache
+from opledger.llm.common import bounded_batches, crc_bucket, materialised, summed, task_index, utf8
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
 HEAD_WORDS = 250_000
-#: Learning rates of the rounds of training, which share out all training documents; windows of a step.
-RATES, STEP_WINDOWS = (3e-2, 2e-2, 7e-3), 32
-#: Steps that a task with documents takes at least in a round.
-LEAST_STEPS = 150
-#: Share of the attention model in a word's probability; the rest is the word's share of the training tokens.
-MIX = 0.5
-COUNT_WORDS, CACHE_WORDS, SLICES = 400_000, 300_000, 64
+#: Words of a share of the training documents, about; learning rate, its factor from round to round, and windows of a step.
+SHARE_WORDS, RATE, SLOWER, STEP_WINDOWS = 2_000_000, 1e-2, 0.5, 64
+#: Steps of a share at least: one with fewer words trains on all of them several times.
+LEAST_STEPS = 500
+#: Units of the spelling chain: frequent subwords alone, the others in groups.
+UNITS_ALONE, UNIT_GROUPS = 1024, 64
+UNITS = UNITS_ALONE + UNIT_GROUPS
+#: Words held by a task; words counted before they leave it; slices of a sum.
+CACHE_WORDS, COUNT_WORDS, SLICES = 200_000, 400_000, 64
 END = 50_256
 
-SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, attention: double>>"
+SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, share: double, rest: double>>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -79,18 +84,6 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-def encoded(cache: WordCache, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Several texts, each with the empty word as its end.
-
-    Cache numbers of the words, how many words each text has, all ids, how many
-    each word has, and how many each text has.
-    """
-    each = [[*words(t), b""] for t in some]
-    numbers, n_words = cache.numbers(list(chain.from_iterable(each))), np.array([len(w) for w in each], dtype=np.int64)
-    ids, count = cache.ids(numbers)
-    return numbers, n_words, ids, count, np.add.reduceat(count, np.cumsum(n_words) - n_words)
-
-
 def parts(some: list[bytes], most: int = 1 << 20):
     """The texts in runs of about ``most`` bytes."""
     run, size = [], 0
@@ -104,36 +97,191 @@ def parts(some: list[bytes], most: int = 1 << 20):
         yield run
 
 
+@dataclass
+class Units:
+    """Unit of every subword, and its log share in its unit."""
+
+    of: np.ndarray
+    log_share: np.ndarray
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, order: np.ndarray) -> Units:
+        """Frequent subwords alone, by rank; the others, in ``order``, in groups of about equal mass."""
+        rank = np.argsort(-counts, kind="stable")
+        of = np.zeros(len(counts), dtype=np.int64)
+        rest = order[~np.isin(order, rank[:UNITS_ALONE])]
+        mass = np.cumsum(counts[rest] + 0.1)
+        of[rest] = UNITS_ALONE + np.minimum((mass / mass[-1] * UNIT_GROUPS).astype(np.int64), UNIT_GROUPS - 1)
+        of[rank[:UNITS_ALONE]] = np.arange(UNITS_ALONE)
+        mine = counts + 0.1
+        return cls(of, np.log(mine / np.bincount(of, weights=mine, minlength=UNITS)[of]))
+
+
+def spelled(encode: Subwords, ws: list[bytes], units: Units):
+    """Subword ids of words that are not empty, their units, how many each word has, and each word's first and last place."""
+    ids, count = encode(ws)
+    last = np.cumsum(count) - 1
+    return ids, units.of[ids], count, last - count + 1, last
+
+
+class Lexicon:
+    """What is known of any word from its subwords: features, class, and the chain's probability."""
+
+    def __init__(self, units: Units, pairs: np.ndarray, first: np.ndarray, last: np.ndarray, alone: list[bytes]):
+        self.units = units
+        all_ = pairs.sum(0) + first + 0.1
+        after = pairs.sum(1) + last
+        self.log_first = np.log((first + 0.1) / (first + 0.1).sum()).astype(np.float32)
+        self.log_next = np.log((pairs + 30 * (all_ / all_.sum())[None, :]) / (after + 31)[:, None]).astype(np.float32)
+        self.log_end = np.log((last + 1) / (after + 31)).astype(np.float32)
+        self.vector = _spectral(pairs)
+        self.centre = _centres(self.vector, pairs)
+        self.alone = {w: k for k, w in enumerate(alone)}
+
+    def described(self, encode: Subwords, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, class and natural log chain probability of words; the empty word is the end of a text."""
+        features, classes = np.zeros((len(ws), net.FEATURES), dtype=np.float32), np.zeros(len(ws), dtype=np.int32)
+        log_chain = np.full(len(ws), -np.inf)
+        some = [k for k, w in enumerate(ws) if w]
+        if some:
+            ids, unit, count, begin, last = spelled(encode, [ws[k] for k in some], self.units)
+            owner = np.repeat(np.arange(len(some)), count)
+            inner = np.ones(len(ids), dtype=bool)
+            inner[last] = False
+            at = np.flatnonzero(inner)
+            step = self.units.log_share[ids]
+            step[at] += self.log_next[unit[at], unit[at + 1]]
+            log_chain[some] = np.add.reduceat(step, begin) + self.log_first[unit[begin]] + self.log_end[unit[last]]
+            total = np.add.reduceat(self.vector[unit], begin, axis=0)
+            mine = np.zeros((len(some), net.FEATURES), dtype=np.float32)
+            mine[:, net.KNOWN : net.KNOWN + net.SPECTRAL] = total
+            known = np.flatnonzero(unit < net.KNOWN)
+            np.add.at(mine, (owner[known], unit[known]), 1)
+            features[some] = mine / np.sqrt(count, dtype=np.float32)[:, None]
+            direction = total / (np.sqrt((total * total).sum(1, keepdims=True)) + 1e-6)
+            classes[some] = net.ALONE + (direction @ self.centre.T - 0.5 * (self.centre**2).sum(1)).argmax(1)
+        for k, w in enumerate(ws):
+            if w in self.alone:
+                classes[k] = self.alone[w]
+        return features, classes, log_chain
+
+
+def _spectral(pairs: np.ndarray) -> np.ndarray:
+    """Unit-length directions of the units in the leading eigenvectors of their positive pointwise information."""
+    both = pairs + pairs.T
+    of = both.sum(1) + 1
+    value, vector = np.linalg.eigh(np.log(np.maximum(both * (of.sum() / np.outer(of, of)), 1)))
+    most = np.argsort(-np.abs(value), kind="stable")[: net.SPECTRAL]
+    e = vector[:, most] * np.sqrt(np.abs(value[most]))
+    return (e / (np.sqrt((e * e).sum(1, keepdims=True)) + 1e-6)).astype(np.float32)
+
+
+def _centres(vector: np.ndarray, pairs: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """k-means of the directions of all unit pairs within words, by their counts."""
+    one, two = np.nonzero(pairs)
+    rng = np.random.default_rng(3)
+    if len(one) < net.GROUPS:
+        return vector[rng.permutation(len(vector))[: net.GROUPS]]
+    weight = pairs[one, two]
+    x = vector[one] + vector[two]
+    x /= np.sqrt((x * x).sum(1, keepdims=True)) + 1e-6
+    c = x[rng.choice(len(x), net.GROUPS, p=weight / weight.sum())]
+    for _ in range(rounds):
+        near = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        mass = np.bincount(near, weights=weight, minlength=net.GROUPS)
+        mean = np.stack([np.bincount(near, weights=weight * x[:, d], minlength=net.GROUPS) for d in range(x.shape[1])], axis=1)
+        c = np.where(mass[:, None] > 0, mean / np.maximum(mass, 1e-9)[:, None], c).astype(np.float32)
+    return c
+
+
 @dataclass
 class LanguageModel:
-    vocabulary: net.Vocabulary
-    bigram: tuple[np.ndarray, np.ndarray]
+    lexicon: Lexicon
     flat: np.ndarray
     head: dict[bytes, int]
     tokens: int
     distinct: int
+    discount: float
+    class_tokens: np.ndarray
+    class_words: np.ndarray
 
     def log10_unigram(self, count):
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
+    @property
+    def taken(self) -> np.ndarray:
+        """What each class discounts from a word's count: nothing where the word is alone."""
+        return np.where(np.arange(net.CLASSES) < net.ALONE, 0.0, self.discount)
+
+    @property
+    def left(self) -> np.ndarray:
+        """Share of each class that the discount leaves to the chain; all of a group without words."""
+        left = self.taken * self.class_words / np.maximum(self.class_tokens, 1)
+        return np.where((self.class_tokens == 0) & (self.taken > 0), 1.0, left)
+
+
+class Known:
+    """Numbers of the words met, with rows of arrays that ``describe`` makes for new ones; full, it starts afresh."""
+
+    def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = CACHE_WORDS):
+        self.describe, self.limit = describe, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.named: list[bytes] = []
+        self.rows: list[np.ndarray] = []
+
+    def _learn(self, ws: list[bytes]) -> None:
+        if self.named and len(self.named) + len(ws) > self.limit:
+            self._clear()
+        made, at = self.describe(ws), len(self.named)
+        if not self.rows:
+            self.rows = [np.empty((1 << 12, *m.shape[1:]), dtype=m.dtype) for m in made]
+        while at + len(ws) > len(self.rows[0]):
+            self.rows = [np.concatenate([r, np.empty_like(r)]) for r in self.rows]
+        for r, m in zip(self.rows, made, strict=True):
+            r[at : at + len(ws)] = m
+        self.number.update(zip(ws, range(at, at + len(ws)), strict=True))
+        self.named += ws
+
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        """Number of each word; all are valid until the next call."""
+        out = np.fromiter(map(self.number.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
+        missed = np.flatnonzero(out < 0).tolist()
+        if missed:
+            before, new = len(self.named), list(dict.fromkeys([ws[k] for k in missed]))
+            self._learn(new)
+            if len(self.named) < before + len(new):  # started afresh: the other words went
+                self._learn([w for w in dict.fromkeys(ws) if w not in self.number])
+                return np.fromiter(map(self.number.__getitem__, ws), dtype=np.int64, count=len(ws))
+            out[missed] = [self.number[ws[k]] for k in missed]
+        return out
+
+
+def numbered(known: Known, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens of several texts, the empty word as each one's end, and how many each has."""
+    each = [[*words(t), b""] for t in some]
+    return known.numbers(list(chain.from_iterable(each))), np.array([len(w) for w in each], dtype=np.int64)
+
 
-def laid_out(flat: np.ndarray, n: np.ndarray, vocabulary: net.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Units and target classes of all windows of texts with ``n`` ids each, windows of a text in order.
+def laid_out(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts with ``n`` tokens each in windows, a text's in order: what each reads and what it scores.
 
-    A text of ``n`` ids has its start mark and ``n - 1`` ids to read and ``n`` to
-    score, ``SCORED`` a window; other places are absent, and have no target (-1).
+    A place reads the token at its value, or the start mark (-1) or nothing (-2);
+    it scores the token at its value, or none (-1).  A text's ``k``-th place reads
+    the token before the one it scores; the first reads the mark.
     """
     per = -(-n // net.SCORED)
     room = net.CONTEXT + per * net.SCORED
-    begin, first = np.cumsum(room) - room, np.cumsum(per) - per
-    inside = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    read = np.full(int(room.sum()), net.ABSENT, dtype=np.int32)
-    unit = vocabulary.unit_of[flat]
-    read[np.repeat(begin + net.CONTEXT, n) + inside] = np.where(inside == 0, vocabulary.unit_of[END], np.concatenate([unit[-1:], unit[:-1]]))
-    target = np.full(int(per.sum()) * net.SCORED, -1, dtype=np.int32)
-    target[np.repeat(first * net.SCORED, n) + inside] = vocabulary.class_of[flat]
-    starts = np.repeat(begin - first * net.SCORED, per) + np.arange(len(target) // net.SCORED) * net.SCORED
-    return read[starts[:, None] + np.arange(net.LENGTH)], target.reshape(-1, net.SCORED)
+    begin, first, start = np.cumsum(room) - room, np.cumsum(per) - per, np.cumsum(n) - n
+    inside = np.arange(int(n.sum())) - np.repeat(start, n)
+    read = np.full(int(room.sum()), -2, dtype=np.int64)
+    read[np.repeat(begin + net.CONTEXT, n) + inside] = np.where(inside == 0, -1, np.arange(len(inside)) - 1)
+    score = np.full(int(per.sum()) * net.SCORED, -1, dtype=np.int64)
+    score[np.repeat(first * net.SCORED, n) + inside] = np.arange(len(inside))
+    starts = np.repeat(begin - first * net.SCORED, per) + np.arange(len(score) // net.SCORED) * net.SCORED
+    return read[starts[:, None] + np.arange(net.LENGTH)], score.reshape(-1, net.SCORED)
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -157,8 +305,8 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _head(counts: DataFrame) -> tuple[dict[bytes, int], int, int, int]:
-    """The most frequent words, and the numbers of all tokens, of different ones, and of text ends.
+def _head(counts: DataFrame) -> tuple[dict[bytes, int], int, int, int, int, int]:
+    """The most frequent words, and the numbers of all tokens, of different ones, of text ends, and of words met once and twice.
 
     The words are those above a count that a histogram of counts gives, ``HEAD_WORDS``
     at most.  Counts are binned by sixteenths of powers of two, so the histogram is
@@ -176,7 +324,8 @@ def _head(counts: DataFrame) -> tuple[dict[bytes, int], int, int, int]:
     head = {bytes(r[0]): r[1] for r in counts.filter((level >= least) & ~end).collect()} if least is not None else {}
     if ends:
         head[b""] = ends
-    return head, sum(b["n"] for b in bins), sum(b["words"] for b in bins), ends
+    met = {b["level"]: b["words"] for b in bins}  # the first bins hold one count each
+    return head, sum(b["n"] for b in bins), sum(b["words"] for b in bins), ends, met.get(0, 0), met.get(16, 0)
 
 
 def _dense(parts: DataFrame, size: int, slices: int = SLICES) -> np.ndarray:
@@ -191,178 +340,174 @@ def _slices(total: np.ndarray, slices: int = SLICES) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([total[k * per : (k + 1) * per].tobytes() for k in range(slices)], pa.binary())], ["slice", "vec"])
 
 
-def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = None) -> tuple[LanguageModel, DataFrame]:
-    """The model of the documents that are not held out, and the table of their word counts."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    seen = docs.filter(crc_bucket("doc_id", held_out_of) != 0).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = materialised(_word_counts(seen))
-    head, tokens, distinct, ends = _head(counts)
-    codes = materialised(counts.mapInArrow(_word_codes(path), "code long, n double").groupBy("code").agg(F.sum("n").alias("n")))
-    per_id = np.zeros(END + 1)
-    for code, n in codes.filter(F.col("code") <= END).collect():  # at most one row a subword
-        per_id[code] = n
-    per_id[END] = ends
-    order = np.array(sorted(range(END), key=subwords(path).names.__getitem__) + [END])
-    vocabulary = net.Vocabulary.of_counts(per_id, order)
-    known = spark.sparkContext.broadcast(vocabulary)
-    bigram = net.bigram_logits(_pairs(codes, known, ends))
-    dropped(codes)
-    flat = net.initial()
-    for k, rate in enumerate(RATES):
-        flat = _round(seen, k, rate, path, known, bigram, flat)
-    return LanguageModel(vocabulary, bigram, flat, head, int(tokens), int(distinct)), counts
-
-
-#: What a code counts: a subword, a pair within a word (the first's id above ``ID_BITS``), a word's last and its first.
-ID_BITS, PAIR, LAST, FIRST = 17, 1 << 40, 2 << 40, 3 << 40
-
-
-def _word_codes(path: str):
-    """Batch function from words with counts to ``(code, n)`` of their subwords, pairs, and edges."""
+def _with_tokenizer(path: str, step):
+    """Batch function over ``(word, n)`` that adds up ``step(encode, words, counts)``, without the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = subwords(path)
+        encode, total = subwords(path), None
         for batch in batches:
-            ws, n = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            ws, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
             keep = [k for k, w in enumerate(ws) if w]
-            if not keep:
-                continue
-            ids, each = encode([ws[k] for k in keep])
-            last = np.cumsum(each) - 1
-            weight, inner = np.repeat(n[keep], each), np.ones(len(ids), dtype=bool)
-            inner[last] = False
-            at = np.flatnonzero(inner)
-            code = np.concatenate([ids, PAIR + (ids[at] << ID_BITS) + ids[at + 1], LAST + ids[last], FIRST + ids[last - each + 1]])
-            code, where = np.unique(code, return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate([weight, weight[at], n[keep], n[keep]]))
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total)], names=["code", "n"])
+            if keep:
+                got = step(encode, [ws[k] for k in keep], n[keep])
+                total = got if total is None else total + got
+        if total is not None:
+            yield _slices(total)
 
     return run
 
 
-def _pairs(codes: DataFrame, known, ends: int) -> np.ndarray:
-    """Expected counts of a class after a unit over the training texts.
+def _per_id(encode: Subwords, ws: list[bytes], n: np.ndarray) -> np.ndarray:
+    ids, count = encode(ws)
+    return np.bincount(ids, weights=np.repeat(n, count), minlength=END + 1).astype(np.float64)
 
-    Within words they are exact, from the words' counts.  After a word's last unit,
-    and after a text's start, the words' first classes and the end stand in their
-    share of all words; what a text's words say about the next is left to attention.
-    """
-    u, c = net.UNITS, net.CLASSES
+
+def _per_unit(units: Units):
+    """Counts of unit pairs within words, of words' first units and of their last ones, in one row."""
+
+    def step(encode: Subwords, ws: list[bytes], n: np.ndarray) -> np.ndarray:
+        _, unit, count, begin, last = spelled(encode, ws, units)
+        inner = np.ones(len(unit), dtype=bool)
+        inner[last] = False
+        at = np.flatnonzero(inner)
+        pairs = np.bincount(unit[at] * UNITS + unit[at + 1], weights=np.repeat(n, count)[at], minlength=UNITS * UNITS)
+        return np.concatenate([pairs, np.bincount(unit[begin], weights=n, minlength=UNITS), np.bincount(unit[last], weights=n, minlength=UNITS)])
+
+    return step
+
+
+def _per_class(lexicon):
+    """Tokens and different words of each class, in one row."""
+
+    def step(encode: Subwords, ws: list[bytes], n: np.ndarray) -> np.ndarray:
+        _, c, _ = lexicon.value.described(encode, ws)
+        return np.concatenate([np.bincount(c, weights=n, minlength=net.CLASSES), np.bincount(c, minlength=net.CLASSES)])
+
+    return step
+
+
+def train(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = None) -> tuple[LanguageModel, DataFrame]:
+    """The model of the documents that are not held out, and the table of their word counts."""
+    spark = docs.sparkSession
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    seen = docs.filter(crc_bucket("doc_id", held_out_of) != 0).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = materialised(_word_counts(seen))
+    head, tokens, distinct, ends, once, twice = _head(counts)
+
+    def added(step, size: int) -> np.ndarray:
+        return _dense(counts.mapInArrow(_with_tokenizer(path, step), "slice int, vec binary"), size)
+
+    order = np.array(sorted(range(END), key=subwords(path).names.__getitem__) + [END])
+    units = Units.of_counts(added(_per_id, END + 1), order)
+    total = added(_per_unit(units), UNITS * UNITS + 2 * UNITS)
+    alone = sorted((w for w in head if w), key=lambda w: (-head[w], w))[: net.ALONE - 1]
+    alone += [b"\xff%d" % k for k in range(net.ALONE - 1 - len(alone))]  # no text has such bytes
+    lexicon = Lexicon(units, total[: UNITS * UNITS].reshape(UNITS, UNITS), total[UNITS * UNITS : -UNITS], total[-UNITS:], [*alone, b""])
+    shared = spark.sparkContext.broadcast(lexicon)
+    per_class = added(_per_class(shared), 2 * net.CLASSES)
+    class_tokens, class_words = per_class[: net.CLASSES], per_class[net.CLASSES :]
+    class_tokens[net.ALONE - 1], class_words[net.ALONE - 1] = ends, min(ends, 1)
+    discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+    flat = _trained(seen, tokens, path, shared, net.initial((class_tokens + 1) / (class_tokens + 1).sum()))
+    return LanguageModel(lexicon, flat, head, int(tokens), int(distinct), discount, class_tokens, class_words), counts
+
+
+def _trained(seen: DataFrame, tokens: int, path: str, lexicon, flat: np.ndarray) -> np.ndarray:
+    """Weights after all rounds; those at the start if there is no document."""
+    shares = max(round(tokens / SHARE_WORDS), 1)
+    passes = max(-(-LEAST_STEPS * STEP_WINDOWS * net.SCORED // max(tokens // shares, 1)), 1)
+    rows = seen.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int").alias("share"), F.xxhash64(F.lit("order"), "doc_id", "text").alias("place"))
+    low, high, k = 0, 1, 0
+    while tokens and low < shares:
+        high = min(high, shares)
+        mine = rows.filter((F.col("share") >= low) & (F.col("share") < high)).repartitionById(high - low, F.col("share") - low).sortWithinPartitions("share", "place")
+        total = _dense(mine.mapInArrow(_learn(path, lexicon, flat, RATE * SLOWER**k, passes, tokens // shares), "slice int, vec binary"), net.SIZE + 1, 4)
+        if total[-1]:
+            flat = (total[:-1] / (total[-1] * POINT)).astype(np.float32)
+        low, high, k = high, 4 * high, k + 1
+    return flat
+
+
+#: Weights are added up as whole multiples of this one's inverse, so their sum has no order.
+POINT = 1 << 24
+
+
+def _learn(path: str, lexicon, flat: np.ndarray, rate: float, passes: int, expected: int):
+    """Batch function over ``(text, share)`` sorted by share: trains each share from ``flat``, and adds up the results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, total = known.value, np.zeros(u * c + c + u)
-        for batch in batches:
-            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            kind, low = code >> 40, code & ((1 << 40) - 1)
-            pair, last, first = low[kind == 1], low[kind == 2], low[kind == 3]
-            at = v.unit_of[pair >> ID_BITS].astype(np.int64) * c + v.class_of[pair & ((1 << ID_BITS) - 1)]
-            total += np.concatenate([np.bincount(at, weights=n[kind == 1], minlength=u * c), np.bincount(v.class_of[first], weights=n[kind == 3], minlength=c), np.bincount(v.unit_of[last], weights=n[kind == 2], minlength=u)])
-        yield _slices(total)
-
-    total = _dense(codes.filter(F.col("code") > END).mapInArrow(run, "slice int, vec binary"), u * c + c + u)
-    within, first, final = total[: u * c].reshape(u, c), total[u * c : u * c + c], total[u * c + c :]
-    v = known.value
-    first[v.class_of[END]] += ends
-    final[v.unit_of[END]] += ends
-    return within + final[:, None] * (first / max(first.sum(), 1.0))[None, :]
-
-
-def _round(seen: DataFrame, k: int, rate: float, path: str, known, bigram: tuple[np.ndarray, np.ndarray], flat: np.ndarray) -> np.ndarray:
-    """Weights after round ``k``; unchanged if there is no document.
-
-    A task trains on all its documents of the round, each document being in one
-    round, and on others up to ``LEAST_STEPS`` steps; where all of them do not make
-    so many, over its windows again.
-    """
-    start = seen.sparkSession.sparkContext.broadcast((bigram, flat))
-    least = LEAST_STEPS * STEP_WINDOWS
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, v = WordCache(subwords(path), limit=CACHE_WORDS), known.value
-        trainer, done, rng = net.Trainer(start.value[1], start.value[0], rate), 0, np.random.default_rng(7)
-        spare, spare_bytes, held = [], 0, []
-
-        def train_on(some: list[bytes], hold: bool) -> int:
-            _, _, ids, _, n = encoded(cache, some)
-            unit, target = laid_out(ids, n, v)
-            if hold:
-                held.append((unit, target))
-            _steps(trainer, unit, target, rng)
-            return len(unit)
+        net.keep_memory()
+        encode, total = subwords(path), np.zeros(net.SIZE + 1)
+        known = Known(lambda ws: lexicon.value.described(encode, ws)[:2])
+
+        def texts_of() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                yield from zip(batch.column(1).to_pylist(), utf8(batch.column(0)), strict=True)
+
+        def finish(trainer: net.Trainer | None, held: list[list[bytes]], rng) -> None:
+            if trainer is None:
+                return
+            for _ in range(passes - 1):
+                for some in held:
+                    _steps(trainer, known, some, rate, rng, passes * expected)
+            total[:-1] += np.rint(trainer.flat.astype(np.float64) * POINT)
+            total[-1] += 1
+
+        share, trainer, held, run_, size, rng = None, None, [], [], 0, None
+        for s, text in chain(texts_of(), [(None, b"")]):
+            if run_ and (s != share or size >= 1 << 20):
+                _steps(trainer, known, run_, rate, rng, passes * expected)
+                if passes > 1:
+                    held.append(run_)
+                run_, size = [], 0
+            if s != share:
+                finish(trainer, held, rng)
+                share, held, trainer, rng = s, [], net.Trainer(flat), np.random.default_rng(7)
+            run_.append(text)
+            size += len(text)
+        if total[-1]:
+            yield _slices(total, 4)
 
-        for batch in batches:
-            own = pc.equal(batch.column(1), k)
-            for mine in parts(utf8(batch.column(0).filter(own))):
-                done += train_on(mine, done < least)
-            if spare_bytes < 16 * least * net.SCORED:
-                other = utf8(batch.column(0).filter(pc.invert(own)))
-                spare += other
-                spare_bytes += sum(map(len, other))
-        order = rng.permutation(len(spare))
-        for at in range(0, len(spare), 16):
-            if trainer.t < LEAST_STEPS:
-                done += train_on([spare[j] for j in order[at : at + 16]], True)
-        while held and trainer.t < LEAST_STEPS:
-            unit, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            _steps(trainer, unit, target, rng, LEAST_STEPS)
-        if done:
-            yield _slices(np.append(trainer.flat * done, done), 16)
-
-    rows = seen.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))).cast("int").alias("share"))
-    total = _dense(rows.mapInArrow(learn, "slice int, vec binary"), net.SIZE + 1, 16)
-    return total[:-1] / total[-1] if total[-1] else flat
-
-
-def _steps(trainer: net.Trainer, unit: np.ndarray, target: np.ndarray, rng: np.random.Generator, until: float = np.inf) -> None:
-    """Train on every window once, in random order, or up to a number of steps."""
-    for rows in np.array_split(rng.permutation(len(unit)), -(-len(unit) // STEP_WINDOWS)):
-        if trainer.t < until:
-            trainer.step(unit[rows], target[rows])
-
-
-class _Scored(WordCache):
-    """A word cache that also holds each word, and its head count or -1."""
-
-    def __init__(self, encode, head: dict[bytes, int]):
-        self.head = head
-        super().__init__(encode, limit=CACHE_WORDS)
+    return run
 
-    def _clear(self) -> None:
-        super()._clear()
-        self.named: list[bytes] = []
-        self.seen = np.full(1 << 14, -1, dtype=np.int64)
 
-    def _learn(self, ws: list[bytes]) -> None:
-        super()._learn(ws)
-        if len(self.seen) < len(self.begin):
-            self.seen = np.concatenate([self.seen, np.full(len(self.begin) - len(self.seen), -1)])
-        at = len(self.named)
-        self.seen[at : at + len(ws)] = [self.head.get(w, -1) for w in ws]
-        self.named += ws
+def _steps(trainer: net.Trainer, known: Known, some: list[bytes], rate: float, rng: np.random.Generator, expected: int) -> None:
+    """Train on every window of the texts once, in random order; the rate falls to a fifth over the tokens expected."""
+    numbers, n = numbered(known, some)
+    features, classes = known.rows
+    read, score = laid_out(n)
+    table = np.concatenate([features[: len(known.named)], np.eye(2, net.FEATURES, net.ABSENT, dtype=np.float32)])  # two more rows: nothing and the mark
+    place = np.where(read >= 0, numbers[np.maximum(read, 0)], len(table) + read)
+    target = np.where(score >= 0, classes[numbers[np.maximum(score, 0)]], -1)
+    for rows in np.array_split(rng.permutation(len(place)), -(-len(place) // STEP_WINDOWS)):
+        done = min(trainer.t * STEP_WINDOWS * net.SCORED / max(expected, 1), 1.0)
+        trainer.step(table[place[rows]], target[rows], rate * (1 - 0.8 * done))
 
 
 def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = None) -> DataFrame:
     """One row per document: token counts, base score and the model's log10 probability.
 
     A null text is empty and has its end token alone.  Words outside the head are
-    joined with their counts, their attention probabilities beside them, so each
-    token has its count in both scores however rare it is.
+    joined with their counts, their classes' and the chain's probabilities beside
+    them, so each token has its count in both scores however rare it is.
     Repeated rows are scored each; a null ``doc_id`` stays null and counts as the
-    empty text for the fold.  Without training documents all counts are 0.
+    empty text for the fold.  An empty table gives no rows.  Without training documents all counts are 0.
+    A text of any length passes in windows, none of it held but its tokens.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     model, counts = train(docs, held_out_of=held_out_of, tokenizer=tokenizer)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        cache, attention, uid = _Scored(subwords(path), m.head), net.Model(m.flat, m.bigram), task_index() << 36
+        net.keep_memory()
+        m, encode, uid = shared.value, subwords(path), task_index() << 36
+        scorer = Scorer(m, encode)
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
             for some in parts(utf8(batch.column(1))):
-                for column, got in zip(columns, _scored(some, cache, attention, m), strict=True):
+                for column, got in zip(columns, scorer(some), strict=True):
                     column.append(got)
             length, known, base, score, tail = (pa.concat_arrays(c) for c in columns)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(2), length, known, base, score, tail], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
@@ -370,35 +515,52 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_bucket("doc_id", held_out_of) == 0).alias("held_out"))
     rows = materialised(wanted.mapInArrow(run, SCHEMA))
-    each = rows.select("uid", F.explode("tail").alias("w")).select("uid", F.col("w.word").alias("word"), F.col("w.attention").alias("attention"))
+    each = rows.select("uid", F.explode("tail").alias("w")).select("uid", F.col("w.word").alias("word"), F.col("w.share").alias("share"), F.col("w.rest").alias("rest"))
     c = F.coalesce(F.col("n"), F.lit(0))
-    mixed = F.log10(MIX * F.exp("attention") + (1 - MIX) * c / F.lit(max(model.tokens, 1)) + 1e-300)
+    whole = F.log10(F.col("share") * F.greatest(c - F.lit(model.discount), F.lit(0.0)) + F.col("rest") + 1e-300)
     per_text = each.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))).alias("more"), F.count_if(c > 0).alias("found"), F.sum(mixed).alias("more_score"))
+        F.sum(F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))).alias("more"), F.count_if(c > 0).alias("found"), F.sum(whole).alias("more_score"))
     zero = F.lit(0)
     return rows.drop("tail").join(per_text, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", zero)).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
 
 
-def _scored(some: list[bytes], cache: _Scored, attention: net.Model, m: LanguageModel) -> list[pa.Array]:
-    """Token counts, sums over head words of both scores, and the words outside the head, of several texts."""
-    numbers, n_words, ids, count, n = encoded(cache, some)
-    c, owner = cache.seen[numbers], np.repeat(np.arange(len(some)), n_words)
-    inside = c >= 0
-    base = np.bincount(owner[inside], weights=m.log10_unigram(c[inside]), minlength=len(some))
-    known = np.bincount(owner[inside], minlength=len(some))
-    word = _attention(ids, n, count, attention, m.vocabulary)
-    mixed = np.log10(MIX * np.exp(word[inside]) + (1 - MIX) * c[inside] / max(m.tokens, 1) + 1e-300)
-    score = np.bincount(owner[inside], weights=mixed, minlength=len(some))
-    offsets = pa.array(np.searchsorted(owner[~inside], np.arange(len(some) + 1)), pa.int32())
-    names = pa.array([cache.named[k] for k in numbers[~inside].tolist()], pa.binary())
-    tail = pa.StructArray.from_arrays([names, pa.array(word[~inside], pa.float64())], names=["word", "attention"])
-    return [pa.array(n_words), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, tail)]
-
-
-def _attention(flat: np.ndarray, n: np.ndarray, count: np.ndarray, attention: net.Model, vocabulary: net.Vocabulary) -> np.ndarray:
-    """Natural log probability of each word, of ``count`` ids, in texts of ``n`` ids, their ends among both."""
-    unit, target = laid_out(flat, n, vocabulary)
-    token = attention.log_probabilities(unit, target)[target >= 0] + vocabulary.log_share[flat]
-    return np.add.reduceat(token, np.cumsum(count) - count)
+class Scorer:
+    """Scores of several texts: token counts, sums over head words of both scores, and the words outside the head."""
+
+    def __init__(self, m: LanguageModel, encode: Subwords):
+        self.m, self.net = m, net.Model(m.flat)
+        taken, tokens, emb = m.taken, np.maximum(m.class_tokens, 1), self.net.p["emb"]
+
+        def describe(ws: list[bytes]) -> tuple[np.ndarray, ...]:
+            features, classes, log_chain = m.lexicon.described(encode, ws)
+            count = np.array([m.head.get(w, -1) for w in ws], dtype=np.int64)
+            share = np.maximum(count - taken[classes], 0) / tokens[classes]
+            return features @ emb, classes, np.exp(log_chain), count, np.where(count >= 0, share, 1 / tokens[classes]), m.log10_unigram(np.maximum(count, 0))
+
+        self.known, self.left = Known(describe), m.left
+        self.marks = emb[[net.ABSENT, net.START]]
+
+    def __call__(self, some: list[bytes]) -> list[pa.Array]:
+        numbers, n = numbered(self.known, some)
+        vectors, classes, spelling, counts, shares, unigram = self.known.rows
+        log_class, log_left = self.of_classes(vectors, classes, numbers, n)
+        of_class, rest, inside = np.exp(log_class, dtype=np.float64) * shares[numbers], np.exp(log_left, dtype=np.float64) * spelling[numbers], counts[numbers] >= 0
+        owner = np.repeat(np.arange(len(some)), n)
+        base = np.bincount(owner, weights=np.where(inside, unigram[numbers], 0), minlength=len(some))
+        known = np.bincount(owner[inside], minlength=len(some))
+        score = np.bincount(owner, weights=np.where(inside, np.log10(of_class + rest + 1e-300), 0), minlength=len(some))
+        out = np.flatnonzero(~inside)
+        offsets = pa.array(np.searchsorted(owner[out], np.arange(len(some) + 1)), pa.int32())
+        tail = pa.StructArray.from_arrays([pa.array([self.known.named[k] for k in numbers[out].tolist()], pa.binary()), pa.array(of_class[out]), pa.array(rest[out])], names=["word", "share", "rest"])
+        return [pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, tail)]
+
+    def of_classes(self, vectors: np.ndarray, classes: np.ndarray, numbers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of each token's class probability, and of what all classes leave to the chain there."""
+        read, score = laid_out(n)
+        x = np.empty((*read.shape, net.WIDTH), dtype=np.float32)
+        x[:] = vectors[numbers[np.maximum(read, 0)]]
+        x[read == -2], x[read == -1] = self.marks
+        target = np.where(score >= 0, classes[numbers[np.maximum(score, 0)]], -1)
+        return self.net.log_probabilities(x, target, self.left)
