@@ -139,17 +139,88 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 <p>First  para <b>bold</b> text<br>next line.<p>Second &eacute;&#233; para.<div class="ads">Buy</div><ul><li>item one<li>item two</ul></div><aside>side</aside><div class="comments"><p>I agree</p></div><form>Name</form></body></html>"""
 
 
+def wrapped(pages):
+    """Wrappers of hosts from ``(host, html)`` by plain calls."""
+    total = {}
+    for host, page in pages:
+        shape, numbers = wrappers.packed(wrappers.expression(wrappers.parsed(page)[0]))
+        total[host, shape] = wrappers.added(total[host, shape], numbers) if (host, shape) in total else numbers
+    out = {}
+    for host, shape in sorted(total):
+        out[host] = wrappers.merge(out.get(host), wrappers.unpacked(shape, total[host, shape]))
+    return {host: wrappers.Wrapper(w) for host, w in out.items()}
+
+
+def extracted(*pages):
+    w = wrapped([("h", p) for p in pages])["h"]
+    return [w.main_text(p) for p in pages]
+
+
 def test_wrapper_of_an_unmarked_page():
-    e = wrappers.expression(wrappers.blocks(PAGE))
-    assert extraction.main_text(PAGE, wrappers.content_paths(e)) == "Title & more\nFirst para bold text next line.\nSecond éé para.\nitem one\nitem two"
+    assert extracted(PAGE) == ["Title & more\nFirst para bold text next line.\nSecond éé para.\nitem one\nitem two"]
 
 
 def test_alignment_finds_optional_and_repeated_parts():
     a, b = "<div><h1>A</h1><p>x</p></div>", "<div><h1>B</h1><h2>s</h2><p>x</p><p>y</p></div>"
-    e = wrappers.merge(wrappers.expression(wrappers.blocks(a)), wrappers.expression(wrappers.blocks(b)))
+    one, two = (wrappers.expression(wrappers.parsed(x)[0]) for x in (a, b))
+    e = wrappers.merge(one, two)
     [div] = e.children
-    assert [(c.label, c.optional, c.repeated or any(g.repeated for g in c.children)) for c in div.children] == [("h1", False, False), ("h2", True, False), ("p", False, True)]
-    assert wrappers.packed(wrappers.unpacked(wrappers.packed(e))) == wrappers.packed(e)
+    assert [(c.label, c.optional, c.repeated) for c in div.children] == [("h1", False, False), ("h2", True, False), ("p", False, True)]
+    assert wrappers.packed(wrappers.unpacked(*wrappers.packed(e))) == wrappers.packed(e)
+
+
+def test_groups_of_any_length_fold_and_are_found_on_pages_with_one():
+    unit = [f"<x{k}>t{{0}}</x{k}>" for k in range(9)]
+    many = "<div>" + "".join("".join(unit).format(r) for r in range(5)) + "</div>"
+    once = "<div>" + "".join(unit).format(7) + "</div>"
+    [div] = wrappers.expression(wrappers.parsed(many)[0]).children
+    [group] = div.children
+    assert group.repeated and [c.label for c in group.children] == [f"x{k}" for k in range(9)]
+    assert [t.split("\n") for t in extracted(many, once)] == [[f"t{r}" for r in range(5) for _ in range(9)], ["t7"] * 9]
+
+
+def test_the_wrapper_decides_and_not_the_article_tag():
+    post = "<html><body><div class=post><h1>Head {0}</h1><p>Long text {0} of the page itself goes here and on.</p><p>more {0}</p></div><article class=teaser>T{0}</article></body></html>"
+    assert extracted(*map(post.format, range(4))) == [f"Head {k}\nLong text {k} of the page itself goes here and on.\nmore {k}" for k in range(4)]
+    same = "Equal openings of all articles. " * 20
+    pages = [f"<body><div class=top>Site name</div><div class=content><h1>T{k}</h1><p>{same} rest {k}</p></div></body>" for k in range(6)]
+    assert extracted(*pages) == [f"T{k}\n{same.strip()} rest {k}" for k in range(6)]
+    two = ["<body><article><p>Some text of a page with an article.</p></article></body>"] * 3 + [f"<body><div class=entry><p>Text {k} of a page that has none.</p></div></body>" for k in range(3)]
+    assert extracted(*two)[0] == "Some text of a page with an article." and extracted(*two)[4] == "Text 1 of a page that has none."
+    assert extracted(*["<body><article><h1>A</h1><p>A copy.</p></article></body>"] * 5) == ["A\nA copy."] * 5
+    assert extracted("<body><div><h1>T</h1></div><p>a</p></body>", *[f"<body><div>Fixed line</div><p>text {k}</p></body>" for k in range(4)])[2] == "text 1"
+
+
+def test_nesting_and_breadth_have_no_limit():
+    deep = "".join(f"<div>x{k}" for k in range(5000))
+    assert extracted(deep) == ["\n".join(f"x{k}" for k in range(5000))]
+    assert extracted("<div>" * 5000 + "deep" + "</div>" * 5000) == ["deep"]
+    one, other = ("<body>" + "".join(f"<x{k}a>t{k}</x{k}a>" for k in r) + "</body>" for r in (range(3000), range(1500, 4500)))
+    assert extracted(one, other) == ["\n".join(f"t{k}" for k in r) for r in (range(3000), range(1500, 4500))]
+    lists = [random.Random(k).choices("abcdef", k=40) for k in range(6)]
+    for x, y in zip(lists, lists[1:], strict=False):
+        pairs = wrappers.common(x, y)
+        best = [[0] * 41 for _ in range(41)]
+        for i in range(39, -1, -1):
+            for j in range(39, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        assert len(pairs) == best[0][0] and all(x[i] == y[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_texts_do_not_depend_on_partitions(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    one, many = (sorted((r.page_id, r.text) for r in extraction.extract_text(pages.repartition(n)).collect()) for n in (1, 7))
+    assert one == many
+    known = [sorted(map(str, extraction.infer_wrappers(pages.repartition(n)).collect())) for n in (1, 7)]
+    assert known[0] == known[1]
+
+
+def test_pages_of_an_empty_table_and_with_clashing_columns(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert extraction.extract_text(pages.limit(0)).collect() == []
+    clash = pages.withColumns({c: F.lit("clash") for c in ("host", "shape", "numbers", "part", "text", "n_chars")})
+    assert sorted(extraction.extract_text(clash).collect()) == sorted(extraction.extract_text(pages).collect())
 
 
 def test_extraction_equals_the_pages_articles(spark):
@@ -191,25 +262,78 @@ def test_base_score_equals_brute_force_and_probabilities_add_up(docs):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ts), sum(count[w] > 0 for w in ts), n, zlib.crc32(str(i).encode()) % 10 == 0)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts), rel_tol=1e-9)
         assert r.score < 0
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
 
 
-def test_rounds_train_on_all_training_documents_once(docs, monkeypatch):
-    windows, dense = [], lm_scoring._dense
+def test_score_equals_a_plain_attention_loop(docs):
+    """Two texts scored token by token with loops, from the model's parameters."""
+    model, counts = lm_scoring.train(docs)
+    c = {bytes(r.word): r.n for r in counts.collect()}
+    encode = lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    p, link = attention.unpacked(model.flat.astype(np.float64)), lambda z: float(attention.link(np.array([z * attention._E + attention._ONE], dtype=np.float32))[0])
+    some = [(r.doc_id, (r.text or "").encode()) for r in docs.orderBy(F.length("text")).limit(40).collect()][30:32]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(docs).collect()}
+    mark = np.eye(attention.FEATURES)
+    for doc_id, text in some:
+        ws = [*lm_scoring.words(text), b""]
+        features, classes, log_chain = model.lexicon.described(encode, ws)
+        vector, total = [mark[attention.START] @ p["emb"]] + [f @ p["emb"] for f in features[:-1]], 0.0
+        for k, w in enumerate(ws):
+            begin = k // attention.SCORED * attention.SCORED - attention.CONTEXT
+            q, weights, context = vector[k] @ p["wq"], [], []
+            for j in range(begin, k + 1):
+                x = vector[j] if j >= 0 else mark[attention.ABSENT] @ p["emb"]
+                kv = x @ p["wkv"]
+                weights.append(link(q @ kv[: attention.WIDTH] / attention.WIDTH**0.5 + p["far"][k - j]))
+                context.append(kv[attention.WIDTH :])
+            h = vector[k] + (np.array(weights) / sum(weights)) @ np.array(context) @ p["wo"]
+            z = np.array([link(x) for x in h @ p["out"][:-1] + p["out"][-1]])
+            z /= z.sum()
+            g = classes[k]
+            share = max(c.get(w, 0) - model.taken[g], 0) / max(model.class_tokens[g], 1)
+            total += math.log10(z[g] * share + (z @ model.left) * math.exp(log_chain[k]))
+        assert math.isclose(total, got[doc_id], rel_tol=1e-3)
+
+
+def test_all_words_have_probability_one(docs):
+    """Shares of the classes' words and of what is left to the chain, and the chain's steps, add up."""
+    model, counts = lm_scoring.train(docs)
+    encode = lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = [(bytes(r.word), r.n) for r in counts.collect()]
+    _, classes, _ = model.lexicon.described(encode, [w for w, _ in rows])
+    total = np.bincount(classes, weights=np.maximum(np.array([n for _, n in rows]) - model.taken[classes], 0) / np.maximum(model.class_tokens[classes], 1), minlength=attention.CLASSES)
+    assert np.allclose(total + model.left, 1)
+    chain = model.lexicon
+    assert np.allclose(np.exp(chain.log_first).sum(), 1, atol=1e-4) and np.allclose(np.exp(chain.log_next).sum(1) + np.exp(chain.log_end), 1, atol=1e-4)
+    assert np.allclose(np.bincount(chain.units.of, weights=np.exp(chain.units.log_share)), 1)
+    x = np.random.default_rng(2).normal(size=(2, attention.LENGTH, attention.WIDTH)).astype(np.float32)
+    net = attention.Model(model.flat)
+    each = sum(np.exp(net.log_probabilities(x, np.full((2, attention.SCORED), k), model.left)[0]) for k in range(attention.CLASSES))
+    assert np.allclose(each, 1, atol=1e-4)
+
+
+def test_every_training_document_is_trained_on_once_and_partitions_do_not_matter(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
+    monkeypatch.setattr(lm_scoring, "SHARE_WORDS", 4_000)  # many shares and rounds
+    folder = spark.sparkContext.accumulator(0)
+    inner = lm_scoring._steps
+
+    def counted(trainer, known, some, *more):
+        folder.add(len(some))
+        return inner(trainer, known, some, *more)
 
-    def counted(parts, size, slices=lm_scoring.SLICES):
-        total = dense(parts, size, slices)
-        if size == attention.SIZE + 1:
-            windows.append(total[-1])
-        return total
+    monkeypatch.setattr(lm_scoring, "_steps", counted)
+    one, _ = lm_scoring.train(docs.repartition(2))
+    six, _ = lm_scoring.train(docs.repartition(6))
+    assert np.array_equal(one.flat, six.flat) and one.head == six.head and np.array_equal(one.class_tokens, six.class_tokens)
+    if folder.value:  # the workers may have imported the module's own function
+        assert folder.value == 2 * sum(zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in docs.collect())
+    scored = [{r.doc_id: r.score for r in lm_scoring.score_texts(docs.repartition(n)).collect()} for n in (2, 6)]
+    assert all(math.isclose(v, scored[1][k], rel_tol=1e-5) for k, v in scored[0].items())
 
-    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
-    monkeypatch.setattr(lm_scoring, "_dense", counted)
-    lm_scoring.train(docs)
-    texts = [(r.text or "").encode() for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10]
-    n = lm_scoring.encoded(subwords.WordCache(lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"))), texts)[-1]
-    assert len(windows) == len(lm_scoring.RATES) and sum(windows) == (-(-n // attention.SCORED)).sum()
+
+def test_the_model_beats_the_base_on_held_out_texts(spark):
+    held = lm_scoring.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[2] > held[1] / held[2] + 0.02
 
 
 def test_scores_do_not_depend_on_the_head(docs, monkeypatch):
@@ -221,39 +345,42 @@ def test_scores_do_not_depend_on_the_head(docs, monkeypatch):
 
 
 def test_each_token_is_scored_once_under_a_causal_mask():
+    n = np.array([1, 31, 32, 33, 100])
+    read, score = lm_scoring.laid_out(n)
+    assert sorted(score[score >= 0]) == list(range(n.sum()))
+    begin = np.cumsum(n) - n
+    for row_r, row_s in zip(read, score, strict=True):
+        for k, s in enumerate(row_s):
+            if s >= 0:
+                assert row_r[attention.CONTEXT + k] == (-1 if s in begin else s - 1)
     rng = np.random.default_rng(0)
-    flat, table = attention.initial(), attention.bigram_logits(rng.integers(0, 9, (attention.UNITS, attention.CLASSES)).astype(float))
-    flat[-9000:] = rng.normal(0, 0.3, 9000)
-    model = attention.Model(flat, table)
-    vocabulary = attention.Vocabulary.of_counts(rng.integers(0, 50, lm_scoring.END + 1).astype(float), np.arange(lm_scoring.END + 1))
-    ids = [rng.integers(0, 900, n) for n in (1, 31, 32, 33, 100)]
-    unit, target = lm_scoring.laid_out(np.concatenate(ids), np.array([len(x) for x in ids]), vocabulary)
-    assert (target >= 0).sum() == sum(map(len, ids))
-    assert np.array_equal(target[target >= 0], vocabulary.class_of[np.concatenate(ids)])
-    later = unit.copy()
-    later[:, -1] = (later[:, -1] + 1) % attention.UNITS
-    one, other = (model.log_probabilities(x, target)[:, :-1] for x in (unit, later))
+    flat = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    flat += rng.normal(0, 0.2, len(flat)).astype(np.float32)
+    x, target = rng.normal(size=(3, attention.LENGTH, attention.WIDTH)).astype(np.float32), rng.integers(0, attention.CLASSES, (3, attention.SCORED))
+    later = x.copy()
+    later[:, -1] += 1
+    one, other = (attention.Model(flat).log_probabilities(v, target, np.ones(attention.CLASSES))[0].reshape(3, -1)[:, :-1] for v in (x, later))
     assert np.allclose(one, other, atol=1e-5)
-    whole = sum(np.exp(model.log_probabilities(unit[:2], np.full_like(target[:2], c))) for c in range(attention.CLASSES))
-    assert np.allclose(whole, 1, atol=1e-4)
-    assert math.isclose(np.bincount(vocabulary.class_of, weights=np.exp(vocabulary.log_share)).sum(), attention.CLASSES)
 
 
-def test_gradients_equal_differences():
+def test_gradients_equal_differences(monkeypatch):
+    monkeypatch.setattr(attention, "link", lambda bits: np.exp((bits - attention._ONE) / attention._E, dtype=np.float32))  # whose slope is its value
     rng = np.random.default_rng(1)
-    flat, table = attention.initial(), attention.bigram_logits(rng.integers(0, 9, (attention.UNITS, attention.CLASSES)).astype(float))
-    unit, target = rng.integers(0, attention.UNITS, (6, attention.LENGTH)), rng.integers(0, attention.CLASSES, (6, attention.SCORED))
-    unit[0, : attention.CONTEXT], target[1, 5:] = attention.ABSENT, -1
-    loss = lambda f: -attention.Model(f, table).log_probabilities(unit, target).sum(dtype=float) / (target >= 0).sum()
-    g, at = attention.gradient(attention.Model(flat, table), unit, target), 0
-    for _, shape in attention.SHAPES:
-        n = int(np.prod(shape))
-        k = at + int(np.argmax(np.abs(g[at : at + n])))
-        if abs(g[k]) > 1e-3:
-            step = np.zeros(len(flat))
-            step[k] = 0.02
-            assert math.isclose((loss(flat + step) - loss(flat - step)) / 0.04, g[k], rel_tol=0.05)
-        at += n
+    flat = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    flat += rng.normal(0, 0.2, len(flat)).astype(np.float32)
+    features, target = rng.normal(0, 0.5, (6, attention.LENGTH, attention.FEATURES)).astype(np.float32), rng.integers(0, attention.CLASSES, (6, attention.SCORED))
+    target[1, 5:] = -1
+
+    def loss(f):
+        x = (features.reshape(-1, attention.FEATURES) @ attention.unpacked(f)["emb"]).reshape(6, attention.LENGTH, -1)
+        return -attention.Model(f).log_probabilities(x, target, np.ones(attention.CLASSES))[0].mean(dtype=float)
+
+    g = attention.gradient(flat, features, target)
+    for name, begin, end, _ in attention._PLACES:
+        k = begin + int(np.argmax(np.abs(g[begin:end])))
+        step = np.zeros(len(flat), dtype=np.float32)
+        step[k] = 0.02
+        assert math.isclose((loss(flat + step) - loss(flat - step)) / 0.04, g[k], rel_tol=0.05), name
 
 
 # 5 and 6: SQL
