@@ -26,11 +26,12 @@ from itertools import chain, repeat
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opledger.llm import attention as net
-from opledger.llm.common import bounded_batches, crc_bucket, materialised, summed, task_index, utf8
+from opledger.llm.common import bounded_batches, crc_bucket, materialised, summed, task_index
 
 #: Most frequent words whose counts go to every task; the others' counts are joined.
 HEAD_WORDS = 250_000
@@ -42,7 +43,7 @@ LEAST_STEPS = 500
 UNITS_ALONE, UNIT_GROUPS = 1024, 64
 UNITS = UNITS_ALONE + UNIT_GROUPS
 #: Words held by a task; words counted before they leave it; slices of a sum.
-CACHE_WORDS, COUNT_WORDS, SLICES = 200_000, 400_000, 64
+CACHE_WORDS, COUNT_WORDS, SLICES = 300_000, 400_000, 64
 END = 50_256
 
 SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, share: double, rest: double>>"
@@ -52,6 +53,15 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()  # of bytes: ASCII alone
 
 
+def flat_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and how many each text has; null is the empty text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    there = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end of a text makes an empty one
+    owner = np.repeat(np.arange(len(column)), ends)[there.to_numpy(zero_copy_only=False)]
+    return flat.filter(there).cast(pa.binary()), np.bincount(owner, minlength=len(column))
+
+
 class Subwords:
     """Lossless byte-level ids of lower-case words, each with the space before it."""
 
@@ -84,17 +94,14 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-def parts(some: list[bytes], most: int = 1 << 20):
+def parts(column: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """The texts in runs of about ``most`` bytes."""
-    run, size = [], 0
-    for t in some:
-        run.append(t)
-        size += len(t)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
+    at = 0
+    while at < len(column):
+        end = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + most)), at + 1)
+        yield column.slice(at, end - at)
+        at = end
 
 
 @dataclass
@@ -156,7 +163,7 @@ class Lexicon:
             mine = np.zeros((len(some), net.FEATURES), dtype=np.float32)
             mine[:, net.KNOWN : net.KNOWN + net.SPECTRAL] = total
             known = np.flatnonzero(unit < net.KNOWN)
-            np.add.at(mine, (owner[known], unit[known]), 1)
+            mine[:, : net.KNOWN] = np.bincount(owner[known] * net.KNOWN + unit[known], minlength=len(some) * net.KNOWN).reshape(-1, net.KNOWN)
             features[some] = mine / np.sqrt(count, dtype=np.float32)[:, None]
             direction = total / (np.sqrt((total * total).sum(1, keepdims=True)) + 1e-6)
             classes[some] = net.ALONE + (direction @ self.centre.T - 0.5 * (self.centre**2).sum(1)).argmax(1)
@@ -246,23 +253,30 @@ class Known:
         self.named += ws
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
-        """Number of each word; all are valid until the next call."""
+        """Number of each of some different words; all are valid until the next call."""
         out = np.fromiter(map(self.number.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
         missed = np.flatnonzero(out < 0).tolist()
         if missed:
-            before, new = len(self.named), list(dict.fromkeys([ws[k] for k in missed]))
-            self._learn(new)
-            if len(self.named) < before + len(new):  # started afresh: the other words went
-                self._learn([w for w in dict.fromkeys(ws) if w not in self.number])
+            before = len(self.named)
+            self._learn([ws[k] for k in missed])
+            if len(self.named) < before + len(missed):  # started afresh: the other words went
+                self._learn([w for w in ws if w not in self.number])
                 return np.fromiter(map(self.number.__getitem__, ws), dtype=np.int64, count=len(ws))
-            out[missed] = [self.number[ws[k]] for k in missed]
+            out[missed] = np.arange(before, before + len(missed))
         return out
 
 
-def numbered(known: Known, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def numbered(known: Known, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of several texts, the empty word as each one's end, and how many each has."""
-    each = [[*words(t), b""] for t in some]
-    return known.numbers(list(chain.from_iterable(each))), np.array([len(w) for w in each], dtype=np.int64)
+    flat, n = flat_words(some)
+    coded = flat.dictionary_encode()
+    number = known.numbers([*coded.dictionary.to_pylist(), b""])
+    ends = np.cumsum(n + 1) - 1
+    out = np.empty(len(flat) + len(n), dtype=np.int64)
+    inside = np.ones(len(out), dtype=bool)
+    inside[ends] = False
+    out[inside], out[ends] = number[coded.indices.to_numpy()], number[-1]
+    return out, n + 1
 
 
 def laid_out(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +308,9 @@ def _word_counts(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            seen.update(chain.from_iterable(map(words, utf8(batch.column(0)))))
+            met = pc.value_counts(flat_words(batch.column(0))[0])
+            for word, n in zip(met.field(0).to_pylist(), met.field(1).to_pylist(), strict=True):
+                seen[word] += n
             seen[b""] += batch.num_rows
             if len(seen) > COUNT_WORDS:
                 yield batch_of()
@@ -344,13 +360,18 @@ def _with_tokenizer(path: str, step):
     """Batch function over ``(word, n)`` that adds up ``step(encode, words, counts)``, without the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = subwords(path), None
-        for batch in batches:
-            ws, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
-            keep = [k for k, w in enumerate(ws) if w]
-            if keep:
-                got = step(encode, [ws[k] for k in keep], n[keep])
-                total = got if total is None else total + got
+        encode, total, ws, counts = subwords(path), None, [], []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                ws += batch.column(0).to_pylist()
+                counts.append(batch.column(1).to_numpy().astype(np.float64))
+            if ws and (batch is None or len(ws) > 50_000):  # a step makes arrays of the sum's size
+                n = np.concatenate(counts)
+                keep = [k for k, w in enumerate(ws) if w]
+                if keep:
+                    got = step(encode, [ws[k] for k in keep], n[keep])
+                    total = got if total is None else total + got
+                ws, counts = [], []
         if total is not None:
             yield _slices(total)
 
@@ -440,11 +461,7 @@ def _learn(path: str, lexicon, flat: np.ndarray, rate: float, passes: int, expec
         encode, total = subwords(path), np.zeros(net.SIZE + 1)
         known = Known(lambda ws: lexicon.value.described(encode, ws)[:2])
 
-        def texts_of() -> Iterator[tuple[int, bytes]]:
-            for batch in batches:
-                yield from zip(batch.column(1).to_pylist(), utf8(batch.column(0)), strict=True)
-
-        def finish(trainer: net.Trainer | None, held: list[list[bytes]], rng) -> None:
+        def finish(trainer: net.Trainer | None, held: list[pa.Array], rng) -> None:
             if trainer is None:
                 return
             for _ in range(passes - 1):
@@ -453,25 +470,26 @@ def _learn(path: str, lexicon, flat: np.ndarray, rate: float, passes: int, expec
             total[:-1] += np.rint(trainer.flat.astype(np.float64) * POINT)
             total[-1] += 1
 
-        share, trainer, held, run_, size, rng = None, None, [], [], 0, None
-        for s, text in chain(texts_of(), [(None, b"")]):
-            if run_ and (s != share or size >= 1 << 20):
-                _steps(trainer, known, run_, rate, rng, passes * expected)
-                if passes > 1:
-                    held.append(run_)
-                run_, size = [], 0
-            if s != share:
-                finish(trainer, held, rng)
-                share, held, trainer, rng = s, [], net.Trainer(flat), np.random.default_rng(7)
-            run_.append(text)
-            size += len(text)
+        share, trainer, held, rng = None, None, [], None
+        for batch in batches:
+            shares = batch.column(1).to_numpy()
+            begins = np.flatnonzero(np.diff(shares, prepend=-1)).tolist()
+            for begin, end in zip(begins, [*begins[1:], len(shares)], strict=True):
+                if shares[begin] != share:
+                    finish(trainer, held, rng)
+                    share, held, trainer, rng = shares[begin], [], net.Trainer(flat), np.random.default_rng(7)
+                for some in parts(batch.column(0).slice(begin, end - begin)):
+                    _steps(trainer, known, some, rate, rng, passes * expected)
+                    if passes > 1:
+                        held.append(some)
+        finish(trainer, held, rng)
         if total[-1]:
             yield _slices(total, 4)
 
     return run
 
 
-def _steps(trainer: net.Trainer, known: Known, some: list[bytes], rate: float, rng: np.random.Generator, expected: int) -> None:
+def _steps(trainer: net.Trainer, known: Known, some: pa.Array, rate: float, rng: np.random.Generator, expected: int) -> None:
     """Train on every window of the texts once, in random order; the rate falls to a fifth over the tokens expected."""
     numbers, n = numbered(known, some)
     features, classes = known.rows
@@ -506,7 +524,7 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
         scorer = Scorer(m, encode)
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
-            for some in parts(utf8(batch.column(1))):
+            for some in parts(batch.column(1)):
                 for column, got in zip(columns, scorer(some), strict=True):
                     column.append(got)
             length, known, base, score, tail = (pa.concat_arrays(c) for c in columns)
@@ -542,7 +560,7 @@ class Scorer:
         self.known, self.left = Known(describe), m.left
         self.marks = emb[[net.ABSENT, net.START]]
 
-    def __call__(self, some: list[bytes]) -> list[pa.Array]:
+    def __call__(self, some: pa.Array) -> list[pa.Array]:
         numbers, n = numbered(self.known, some)
         vectors, classes, spelling, counts, shares, unigram = self.known.rows
         log_class, log_left = self.of_classes(vectors, classes, numbers, n)

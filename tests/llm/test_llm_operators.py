@@ -313,7 +313,7 @@ def test_all_words_have_probability_one(docs):
 
 def test_every_training_document_is_trained_on_once_and_partitions_do_not_matter(spark, docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
-    monkeypatch.setattr(lm_scoring, "SHARE_WORDS", 4_000)  # many shares and rounds
+    monkeypatch.setattr(lm_scoring, "SHARE_WORDS", 15_000)  # several shares and rounds
     folder = spark.sparkContext.accumulator(0)
     inner = lm_scoring._steps
 
