@@ -33,9 +33,31 @@ def commit_index(match: DataFrame, log: DataFrame, nodes: int) -> DataFrame:
 
 
 def log_conflict(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-    """First index of each pair of logs ``(pair, index, term)`` at which their terms differ: from there the follower truncates."""
-    both = mine.alias("m").join(theirs.alias("t"), (F.col("m.pair") == F.col("t.pair")) & (F.col("m.index") == F.col("t.index")))
-    return both.filter(F.col("m.term") != F.col("t.term")).groupBy(F.col("m.pair").alias("pair")).agg(F.min(F.col("m.index")).alias("conflict_index"))
+    """First index of each pair of logs ``(pair, index, term)`` at which their terms differ or only ``theirs`` has an entry.
+
+    ``mine`` is the follower's: from a differing term it truncates, from its end it
+    appends.  Entries that the leader does not send are no conflict.
+    """
+    ours = mine.select("pair", "index", F.col("term").alias("own_term"))
+    both = theirs.join(ours, ["pair", "index"], "left")
+    return both.filter(~F.col("term").eqNullSafe(F.col("own_term"))).groupBy("pair").agg(F.min("index").alias("conflict_index"))
+
+
+def append_answers(follower: DataFrame, requests: DataFrame) -> DataFrame:
+    """How followers ``(pair, index, term)`` answer requests ``(pair, prev_index, prev_term, entries, leader_commit)``.
+
+    ``success`` if the entry before is there with its term (index 0 is always).  Else
+    ``hint_term`` and ``hint_index`` say where to go on: the first index of the term
+    found in its place, or the place behind the log's end with a null term.
+    ``commit`` is what the leader has committed, up to the last entry sent; 0 on failure.
+    """
+    ends = follower.groupBy("pair").agg(F.max("index").alias("last"))
+    firsts = follower.groupBy("pair", "term").agg(F.min("index").alias("first"))
+    at = follower.select("pair", F.col("index").alias("prev_index"), F.col("term").alias("found"))
+    r = requests.join(ends, "pair", "left").join(at, ["pair", "prev_index"], "left").join(firsts.withColumnRenamed("term", "found"), ["pair", "found"], "left")
+    ok = (F.col("prev_index") == 0) | F.coalesce(F.col("found") == F.col("prev_term"), F.lit(False))
+    return r.select("pair", ok.alias("success"), F.when(~ok, F.col("found")).alias("hint_term"), F.when(~ok, F.coalesce("first", F.coalesce("last", F.lit(0)) + 1)).alias("hint_index"),
+        F.when(ok, F.least("leader_commit", F.col("prev_index") + F.col("entries"))).otherwise(0).alias("commit"))
 
 
 def next_index(log: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -82,7 +82,8 @@ def admit_leased(requests: DataFrame, limits: DataFrame, *, fraction: float, ttl
             return [(row["idx"], row["tenant"], True, 0, True)]
         [(_, _, ok, hint)] = _take(b, row)
         if ok:
-            more = min(size - n, math.floor(b.tokens))
+            whole = math.floor(b.tokens + n)  # of what the bucket held before, leases take whole tokens
+            more = max(min(size, whole) - n, 0.0)
             b.tokens -= more
             b.leased[g] = b.leased.get(g, 0.0) + more
             b.expires[g] = now + ttl_ms

@@ -153,26 +153,34 @@ def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
 
 
 def near_pairs(texts: DataFrame, id_col: str, text_col: str, k: int = EDITS) -> DataFrame:
-    """Pairs of distinct normal forms within ``k`` edits.
-
-    A text is cut into ``k + 1`` pieces, and a partner must hold one of them whole,
-    shifted by ``k`` at most: pieces join on their text and length, and the edit
-    distance decides.  Equal forms are one node, so copies never pair up.
+    """Pairs of distinct normal forms within ``k`` edits, ``a`` before ``b``.
+
+    The shorter of two texts is cut into ``k + 1`` pieces; the longer, ``d`` characters
+    more, must hold piece ``i`` whole, shifted by ``i`` at most and by ``k - i`` from
+    ``d``: edits before the piece shift it, those behind it make up the rest.  Ids join
+    on hashes of those pieces, each pair once, and only pairs that met fetch their
+    texts, whose edit distance decides.  Equal forms are one node, so copies never pair
+    up.  Texts of up to ``k`` characters have an empty piece and meet by length.
     """
     norm = texts.select(id_col, normalise(F.col(text_col)).alias("norm")).filter("norm <> ''").groupBy("norm").agg(F.min(id_col).alias("id"))
     size = F.length("norm")
-    piece = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("i"), (F.floor(i * size / (k + 1)) + 1).cast("int").alias("from"), (F.floor((i + 1) * size / (k + 1)) - F.floor(i * size / (k + 1))).cast("int").alias("n")))
-    cut = norm.select("id", "norm", size.alias("size"), F.explode(piece).alias("p"))
-    a = cut.select(F.col("id").alias("a"), F.col("norm").alias("a_norm"), F.col("size").alias("a_size"), F.col("p.i").alias("i"), F.xxhash64(F.expr("substring(norm, p.from, p.n)")).alias("piece"))
-    # a partner of any length in reach holds the piece of that length's text, shifted by up to k
-    shift = F.explode(F.sequence(F.lit(-k), F.lit(k)))
-    right = norm.select(F.col("id").alias("b"), F.col("norm").alias("b_norm"), F.length("norm").alias("size"))
-    right = right.select("*", F.explode(F.sequence(F.col("size") - k, F.col("size") + k)).alias("a_size")).filter("a_size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
-    begin, end = F.floor(F.col("i") * F.col("a_size") / (k + 1)), F.floor((F.col("i") + 1) * F.col("a_size") / (k + 1))
-    right = right.withColumn("at", (begin + 1).cast("int")).withColumn("n", (end - begin).cast("int")).select("*", shift.alias("s")).filter("at + s > 0 and at + s + n - 1 <= size")
-    right = right.select("b", "b_norm", "size", "a_size", "i", F.xxhash64(F.expr("substring(b_norm, at + s, n)")).alias("piece")).distinct()
-    met = a.join(right, ["a_size", "i", "piece"]).filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "a_norm", "b", "b_norm").select("lo", "hi", F.when(F.col("a") < F.col("b"), F.col("a_norm")).otherwise(F.col("b_norm")).alias("a_norm"), F.when(F.col("a") < F.col("b"), F.col("b_norm")).otherwise(F.col("a_norm")).alias("b_norm")).select(F.col("lo").alias("a"), "a_norm", F.col("hi").alias("b"), "b_norm").distinct()
-    return met.filter(within_edits(F.col("a_norm"), F.col("b_norm"), k)).select("a", "b")
+    begin = lambda i, n: F.floor(i * n / (k + 1)).cast("int")
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring("norm", begin(i, size) + 1, begin(i + 1, size) - begin(i, size))).alias("h"))))
+    short = norm.select(F.col("id").alias("a"), size.alias("size"), cut.alias("p")).select("a", "size", "p.i", "p.h")
+    probes = [(d, i, s) for d in range(k + 1) for i in range(k + 1) for s in range(max(-i, d - (k - i)), min(i, d + k - i) + 1)]
+
+    def probe(d: int, i: int, s: int) -> Column:
+        of, i_ = size - d, F.lit(i)
+        at = begin(i_, of) + s
+        n = begin(i_ + 1, of) - begin(i_, of)
+        return F.when((of > 0) & (at >= 0) & (at + n <= size), F.struct(of.alias("size"), i_.alias("i"), F.xxhash64(F.substring("norm", at + 1, n)).alias("h")))
+
+    held = F.explode(F.array_distinct(F.array_compact(F.array(*(probe(*p) for p in probes)))))
+    long_ = norm.select(F.col("id").alias("b"), size.alias("b_size"), held.alias("p")).select("b", "b_size", "p.size", "p.i", "p.h")
+    met = short.join(long_, ["size", "i", "h"]).filter((F.col("b_size") > F.col("size")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    text = lambda name: norm.select(F.col("id").alias(name), F.col("norm").alias(f"{name}_norm"))
+    pairs = met.join(text("a"), "a").join(text("b"), "b").filter(within_edits(F.col("a_norm"), F.col("b_norm"), k))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def lookups(requests: DataFrame, stores: DataFrame, *, ttl_ms: int = 0) -> DataFrame:

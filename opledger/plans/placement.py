@@ -94,9 +94,9 @@ def route_sequential_bounded(spark, sf):
     return pl.place_in_order(r, _ranks(spark, sf), FACTOR)
 
 
-@query(f"""WITH {WORKERS}, {REQUESTS}, rep AS (SELECT w.id, w.inflight, w.lease_until_ms, r.ts_ms, r.request_id, r.k % 6 AS local FROM requests r JOIN workers w ON w.id = 'w' || (r.request_id % 8) WHERE r.k % 3 = 0)
+@query(f"""WITH {WORKERS}, {REQUESTS}, rep AS (SELECT w.id, w.inflight, w.lease_until_ms, r.ts_ms, r.request_id, r.k % 6 AS local FROM requests r JOIN workers w ON w.id = 'w' || (r.request_id % 8))
 SELECT request_id, id, greatest(0, inflight - first_value(local) OVER (PARTITION BY id, lease_until_ms ORDER BY ts_ms, request_id)) + local AS estimate FROM rep""")
 def route_local_load(spark, sf):
-    r, w = requests(spark, sf).filter("k % 3 = 0"), workers(spark, sf)
+    r, w = requests(spark, sf), workers(spark, sf)
     rep = r.join(F.broadcast(w), F.concat(F.lit("w"), (F.col("request_id") % 8).cast("string")) == w.id).withColumn("local", F.col("k") % 6)  # eight workers
     return pl.local_load(rep).select("request_id", "id", "estimate")

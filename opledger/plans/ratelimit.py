@@ -69,14 +69,32 @@ def rl_budget_audit(spark, sf):
     return rl.budget_audit(rl.admit(r, _limits(r)).drop("tenant").join(r.select("idx", "tenant"), "idx"), r, _limits(r))
 
 
-@query()
+#: A lease of four tokens a gateway from a burst of eight, for a day.
+_LEASED, _DAY = 8.0, 86_400_000
+_NEXT = "CASE WHEN f.last_ms IS NOT NULL AND r.ts_ms > f.last_ms THEN least({burst}, f.tokens + (r.ts_ms - f.last_ms) * {rate!r} / 1000.0) ELSE f.tokens END"
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT event_id AS idx, 'u' || user_id AS tenant, ts_ms, k % 2 AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS rn FROM ev),
+f AS (SELECT DISTINCT tenant, CAST(0 AS BIGINT) AS rn, CAST({_LEASED} AS DOUBLE) AS tokens, CAST(NULL AS BIGINT) AS last_ms, CAST(0 AS DOUBLE) AS l0, CAST(0 AS DOUBLE) AS l1, CAST(NULL AS BIGINT) AS e0, CAST(NULL AS BIGINT) AS e1,
+    CAST(NULL AS BIGINT) AS idx, false AS admitted, CAST(0 AS BIGINT) AS retry_after_ms, false AS from_lease FROM r
+  UNION ALL
+  SELECT tenant, rn, CASE WHEN takes THEN now - least(4.0, floor(now)) ELSE tokens END, CASE WHEN takes THEN greatest(ts_ms, coalesce(last_ms, ts_ms)) ELSE last_ms END,
+    CASE WHEN g = 0 THEN CASE WHEN held >= 1 THEN held - 1 WHEN takes THEN held + least(4.0, floor(now)) - 1 ELSE held END ELSE l0 END, CASE WHEN g = 1 THEN CASE WHEN held >= 1 THEN held - 1 WHEN takes THEN held + least(4.0, floor(now)) - 1 ELSE held END ELSE l1 END,
+    CASE WHEN g = 0 AND takes THEN ts_ms + {_DAY} ELSE e0 END, CASE WHEN g = 1 AND takes THEN ts_ms + {_DAY} ELSE e1 END,
+    idx, held >= 1 OR takes, CASE WHEN held >= 1 OR takes THEN 0 ELSE CAST(floor(1000 * (1 - now) / {RATE!r}) AS BIGINT) END, held >= 1
+  FROM (SELECT *, held < 1 AND now >= 1 AS takes FROM (
+    SELECT r.tenant, r.rn, r.idx, r.ts_ms, r.g, f.tokens, f.last_ms, f.l0, f.l1, f.e0, f.e1, {_NEXT.format(burst=_LEASED, rate=RATE)} AS now,
+      CASE WHEN CASE WHEN r.g = 0 THEN f.e0 ELSE f.e1 END > r.ts_ms THEN CASE WHEN r.g = 0 THEN f.l0 ELSE f.l1 END ELSE 0.0 END AS held
+    FROM f JOIN r ON r.tenant = f.tenant AND r.rn = f.rn + 1) x) y)
+SELECT idx, tenant, admitted, retry_after_ms, from_lease FROM f WHERE rn > 0""")
 def rl_leased_admission(spark, sf):
     r = bucket_requests(spark, sf)
-    limits = _limits(r).withColumn("burst", F.lit(8.0))
-    return rl.admit_leased(r, limits, fraction=0.5, ttl_ms=86_400_000)
+    limits = _limits(r).withColumn("burst", F.lit(_LEASED))
+    return rl.admit_leased(r, limits, fraction=0.5, ttl_ms=_DAY)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FOLD}, z AS (SELECT tenant, arg_max(tokens, rn) AS tokens, max(last_ms) AS last_ms FROM f GROUP BY tenant)
+SELECT tenant, CASE WHEN last_ms IS NULL THEN {BURST} ELSE least({BURST}, tokens + greatest(0, 1710000000000 - last_ms) * {RATE!r} / 1000.0) END AS tokens FROM z""")
 def rl_peek(spark, sf):
     r = bucket_requests(spark, sf)
     return rl.peek(r, _limits(r), 1_710_000_000_000)

@@ -80,9 +80,8 @@ def gw_hedge_outcomes(spark, sf):
     return sv.hedged(a, 250).select("request_id", "hedged", "hedge_won", "ttft_ms")
 
 
-@query(f"""WITH {REQUESTS}, a AS (SELECT request_id, r.rank, 'w' || ((request_id + r.rank) % 8) AS worker, (k + r.rank * 3) % 4 = 0 AS failed FROM requests CROSS JOIN (VALUES (1), (2), (3)) r(rank)),
-o AS (SELECT request_id, arg_min(worker, rank) AS worker, min(rank) AS rank FROM a WHERE rank <= 2 AND NOT failed GROUP BY request_id)
-SELECT q.request_id, o.worker, coalesce(o.rank > 1, true) AS retried FROM requests q LEFT JOIN o ON o.request_id = q.request_id""")
+@query(f"""WITH {EVENTS} SELECT event_id AS request_id, CASE WHEN (k + 3) % 4 <> 0 THEN 'w' || ((event_id + 1) % 8) WHEN (k + 6) % 4 <> 0 THEN 'w' || ((event_id + 2) % 8) END AS worker, (k + 3) % 4 = 0 AS retried
+FROM ev""")
 def gw_failover(spark, sf):
     a = requests(spark, sf).select("request_id", "k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
     a = a.select("request_id", "rank", F.concat(F.lit("w"), ((F.col("request_id") + F.col("rank")) % 8).cast("string")).alias("worker"), F.when((F.col("k") + F.col("rank") * 3) % 4 == 0, "unavailable").alias("error"))
@@ -90,12 +89,12 @@ def gw_failover(spark, sf):
 
 
 def _tokens(spark, sf):
-    r = requests(spark, sf).filter("request_id % 10 = 0").select("request_id", "max_tokens", "k")
+    r = requests(spark, sf).select("request_id", "max_tokens", "k")
     t = sv.generated(r).join(r.select("request_id", "k"), "request_id")
     return t.filter(~((F.col("k") % 6 == 0) & (F.col("index") == 3))).withColumn("done", F.col("done") & (F.col("k") % 7 != 0)).select("request_id", "index", F.concat(F.lit("t"), F.col("index").cast("string")).alias("text"), "done")
 
 
-_TOKENS = "tok AS (SELECT request_id, i AS index, 't' || i AS text, i = max_tokens - 1 AND k % 7 <> 0 AS done FROM requests, unnest(range(0, max_tokens)) u(i) WHERE request_id % 10 = 0 AND NOT (k % 6 = 0 AND i = 3))"
+_TOKENS = "tok AS (SELECT request_id, i AS index, 't' || i AS text, i = max_tokens - 1 AND k % 7 <> 0 AS done FROM requests, unnest(range(0, max_tokens)) u(i) WHERE NOT (k % 6 = 0 AND i = 3))"
 
 
 @query(f"WITH {REQUESTS}, {_TOKENS} SELECT request_id, string_agg(text, '' ORDER BY index) AS text FROM tok GROUP BY request_id HAVING bool_or(done)")

@@ -26,17 +26,17 @@ def config_history(spark):
     return shards.history(commands(spark))
 
 
-def _literal_history() -> str:
-    """The same history as VALUES, from the pure rule; the fold is compared with it."""
-    config, rows = shards._Config(), []
-    for k, (op, gids, shard, gid) in enumerate(COMMANDS):
-        [(idx, num, error, owners)] = shards._config_step(config, {"idx": k * STEP, "op": op, "gids": gids, "shard": shard, "gid": gid})
-        if error is None:
-            rows += [f"({idx}, {num}, {s}, {g})" for s, g in enumerate(owners)]
-    return "hist(idx, num, shard, gid) AS (VALUES " + ", ".join(rows) + ")"
-
-
-HIST = _literal_history()
+#: The configurations that the commands make, worked out by hand from the rule: place of the command, number, owners of shards 0 to 9.
+#: Quotas are the even share, one more for the lowest groups; groups above quota give up their lowest shards, in order of groups, to the group with the least.
+OWNERS = (
+    (0, 1, (1, 2, 3, 1, 2, 3, 1, 2, 3, 1)),  # quotas 4, 3, 3; all are free
+    (100, 2, (4, 2, 4, 1, 2, 3, 1, 2, 3, 1)),  # quotas 3, 3, 2, 2: group 1 gives up shard 0, group 3 shard 2, both to 4
+    (200, 3, (4, 2, 4, 1, 2, 3, 1, 2, 3, 1)),  # shard 0 is group 4's already; the move is a configuration all the same
+    (400, 4, (4, 3, 4, 1, 4, 3, 1, 1, 3, 1)),  # the shard 99 was refused; of quotas 4, 3, 3: shard 1 to 3, 4 to 4, 7 to 1
+    (600, 5, (8, 7, 4, 5, 4, 3, 6, 1, 3, 1)),  # group 9 was refused; quotas 2, 2, 2, 1, 1, 1, 1: shards 3, 6 of 1, 1 of 3, 0 of 4 to 5, 6, 7, 8
+    (700, 6, (8, 7, 5, 5, 6, 7, 6, 8, 5, 6)),  # quotas 3, 3, 2, 2: shards 2, 4, 5, 7, 8, 9 to 5, 6, 7, 8, 5, 6
+)
+HIST = "hist(idx, num, shard, gid) AS (VALUES " + ", ".join(f"({idx}, {num}, {s}, {g})" for idx, num, owners in OWNERS for s, g in enumerate(owners)) + ")"
 _BYTES = "list_transform(range(0, octet_length(encode(key))), lambda i: CAST(('0x' || substr(hex(encode(key)), CAST(2 * i + 1 AS INT), 2)) AS BIGINT))"
 _SHARD = f"list_reduce({_BYTES}, lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261) % 10"
 _SHARDED = f"sharded AS (SELECT *, CAST({_SHARD} AS BIGINT) AS shard FROM oplog)"

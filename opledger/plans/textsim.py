@@ -12,51 +12,43 @@ from opledger.plans.placement import fnv64_sql
 BOOK = Book()
 query, QUERIES, ORACLE = BOOK.query, BOOK.queries, BOOK.oracle
 
-_NORM = "lower(trim(regexp_replace({0}, '[\\s]+', ' ', 'g')))"
-#: Texts of ASCII alone, on which both engines agree about white space and case.
-_ASCII = "octet_length(encode({0})) = length({0})"
+_WHITE = r"[\p{Z}\s\x0b\x{85}]+"
+_NORM = "lower(trim(regexp_replace({0}, '" + _WHITE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
 TTL = 6 * 3_600_000
 
 
-def _documents(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.filter(F.octet_length("text") == F.length("text"))
-
-
-@query(f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_md5, length({_NORM.format('text')}) AS norm_chars FROM documents WHERE {_ASCII.format('text')}")
+@query(f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_md5, length({_NORM.format('text')}) AS norm_chars FROM documents")
 def text_normalise(spark, sf):
     n = ts.normalise(F.col("text"))
-    return _documents(spark, sf).select("doc_id", F.md5(n.cast("binary")).alias("norm_md5"), F.length(n).cast("bigint").alias("norm_chars"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(n.cast("binary")).alias("norm_md5"), F.length(n).cast("bigint").alias("norm_chars"))
 
 
-@query(f"SELECT doc_id, sha256({_NORM.format('text')}) AS key FROM documents WHERE {_ASCII.format('text')}")
+@query(f"SELECT doc_id, sha256({_NORM.format('text')}) AS key FROM documents")
 def cache_exact_key(spark, sf):
-    return _documents(spark, sf).select("doc_id", ts.exact_key(F.col("text")).alias("key"))
+    return table(spark, sf, "documents").select("doc_id", ts.exact_key(F.col("text")).alias("key"))
 
 
-@query(f"SELECT sha256({_NORM.format('text')}) AS key, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE {_ASCII.format('text')} GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT sha256({_NORM.format('text')}) AS key, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def cache_exact_duplicates(spark, sf):
-    d = _documents(spark, sf).select("doc_id", ts.exact_key(F.col("text")).alias("key"))
+    d = table(spark, sf, "documents").select("doc_id", ts.exact_key(F.col("text")).alias("key"))
     return d.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-@query(f"WITH {REQUESTS} SELECT request_id, sha256(lower('tenant:' || sha256(tenant) || ' ' || max_tokens || ' ' || trim(regexp_replace(prompt, '[\\s]+', ' ', 'g')))) AS key FROM requests WHERE {_ASCII.format('prompt')}")
+@query(f"WITH {REQUESTS} SELECT request_id, sha256(lower('tenant:' || sha256(tenant) || ' ' || max_tokens || ' ' || trim(regexp_replace(prompt, '{_WHITE}', ' ', 'g')))) AS key FROM requests")
 def cache_gateway_key(spark, sf):
-    r = requests(spark, sf).filter(F.octet_length("prompt") == F.length("prompt"))
-    return r.select("request_id", ts.gateway_key(F.col("tenant"), F.col("max_tokens"), F.col("prompt")).alias("key"))
+    return requests(spark, sf).select("request_id", ts.gateway_key(F.col("tenant"), F.col("max_tokens"), F.col("prompt")).alias("key"))
 
 
-@query(f"""WITH t AS (SELECT item_id, {_NORM.format('text')} AS n FROM benchmark WHERE {_ASCII.format('text')}),
+@query(f"""WITH t AS (SELECT item_id, {_NORM.format('text')} AS n FROM benchmark),
 f AS (SELECT item_id, 'c:' || substr(n, i, 2) AS feature FROM t, unnest(range(1, length(n))) u(i)
   UNION ALL SELECT item_id, 'c:' || substr(n, i, 3) FROM t, unnest(range(1, length(n) - 1)) u(i)
-  UNION ALL SELECT item_id, 'w:' || w FROM (SELECT item_id, regexp_replace(regexp_replace(unnest(string_split(n, ' ')), '^[[:punct:]]+', ''), '[[:punct:]]+$', '') AS w FROM t) x WHERE w <> ''),
+  UNION ALL SELECT item_id, 'w:' || w FROM (SELECT item_id, regexp_replace(regexp_replace(unnest(string_split(n, ' ')), '^\\p{{P}}+', ''), '\\p{{P}}+$', '') AS w FROM t) x WHERE w <> ''),
 g AS (SELECT item_id, feature, count(*) AS n FROM f GROUP BY item_id, feature), hashed AS (SELECT item_id, n, {fnv64_sql('feature')} AS h FROM g),
 s AS (SELECT item_id, CAST(h % 512 AS BIGINT) AS bucket, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -n ELSE n END) AS n FROM hashed GROUP BY 1, 2 HAVING sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -n ELSE n END) <> 0),
 norm AS (SELECT item_id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM s GROUP BY item_id)
 SELECT item_id, bucket, round(CAST(n AS DOUBLE) / norm, 6) AS weight FROM s JOIN norm USING (item_id)""")
 def ngram_embedding_sparse(spark, sf):
-    b = table(spark, sf, "benchmark").filter(F.octet_length("text") == F.length("text"))
-    return ts.embed_sparse(b, "item_id", "text").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+    return ts.embed_sparse(table(spark, sf, "benchmark"), "item_id", "text").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 def _top(spark, sf):
@@ -79,10 +71,19 @@ def vec_near_hits(spark, sf):
     return _top(spark, sf).filter("similarity >= 0.4").select("query_id", "neighbour_id")
 
 
-@query()
+_TURNS = "turns AS (SELECT 2 * (1000 * conv_id + turn) AS id, text FROM conversations UNION ALL SELECT 2 * (1000 * conv_id + turn) + 1, substr(text, 3) FROM conversations)"
+
+
+@query(f"""WITH {_TURNS}, n AS (SELECT {_NORM.format('text')} AS norm, min(id) AS id FROM turns GROUP BY 1),
+t AS (SELECT id, norm, length(norm) AS size FROM n WHERE norm <> ''), s AS (SELECT id, norm, size, size + unnest(range(0, 4)) AS reach FROM t),
+c AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.norm AS p, y.norm AS q FROM s x JOIN t y ON y.size = x.reach AND (y.size > x.size OR x.id < y.id))
+SELECT least(a, b) AS a, greatest(a, b) AS b FROM c WHERE levenshtein(p, q) <= 3""")
 def near_duplicate_pairs(spark, sf):
+    """All turns, each also without its first two characters, as a prompt sent again by a sloppier hand."""
     c = table(spark, sf, "conversations")
-    return ts.near_pairs(c.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text")
+    key = 2 * (1000 * F.col("conv_id") + F.col("turn"))
+    turns = c.select(key.alias("id"), "text").unionByName(c.select((key + 1).alias("id"), F.expr("substring(text, 3)").alias("text")))
+    return ts.near_pairs(turns, "id", "text")
 
 
 @query()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from opledger.functions.hashing import crc32c, fnv32, fnv64_hex, shard_of
-from opledger.operators import audit, jobs, kv, placement, ratelimit, serving, shards, textsim
+from opledger.operators import asof, audit, consensus, jobs, kv, placement, ratelimit, serving, shards, textsim
 from opledger.operators import reports as rp
 from opledger.sources import codecs, wal
 
@@ -151,8 +151,10 @@ def test_near_pairs_query_equals_brute_force_beyond_ascii(spark, tmp_path):
     rows = [(k // 4, k % 4, t) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     forms = {}
-    for c, t, text in rows:
-        forms.setdefault(" ".join(text.split()).lower(), c * 1000 + t)
+    for v in (0, 1):
+        for c, t, text in rows:
+            form, i = " ".join(text[2 * v :].split()).lower(), 2 * (c * 1000 + t) + v
+            forms[form] = min(forms.get(form, i), i)
     items = [(i, f.encode()) for f, i in forms.items() if f]
     want = {(i, j) for i, a in items for j, b in items if i < j and textsim._levenshtein(a, b) <= 3}
     got = [tuple(r) for r in plans.near_duplicate_pairs(spark, str(tmp_path)).collect()]
@@ -190,6 +192,45 @@ def test_audits_catch_mutations(spark):
     assert [r.log for r in audit.contiguity(log, "log", "n").collect()] == ["b"]
 
 
+def test_breaker_states_by_call_sequences():
+    def after(*calls):
+        state, passed = serving.Closed(), []
+        for now, answer in calls:
+            state, ok = serving.breaker_step(state, now, answer, 2, 100)
+            passed.append(ok)
+        return state, passed
+
+    assert after((0, "failure"), (1, "success"), (2, "failure")) == (serving.Closed(1), [True] * 3)
+    assert after((0, "failure"), (1, "neither"), (2, "failure")) == (serving.Open(102), [True] * 3)
+    opened = ((0, "failure"), (1, "failure"))
+    assert after(*opened, (50, "success")) == (serving.Open(101), [True, True, False])
+    assert after(*opened, (101, "neither"), (150, "success")) == (serving.HalfOpen(101), [True, True, True, False])
+    assert after(*opened, (101, "neither"), (201, "success")) == (serving.Closed(), [True] * 4)
+    assert after(*opened, (101, "failure")) == (serving.Open(201), [True] * 3)
+
+
+def test_leases_take_whole_tokens_of_fractional_requests(spark):
+    rows = spark.createDataFrame([(1, "t", 0, 6.1, 0), (2, "t", 0, 1.5, 0), (3, "t", 0, 1.5, 0), (4, "t", 0, 0.4, 1)], "idx long, tenant string, ts_ms long, n double, gateway long")
+    limits = spark.createDataFrame([("t", 1.0, 10.0)], "tenant string, rate double, burst double")
+    got = ratelimit.admit_leased(rows, limits, fraction=0.9).orderBy("idx").collect()
+    # 10 tokens: the first takes a lease of 9, 2.9 of it to spare; then 1.0 is left in the bucket
+    assert [(r.admitted, r.from_lease) for r in got] == [(True, False), (True, True), (False, False), (True, False)]
+
+
+def test_answers_to_appended_entries(spark):
+    log = [(p, i, t) for p, terms in ((1, [1, 1, 2]), (2, [1]), (3, []), (4, [1, 2, 2])) for i, t in enumerate(terms, 1)]
+    asked = [(1, 3, 2, 2, 9), (1, 0, 0, 1, 9), (2, 3, 2, 1, 9), (3, 0, 0, 2, 1), (4, 3, 3, 1, 2)]
+    got = consensus.append_answers(spark.createDataFrame(log, "pair long, index long, term long"), spark.createDataFrame(asked, "pair long, prev_index long, prev_term long, entries long, leader_commit long"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, True, None, None, 5), (1, True, None, None, 1), (2, False, None, 2, 0), (3, True, None, None, 1), (4, False, 2, 2, 0)], key=str)
+    mine, theirs = (spark.createDataFrame(x, "pair long, index long, term long") for x in ([(1, 1, 1), (1, 2, 1), (2, 1, 1)], [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 1)]))
+    assert sorted(map(tuple, consensus.log_conflict(mine, theirs).collect())) == [(1, 2), (2, 2)]
+
+
+def test_as_of_join_keeps_clashing_names(spark):
+    rows, line = spark.createDataFrame([(1, 5, "x", "y")], "k long, at long, side string, _side string"), spark.createDataFrame([(1, 4, 7)], "k long, at long, v long")
+    assert tuple(asof.asof_join(rows, line, by=["k"], at="at", values=["v"]).first()) == (1, 5, "x", "y", 7)
+
+
 def test_breaker_probe(spark):
     calls = [(0, "failure"), (1, "failure"), (2, "success"), (2100, "failure"), (2200, "success"), (4200, "success"), (4300, "failure")]
     rows = spark.createDataFrame([("g", k, t, o) for k, (t, o) in enumerate(calls)], "gateway string, idx long, ts_ms long, outcome string")
