@@ -129,27 +129,37 @@ def fifo_index(adds: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return first.orderBy(F.desc("first")).limit(capacity)
 
 
-@F.pandas_udf(T.IntegerType())
-def _byte_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_levenshtein(x.encode(), y.encode()) for x, y in zip(a, b, strict=True)])
+def _levenshtein(a: bytes, b: bytes, most: int | None = None) -> int:
+    """Edit distance; beyond ``most`` any larger number.
 
-
-def _levenshtein(a: bytes, b: bytes) -> int:
-    row = list(range(len(b) + 1))
+    Only places within ``most`` of the diagonal can lie on a path that short.
+    """
+    k = len(a) + len(b) if most is None else most
+    if abs(len(a) - len(b)) > k:
+        return k + 1
+    far = len(a) + len(b) + 1
+    row = {j: j for j in range(min(len(b), k) + 1)}
     for i, x in enumerate(a, 1):
-        left, diagonal = i, row[0]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            left = min(row[j] + 1, left + 1, diagonal + (x != y))
-            diagonal, row[j] = row[j], left
-    return row[-1]
+        low, high, next_ = max(0, i - k), min(len(b), i + k), {}
+        for j in range(low, high + 1):
+            if j == 0:
+                next_[0] = i
+                continue
+            next_[j] = min(row.get(j, far) + 1, next_.get(j - 1, far) + 1, row[j - 1] + (x != b[j - 1]))
+        row = next_
+    return row[len(b)]
 
 
 def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
     """Edit distance in bytes of at most ``k``; ASCII pairs stay in the JVM."""
+
+    @F.pandas_udf(T.BooleanType())
+    def bytes_within(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([p == q or _levenshtein(p.encode(), q.encode(), k) <= k for p, q in zip(x, y, strict=True)], dtype=bool)
+
     ascii_pair = (F.octet_length(a) == F.length(a)) & (F.octet_length(b) == F.length(b))
     near = F.abs(F.octet_length(a) - F.octet_length(b)) <= k
-    return F.when(ascii_pair, F.levenshtein(a, b, k) >= 0).otherwise(near & (_byte_distance(F.when(near & ~ascii_pair, a).otherwise(""), F.when(near & ~ascii_pair, b).otherwise("")) <= k))
+    return F.when(ascii_pair, F.levenshtein(a, b, k) >= 0).otherwise(near & bytes_within(F.when(near & ~ascii_pair, a).otherwise(""), F.when(near & ~ascii_pair, b).otherwise("")))
 
 
 def near_pairs(texts: DataFrame, id_col: str, text_col: str, k: int = EDITS) -> DataFrame:

@@ -22,7 +22,7 @@ def fnv64_sql(text: str) -> str:
     return f"list_reduce({bytes_}, lambda h, b: (xor(h, b) * {FNV64_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT, {FNV64_OFFSET}::UHUGEINT)"
 
 
-_SCORES = f"""pre AS (SELECT DISTINCT substr(text, 1, {RUNES}) AS prefix FROM benchmark), ph AS (SELECT prefix, {fnv64_sql('prefix')} AS h FROM pre),
+_SCORES = SCORES = f"""pre AS (SELECT DISTINCT substr(text, 1, {RUNES}) AS prefix FROM benchmark), ph AS (SELECT prefix, {fnv64_sql('prefix')} AS h FROM pre),
 wh AS (SELECT *, ({fnv64_sql('id')} * {GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT AS g FROM workers),
 s0 AS (SELECT prefix, id, inflight, xor(h, g) AS x FROM ph CROSS JOIN wh),
 s1 AS (SELECT prefix, id, inflight, (xor(x, x >> 33) * {MIX_A}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM s0),
@@ -88,7 +88,14 @@ def hash_fnv64(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", fnv64_hex(F.col("text")).alias("fnv64"))
 
 
-@query()
+#: A lane's loads are a list in the order of the workers' ids; each request takes the first ranked worker below the bound and loads it.
+@query(f"""WITH RECURSIVE {WORKERS}, {REQUESTS}, {_SCORES}, ids AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM workers),
+orders AS MATERIALIZED (SELECT r.prefix, list(i.place ORDER BY r.rank) AS best FROM ranks r JOIN ids i ON i.id = r.id GROUP BY r.prefix),
+q AS MATERIALIZED (SELECT request_id % 16 AS lane, request_id, best, row_number() OVER (PARTITION BY request_id % 16 ORDER BY request_id) AS rn FROM requests JOIN orders ON orders.prefix = substr(prompt, 1, {RUNES})),
+f AS (SELECT DISTINCT lane, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS place, (SELECT list(inflight ORDER BY id) FROM workers) AS load FROM q
+  UNION ALL SELECT lane, rn, request_id, place, list_transform(range(1, len(load) + 1), lambda i: load[i] + CASE WHEN i = place THEN 1 ELSE 0 END)
+  FROM (SELECT q.lane, q.rn, q.request_id, f.load, coalesce(list_filter(q.best, lambda w: f.load[w] < ceil({FACTOR} * (list_sum(f.load) + 1) / len(f.load)))[1], q.best[1]) AS place FROM f JOIN q ON q.lane = f.lane AND q.rn = f.rn + 1) x)
+SELECT f.lane, f.request_id, ids.id AS worker FROM f JOIN ids ON ids.place = f.place WHERE rn > 0""")
 def route_sequential_bounded(spark, sf):
     r = requests(spark, sf).select((F.col("request_id") % 16).alias("lane"), "request_id", pl.prefix(F.col("prompt"), RUNES).alias("prefix"))
     return pl.place_in_order(r, _ranks(spark, sf), FACTOR)

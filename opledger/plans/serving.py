@@ -10,7 +10,8 @@ from opledger.operators import serving as sv
 from opledger.operators import textsim as ts
 from opledger.plans.book import Book
 from opledger.plans.inputs import EVENTS, REQUESTS, WORKERS, bench_results, events, requests, table, workers
-from opledger.plans.placement import RUNES
+from opledger.plans.placement import RUNES, SCORES
+from opledger.plans.textsim import WHITE
 
 BOOK = Book()
 query, QUERIES, ORACLE = BOOK.query, BOOK.queries, BOOK.oracle
@@ -122,12 +123,24 @@ def _pipeline(spark, sf):
     return sv.outcomes(r, admitted, hits, placed)
 
 
-@query()
+#: Admission of one request an hour a tenant, four at once; then exact hits; then the bounded placement of the prefix.
+_PIPELINE = f"""{WORKERS}, {REQUESTS}, {SCORES}, bnd AS (SELECT ceil(1.25 * (sum(inflight) + 1) / count(*)) AS bound FROM workers),
+placed AS (SELECT prefix, arg_min(id, CASE WHEN inflight < bound THEN rank ELSE rank + 1000 END) AS worker FROM ranks CROSS JOIN bnd GROUP BY prefix),
+r AS MATERIALIZED (SELECT request_id, tenant, ts_ms, row_number() OVER (PARTITION BY tenant ORDER BY ts_ms, request_id) AS rn FROM requests),
+f AS (SELECT tenant, CAST(1 AS BIGINT) AS rn, request_id, CAST(3 AS DOUBLE) AS tokens, ts_ms AS last_ms, true AS admitted FROM r WHERE rn = 1
+  UNION ALL SELECT tenant, rn, request_id, CASE WHEN now >= 1 THEN now - 1 ELSE tokens END, CASE WHEN now >= 1 THEN greatest(ts_ms, last_ms) ELSE last_ms END, now >= 1
+  FROM (SELECT r.*, f.tokens, f.last_ms, CASE WHEN r.ts_ms > f.last_ms THEN least(4.0, f.tokens + (r.ts_ms - f.last_ms) * {1 / 3600!r} / 1000.0) ELSE f.tokens END AS now FROM f JOIN r ON r.tenant = f.tenant AND r.rn = f.rn + 1) x),
+hits AS (SELECT q.request_id, row_number() OVER (PARTITION BY q.tenant, q.max_tokens, lower(trim(regexp_replace(q.prompt, '{WHITE}', ' ', 'g'))) ORDER BY q.ts_ms, q.request_id) > 1 AS hit FROM requests q JOIN f ON f.request_id = q.request_id WHERE f.admitted),
+ends AS (SELECT q.request_id, q.tenant, p.worker, CASE WHEN q.prompt = '' THEN 'invalid' WHEN NOT f.admitted THEN 'rate_limited' WHEN coalesce(h.hit, false) AND NOT q.no_cache THEN 'cached' WHEN p.worker IS NULL THEN 'no_worker' ELSE 'routed' END AS outcome
+  FROM requests q JOIN f ON f.request_id = q.request_id LEFT JOIN hits h ON h.request_id = q.request_id LEFT JOIN placed p ON p.prefix = substr(q.prompt, 1, {RUNES}))"""
+
+
+@query(f"WITH RECURSIVE {_PIPELINE} SELECT request_id, tenant, outcome, CASE WHEN outcome = 'routed' THEN worker END AS worker FROM ends")
 def gw_pipeline_outcomes(spark, sf):
     return _pipeline(spark, sf).select("request_id", "tenant", "outcome", F.when(F.col("outcome") == "routed", F.col("worker")).alias("worker"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PIPELINE} SELECT outcome, count(*) AS n FROM ends GROUP BY outcome")
 def gw_pipeline_counters(spark, sf):
     return _pipeline(spark, sf).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -163,7 +176,14 @@ def prefill_cost(spark, sf):
     return sv.cached_blocks(_turns(spark, sf)).select("request_id", sv.prefill_ms(F.length("prompt"), F.col("cached_blocks")).alias("prefill_ms"))
 
 
-@query()
+#: The cache as a list, oldest first: what leads and is held counts; what is used or new goes to the end, and the front goes beyond capacity.
+@query(f"""WITH RECURSIVE {_TURNS}, b AS MATERIALIZED (SELECT request_id, worker, length(prompt) // 64 AS blocks,
+    list_transform(range(0, length(prompt) // 64), lambda i: sha256(substr(prompt, 1, CAST((i + 1) * 64 AS INT)))) AS hashes, row_number() OVER (PARTITION BY worker ORDER BY request_id) AS rn FROM turns),
+f AS (SELECT DISTINCT worker, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS cached_blocks, CAST(0 AS BIGINT) AS blocks, CAST([] AS VARCHAR[]) AS cache FROM b
+  UNION ALL SELECT b.worker, b.rn, b.request_id, coalesce(list_min(list_filter(range(0, b.blocks), lambda i: NOT list_contains(f.cache, b.hashes[i + 1]))), b.blocks), b.blocks,
+    list_reverse(list_reverse(list_concat(list_filter(f.cache, lambda h: NOT list_contains(b.hashes, h)), b.hashes))[1:128])
+  FROM f JOIN b ON b.worker = f.worker AND b.rn = f.rn + 1)
+SELECT request_id, worker, cached_blocks, blocks FROM f WHERE rn > 0""")
 def prefix_lru_replay(spark, sf):
     return sv.lru_replay(_turns(spark, sf), capacity=128)
 

@@ -12,8 +12,8 @@ from opledger.plans.placement import fnv64_sql
 BOOK = Book()
 query, QUERIES, ORACLE = BOOK.query, BOOK.queries, BOOK.oracle
 
-_WHITE = r"[\p{Z}\s\x0b\x{85}]+"
-_NORM = "lower(trim(regexp_replace({0}, '" + _WHITE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
+WHITE = r"[\p{Z}\s\x0b\x{85}]+"
+_NORM = "lower(trim(regexp_replace({0}, '" + WHITE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
 TTL = 6 * 3_600_000
 
 
@@ -34,7 +34,7 @@ def cache_exact_duplicates(spark, sf):
     return d.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-@query(f"WITH {REQUESTS} SELECT request_id, sha256(lower('tenant:' || sha256(tenant) || ' ' || max_tokens || ' ' || trim(regexp_replace(prompt, '{_WHITE}', ' ', 'g')))) AS key FROM requests")
+@query(f"WITH {REQUESTS} SELECT request_id, sha256(lower('tenant:' || sha256(tenant) || ' ' || max_tokens || ' ' || trim(regexp_replace(prompt, '{WHITE}', ' ', 'g')))) AS key FROM requests")
 def cache_gateway_key(spark, sf):
     return requests(spark, sf).select("request_id", ts.gateway_key(F.col("tenant"), F.col("max_tokens"), F.col("prompt")).alias("key"))
 
@@ -86,7 +86,13 @@ def near_duplicate_pairs(spark, sf):
     return ts.near_pairs(turns, "id", "text")
 
 
-@query()
+_GATEWAY_KEY = f"sha256(lower('tenant:' || sha256(tenant) || ' ' || max_tokens || ' ' || trim(regexp_replace(prompt, '{WHITE}', ' ', 'g'))))"
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, g AS MATERIALIZED (SELECT request_id, ts_ms, {_GATEWAY_KEY} AS key FROM requests), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms, request_id) AS rn FROM g),
+f AS (SELECT key, rn, request_id, ts_ms AS stored_ms, false AS hit FROM r WHERE rn = 1
+  UNION ALL SELECT r.key, r.rn, r.request_id, CASE WHEN f.stored_ms + {10 * TTL} < r.ts_ms THEN r.ts_ms ELSE f.stored_ms END, NOT f.stored_ms + {10 * TTL} < r.ts_ms FROM f JOIN r ON r.key = f.key AND r.rn = f.rn + 1)
+SELECT request_id, key, hit FROM f""")
 def cache_lookup_replay(spark, sf):
     r = requests(spark, sf).select("request_id", "ts_ms", ts.gateway_key(F.col("tenant"), F.col("max_tokens"), F.col("prompt")).alias("key"))
     return ts.replay(r, ttl_ms=10 * TTL)

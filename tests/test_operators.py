@@ -273,3 +273,118 @@ def test_snapshot_version(spark):
     assert wal.restored(wal.with_snapshot_version(state)).count() == 1
     with pytest.raises(Exception, match="version"):
         wal.restored(wal.with_snapshot_version(state, 2)).collect()
+
+
+def _simulated(commands, max_queue, max_attempts=3):
+    """Job commands by the plain rules, over lists searched from the front."""
+    rows, records, keys, held = [], [], {}, {}
+    done = 0
+    for idx, op, now, key, worker in commands:
+        job, verdict = None, ""
+        head = next((r["id"] for r in records if r["state"] in ("PENDING", "RUNNING")), len(records) + 1)
+        if op == "submit":
+            finished = max(done, head - 1)
+            if key in keys:
+                job, verdict = keys[key], "duplicate"
+            elif len(records) - finished >= max_queue or len(records) >= head and len(records) - head + 1 >= 16 * max_queue:
+                verdict = "QueueFull"
+            else:
+                job = keys[key] = len(records) + 1
+                records.append({"id": job, "state": "PENDING", "gen": 0, "attempts": 0, "worker": "", "lease": 0})
+                verdict = "ok"
+        elif op == "claim":
+            verdict = "empty"
+            for r in records:
+                late = r["state"] == "RUNNING" and r["lease"] < now
+                if late and r["attempts"] >= max_attempts:
+                    r.update(state="FAILED", gen=r["gen"] + 1)
+                    done += 1
+                elif late or r["state"] == "PENDING":
+                    r.update(state="RUNNING", gen=r["gen"] + 1, attempts=r["attempts"] + 1, worker=worker, lease=now + 100)
+                    held[worker], job, verdict = (r["id"], r["gen"]), r["id"], "ok"
+                    break
+        elif op == "reap":
+            late = [r for r in records if r["state"] == "RUNNING" and r["lease"] < now]
+            for r in late:
+                r.update(state="FAILED" if r["attempts"] >= max_attempts else "PENDING", gen=r["gen"] + 1, worker="")
+            verdict = f"reclaimed {len(late)}"
+        elif worker not in held:
+            verdict = "idle"
+        else:
+            job, gen = held[worker]
+            r = records[job - 1]
+            mine = r["state"] == "RUNNING" and r["gen"] == gen
+            if r["state"] == "FAILED" or r["state"] == "DONE" and (op == "heartbeat" or op == "fail" and r["gen"] == gen):
+                verdict = "Terminal"
+            elif r["state"] == "DONE":
+                verdict = "ok" if r["gen"] == gen else "Fenced"
+            elif not mine:
+                verdict = "Fenced"
+            else:
+                verdict = "ok"
+                if op == "heartbeat":
+                    r["lease"] = now + 100
+                elif op == "complete":
+                    r["state"] = "DONE"
+                    done += 1
+                else:
+                    failed = r["attempts"] >= max_attempts
+                    r.update(gen=r["gen"] + 1, worker="", state="FAILED" if failed else "PENDING")
+                    done += failed
+        r = records[job - 1] if job else {}
+        rows.append((idx, op, job, r.get("state"), r.get("gen"), r.get("attempts"), r.get("worker"), verdict))
+    return rows, sorted((r["id"], r["state"], r["gen"], r["attempts"]) for r in records)
+
+
+def test_job_commands_equal_a_plain_simulation(spark):
+    rng, all_rows, want, finals = random.Random(11), [], [], []
+    for q in range(6):
+        now, mine = 0, []
+        for k in range(300):
+            now += rng.randrange(30)
+            mine.append((1000 * q + k, rng.choice(["submit", "submit", "claim", "claim", "heartbeat", "complete", "fail", "reap"]), now, f"o{rng.randrange(80)}", f"w{rng.randrange(5)}"))
+        rows, final = _simulated(mine, 8)
+        want += [(r[0], f"q{q}", *r[1:]) for r in rows]
+        finals += [(f"q{q}", *f) for f in final]
+        all_rows += [(idx, f"q{q}", op, now_ms, key, worker, 100) for idx, op, now_ms, key, worker in mine]
+    commands = spark.createDataFrame(all_rows, "idx long, prefix string, op string, now_ms long, idem_key string, worker string, lease_ms long")
+    got = [tuple(r[c] for c in ("idx", "prefix", "op", "id", "state", "gen", "attempts", "worker", "verdict")) for r in jobs.lifecycle(commands, max_queue=8).collect()]
+    for g, w in zip(sorted(got), sorted(want), strict=True):
+        assert g == w
+    assert sorted(map(tuple, jobs.final_states(commands, max_queue=8).collect())) == sorted(finals)
+
+
+def test_linearizability_equals_all_orders(spark):
+    """Small histories against every order that respects the intervals."""
+    from itertools import permutations
+
+    rng, rows, want = random.Random(5), [], {}
+    for key in range(60):
+        ops, value, t = [], None, 0
+        for _ in range(5):
+            kind = rng.choice(["get", "put", "cas"])
+            begin = t + rng.randrange(3)
+            end = begin + rng.randrange(1, 8)
+            t = begin
+            seen = rng.choice([value, value, rng.choice([None, "a", "b"])])
+            new, expected, failed = rng.choice("ab"), rng.choice([None, "a", "b"]), rng.random() < 0.15
+            fits = seen == expected
+            ops.append({"op": kind, "value": new, "expected": expected, "found": seen is not None, "swapped": fits, "failed": failed, "out_value": seen, "current": seen, "call_ns": begin, "return_ns": end})
+            if kind == "put" or kind == "cas" and fits:
+                value = new
+
+        def legal(order):
+            states = {None}
+            for k, o in enumerate(order):
+                if any(later["return_ns"] < o["call_ns"] for later in order[k + 1 :]):
+                    return False
+                states = {s for v in states for s in audit.model_step(v, o) or ()}
+                if not states:
+                    return False
+            return True
+
+        want[f"k{key}"] = "ok" if any(legal(p) for p in permutations(ops)) else "violation"
+        rows += [(f"k{key}", *(o[c] for c in ("op", "value", "expected", "found", "swapped", "failed", "out_value", "current", "call_ns", "return_ns"))) for o in ops]
+    history = spark.createDataFrame(rows, "key string, op string, value string, expected string, found boolean, swapped boolean, failed boolean, out_value string, current string, call_ns long, return_ns long")
+    got = {r.key: r.verdict for r in audit.linearizability(history).collect()}
+    assert got == want and set(want.values()) == {"ok", "violation"}
