@@ -113,3 +113,55 @@ def raft_roles(spark, sf):
     k = F.col("k")
     m = events(spark, sf).select(F.col("user_id").alias("node"), F.col("event_id").alias("idx"), F.expr("n div 8").alias("term"), F.when(k % 3 == 0, "campaign").when(k % 3 == 1, "elected").otherwise("append").alias("kind"))
     return consensus.roles(m).select("node", "idx", "current_term", "role")
+
+
+_VOTES = "votes AS (SELECT user_id % 30 AS term, user_id AS candidate, event_id AS voter, k % 3 <> 0 AS granted FROM ev WHERE n <= 5)"
+
+
+@query(f"WITH {EVENTS}, {_VOTES} SELECT term, candidate, 1 + count(*) FILTER (WHERE granted) AS votes, 2 * (1 + count(*) FILTER (WHERE granted)) > 7 AS elected FROM votes GROUP BY term, candidate")
+def raft_elections(spark, sf):
+    e = events(spark, sf).filter("n <= 5")  # a candidate asks five others
+    return consensus.elections(e.select((F.col("user_id") % 30).alias("term"), F.col("user_id").alias("candidate"), (F.col("k") % 3 != 0).alias("granted")), 7)
+
+
+@query(f"""WITH {EVENTS}, log AS (SELECT user_id AS pair, n AS index, n // 7 AS term FROM ev), c AS (SELECT user_id AS pair, max(n) // 9 AS conflict_term, max(n) // 3 AS conflict_index FROM ev GROUP BY user_id),
+l AS (SELECT pair, term, max(index) AS last FROM log GROUP BY pair, term) SELECT c.pair, coalesce(l.last + 1, c.conflict_index) AS next_index FROM c LEFT JOIN l ON l.pair = c.pair AND l.term = c.conflict_term""")
+def raft_next_index(spark, sf):
+    e = events(spark, sf)
+    log = e.select(F.col("user_id").alias("pair"), F.col("n").alias("index"), F.expr("n div 7").alias("term"))
+    conflicts = e.groupBy(F.col("user_id").alias("pair")).agg(F.expr("max(n) div 9").alias("conflict_term"), F.expr("max(n) div 3").alias("conflict_index"))
+    return consensus.next_index(log, conflicts)
+
+
+@query(f"WITH {EVENTS} SELECT user_id AS leader, event_id AS arrival, n AS index FROM ev")
+def raft_proposed(spark, sf):
+    return consensus.proposed(events(spark, sf).select(F.col("user_id").alias("leader"), F.col("event_id").alias("arrival")))
+
+
+@query(f"""WITH {EVENTS}, w AS (SELECT event_id AS index, k AS term FROM ev), a AS (SELECT event_id AS index, CASE WHEN k % 7 = 0 THEN k + 1 ELSE k END AS term FROM ev WHERE k % 5 <> 0)
+SELECT w.index, w.term, CASE WHEN a.term IS NULL THEN 'pending' WHEN a.term = w.term THEN 'ok' ELSE 'ErrLeaderChanged' END AS answer FROM w LEFT JOIN a ON a.index = w.index""")
+def raft_waiters(spark, sf):
+    k = F.col("k")
+    e = events(spark, sf)
+    applied = e.filter(k % 5 != 0).select(F.col("event_id").alias("index"), F.when(k % 7 == 0, k + 1).otherwise(k).alias("term"))  # the rest is not applied yet
+    return consensus.waiters(e.select(F.col("event_id").alias("index"), k.alias("term")), applied)
+
+
+@query(f"""WITH {EVENTS} SELECT event_id AS node, CASE WHEN k % 11 = 0 THEN 'NOT_SERVING' WHEN k % 3 = 0 THEN CASE WHEN k % 4 <> 0 THEN 'SERVING' ELSE 'NOT_SERVING' END WHEN k % 5 <> 0 THEN 'SERVING' ELSE 'NOT_SERVING' END AS status FROM ev""")
+def raft_health(spark, sf):
+    k = F.col("k")
+    n = events(spark, sf).select(F.col("event_id").alias("node"), (k % 11 == 0).alias("killed"), (k % 3 == 0).alias("is_leader"), (k % 4 != 0).alias("probe_ok"), (k % 5 != 0).alias("leader_known"))
+    return consensus.health(n).select("node", "status")
+
+
+@query(f"""WITH {EVENTS}, log AS (SELECT user_id AS pair, n AS index, n // 7 AS term FROM ev), ends AS (SELECT pair, max(index) AS last FROM log GROUP BY pair),
+q AS (SELECT event_id, user_id AS pair, n + k % 3 AS prev_index, n // 7 AS prev_term, k AS entries, n + 2 AS leader_commit FROM ev),
+m AS (SELECT q.*, l.term AS found, e.last FROM q LEFT JOIN log l ON l.pair = q.pair AND l.index = q.prev_index LEFT JOIN ends e ON e.pair = q.pair),
+v AS (SELECT *, prev_index = 0 OR coalesce(found = prev_term, false) AS ok FROM m)
+SELECT pair, ok AS success, CASE WHEN NOT ok THEN found END AS hint_term, CASE WHEN NOT ok THEN coalesce((SELECT min(index) FROM log l WHERE l.pair = v.pair AND l.term = v.found), last + 1) END AS hint_index,
+  CASE WHEN ok THEN least(leader_commit, prev_index + entries) ELSE 0 END AS commit FROM v""")
+def raft_append_answers(spark, sf):
+    e, k = events(spark, sf), F.col("k")
+    log = e.select(F.col("user_id").alias("pair"), F.col("n").alias("index"), F.expr("n div 7").alias("term"))
+    asked = e.select(F.col("user_id").alias("pair"), (F.col("n") + k % 3).alias("prev_index"), F.expr("n div 7").alias("prev_term"), k.alias("entries"), (F.col("n") + 2).alias("leader_commit"))
+    return consensus.append_answers(log, asked)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opledger.functions.hashing import FNV64_OFFSET, FNV64_PRIME, GOLDEN, MIX_A, MIX_B, fnv64_hex
 from opledger.operators import placement as pl
 from opledger.plans.book import Book
-from opledger.plans.inputs import LEASE_BASE_MS, REQUESTS, WORKERS, requests, table, workers
+from opledger.plans.inputs import EVENTS, LEASE_BASE_MS, REQUESTS, WORKERS, events, requests, table, workers
 
 BOOK = Book()
 query, QUERIES, ORACLE = BOOK.query, BOOK.queries, BOOK.oracle
@@ -107,3 +107,11 @@ def route_local_load(spark, sf):
     r, w = requests(spark, sf), workers(spark, sf)
     rep = r.join(F.broadcast(w), F.concat(F.lit("w"), (F.col("request_id") % 8).cast("string")) == w.id).withColumn("local", F.col("k") % 6)  # eight workers
     return pl.local_load(rep).select("request_id", "id", "estimate")
+
+
+@query(f"""WITH {EVENTS}, g AS (SELECT 'w' || (user_id % 50) AS id, event_id AS idx, k % 5 AS inflight, CASE WHEN k % 6 = 0 THEN NULL ELSE ts_ms + 1000 * k END AS lease_until_ms FROM ev)
+SELECT id, inflight, lease_until_ms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY idx DESC) AS rn FROM g) t WHERE rn = 1 AND lease_until_ms IS NOT NULL""")
+def route_registry(spark, sf):
+    k = F.col("k")
+    g = events(spark, sf).select(F.concat(F.lit("w"), (F.col("user_id") % 50).cast("string")).alias("id"), F.col("event_id").alias("idx"), (k % 5).alias("inflight"), F.when(k % 6 != 0, F.col("ts_ms") + 1000 * k).alias("lease_until_ms"))
+    return pl.registry(g)

@@ -202,3 +202,11 @@ def prefix_longest_boundary(spark, sf):
 SELECT worker, count(*) AS claimed, count(*) FILTER (WHERE NOT bad) AS completed, count(*) FILTER (WHERE bad) AS cancelled, count(*) FILTER (WHERE hit) AS prefix_hits, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) / count(*) AS hit_rate FROM b GROUP BY worker""")
 def worker_counters(spark, sf):
     return sv.worker_counters(bench_results(spark, sf))
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT event_id AS request_id, k % 2 = 0 AS admitted, CASE k % 7 WHEN 1 THEN 'contended' WHEN 2 THEN 'canceled' WHEN 3 THEN 'timeout' END AS error FROM ev)
+SELECT request_id, CASE WHEN error IS NULL THEN admitted WHEN error IN ('contended', 'canceled') THEN false ELSE true END AS admitted FROM c""")
+def gw_fail_open(spark, sf):
+    k = F.col("k") % 7
+    error = F.when(k == 1, "contended").when(k == 2, "canceled").when(k == 3, "timeout")
+    return events(spark, sf).select(F.col("event_id").alias("request_id"), sv.fail_open(error, F.col("k") % 2 == 0).alias("admitted"))

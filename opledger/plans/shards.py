@@ -104,3 +104,11 @@ FROM (SELECT *, max(request_id) OVER (PARTITION BY shard, client_id ORDER BY idx
 SELECT shard, class2 AS class, count(*) AS n FROM per GROUP BY shard, class2""")
 def shard_dedup_classes(spark, sf):
     return kv.classify(_ops(spark, sf), by=("shard", "client_id")).groupBy("shard", "class").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HIST} SELECT 0 AS wanted, num, shard, gid FROM hist WHERE num = 6 UNION ALL SELECT 3, num, shard, gid FROM hist WHERE num = 3 UNION ALL SELECT 99, num, shard, gid FROM hist WHERE num = 6")
+def shard_config_of(spark, sf):
+    """The newest configuration by a negative and a too large number, and one by its own."""
+    h = config_history(spark)
+    pick = lambda n, label: shards.config_of(h, n).select(F.lit(label).alias("wanted"), "num", "shard", "gid")
+    return pick(-1, 0).unionByName(pick(3, 3)).unionByName(pick(99, 99))

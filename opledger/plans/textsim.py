@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opledger.operators import textsim as ts
 from opledger.plans.book import Book
-from opledger.plans.inputs import REQUESTS, requests, table
+from opledger.plans.inputs import EVENTS, REQUESTS, events, requests, table
 from opledger.plans.placement import fnv64_sql
 
 BOOK = Book()
@@ -117,3 +117,18 @@ def cache_stats(spark, sf):
     stores = r.filter("k % 5 = 0").select("key", "ts_ms", F.col("request_id").cast("string").alias("text"))
     o = ts.lookups(r.filter("k % 5 <> 0"), stores, ttl_ms=TTL)
     return ts.stats(o.withColumn("outcome", F.when(F.col("outcome") == "hit", "exact").when(F.col("k") % 7 == 0, "near").when(F.col("k") % 7 == 1, "near_rejected").otherwise("miss")))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, a.v, b.v AS w FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_cosine_similarity(v, w), 6) AS similarity, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM p""")
+def vec_cosine_pairs(spark, sf):
+    """Each vector with its successor: their cosine, and the first component at length 1."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("w"))
+    return e.join(after, "vec_id").select("vec_id", F.round(ts.cosine(F.col("embedding"), F.col("w")), 6).alias("similarity"), F.round(ts.unit(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query(f"WITH {EVENTS}, f AS (SELECT user_id AS key, min(event_id) AS first FROM ev GROUP BY user_id) SELECT key, first FROM f ORDER BY first DESC LIMIT 50")
+def cache_fifo_index(spark, sf):
+    """The fifty newest keys of an index that holds no more."""
+    return ts.fifo_index(events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("idx")), 50)

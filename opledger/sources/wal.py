@@ -90,43 +90,54 @@ def valid_end(wal: DataFrame) -> DataFrame:
 
 
 def write_wal(payloads: DataFrame, path: str) -> None:
-    """Write ``payload``s ordered by ``idx`` as one log file a partition, through Spark's committing text-free writer.
+    """Write ``payload``s in the order of ``idx`` as one log file a partition.
 
-    Each task encodes its rows and the files appear together when the job commits.
+    ``path`` is a folder that driver and executors share, as a path or a URI of a
+    file system that Arrow knows.  Spark sorts each partition, a task writes its rows
+    as they come, and the files get their names when the job commits; what an
+    attempt that failed has written is never named.
     """
     ship(payloads.sparkSession)
-    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-    class Writer(DataSourceWriter):
+    class Writer(DataSourceArrowWriter):
         def __init__(self, options):
             self.path = options["path"]
 
-        def write(self, rows):
-            import os
+        def write(self, batches):
             import uuid
 
-            os.makedirs(self.path, exist_ok=True)
-            name = f"{self.path}/.{uuid.uuid4().hex}.tmp"
-            with open(name, "wb") as out:
-                out.write(encoded([bytes(r["payload"]) for r in sorted(rows, key=lambda r: r["idx"])]))
+            from pyarrow.fs import FileSystem
+
+            fs, root = FileSystem.from_uri(self.path)
+            fs.create_dir(root, recursive=True)
             message = WriterCommitMessage()
-            message.name = name
+            message.name, message.first = f"{root}/.{uuid.uuid4().hex}.tmp", None
+            with fs.open_output_stream(message.name) as out:
+                for batch in batches:
+                    if batch.num_rows:
+                        message.first = batch.column(0)[0].as_py() if message.first is None else message.first
+                        out.write(encoded(batch.column(1).to_pylist()))
             return message
 
         def commit(self, messages):
-            import os
+            from pyarrow.fs import FileSystem
 
-            for k, m in enumerate(m for m in messages if m is not None):
-                os.replace(m.name, f"{self.path}/wal-{k:05d}.log")
+            fs, root = FileSystem.from_uri(self.path)
+            written = sorted((m for m in messages if m is not None), key=lambda m: (m.first is None, m.first))
+            for k, m in enumerate(written):
+                fs.move(m.name, f"{root}/wal-{k:05d}.log")
 
         def abort(self, messages):
             import contextlib
-            import os
 
+            from pyarrow.fs import FileSystem
+
+            fs, _ = FileSystem.from_uri(self.path)
             for m in messages:
                 if m is not None:
                     with contextlib.suppress(OSError):
-                        os.remove(m.name)
+                        fs.delete_file(m.name)
 
     class Wal(DataSource):
         @classmethod
@@ -140,17 +151,42 @@ def write_wal(payloads: DataFrame, path: str) -> None:
             return Writer(self.options)
 
     payloads.sparkSession.dataSource.register(Wal)
-    payloads.select("idx", "payload").write.format("opledger_wal").mode("append").option("path", path).save()
+    payloads.select(F.col("idx").cast("long").alias("idx"), "payload").sortWithinPartitions("idx").write.format("opledger_wal").mode("append").option("path", path).save()
+
+
+#: Fixed value: how a persister's file begins.
+MAGIC = b"RAF1"
 
 
-def persisted(data: bytes) -> tuple[bytes, bytes] | None:
-    """State and snapshot of a persister file (magic, both lengths, both parts, checksum), or None if it is not whole."""
-    if len(data) < 16:
+def persister_file(state: bytes, snapshot: bytes | None) -> bytes:
+    """A persister's file: magic, both lengths, state, snapshot, checksum of all before."""
+    body = MAGIC + struct.pack("<II", len(state), len(snapshot or b"")) + state + (snapshot or b"")
+    return body + struct.pack("<I", crc32c(body))
+
+
+def persisted(data: bytes) -> tuple[bytes, bytes | None] | None:
+    """State and snapshot (null if empty) of a persister's file, or None if it is not whole."""
+    if len(data) < 16 or data[:4] != MAGIC:
         return None
     n, m = struct.unpack_from("<II", data, 4)
     if len(data) != 16 + n + m or crc32c(data[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
         return None
-    return data[12 : 12 + n], data[12 + n : 12 + n + m]
+    return data[12 : 12 + n], data[12 + n : 12 + n + m] or None
+
+
+def read_persisted(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, state, snapshot, corrupt)`` of the persister files at ``path``."""
+    ship(spark)
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [persisted(x) for x in batch.column(1).to_pylist()]
+            parts = [(g or (None, None)) for g in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary()), pa.array([g is None for g in got])], names=["file", "state", "snapshot", "corrupt"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "file string, state binary, snapshot binary, corrupt boolean")
 
 
 def with_snapshot_version(state: DataFrame, version: int = 1) -> DataFrame:

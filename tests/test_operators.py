@@ -388,3 +388,13 @@ def test_linearizability_equals_all_orders(spark):
     history = spark.createDataFrame(rows, "key string, op string, value string, expected string, found boolean, swapped boolean, failed boolean, out_value string, current string, call_ns long, return_ns long")
     got = {r.key: r.verdict for r in audit.linearizability(history).collect()}
     assert got == want and set(want.values()) == {"ok", "violation"}
+
+
+def test_persister_files_round_trip(spark, tmp_path):
+    whole = wal.persister_file(b"state", b"snap")
+    assert wal.persisted(whole) == (b"state", b"snap") and wal.persisted(wal.persister_file(b"s", None)) == (b"s", None)
+    assert wal.persisted(whole[:-1]) is None and wal.persisted(b"XXXX" + whole[4:]) is None and wal.persisted(whole[:13] + b"!" + whole[14:]) is None
+    (tmp_path / "a").write_bytes(whole)
+    (tmp_path / "b").write_bytes(whole[:-2])
+    got = {r.file.rsplit("/", 1)[1]: (r.state, r.snapshot, r.corrupt) for r in wal.read_persisted(spark, str(tmp_path)).collect()}
+    assert {k: (bytes(v[0]), bytes(v[1])) if v[0] is not None else v[2] for k, v in got.items()} == {"a": (b"state", b"snap"), "b": True}
