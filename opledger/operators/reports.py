@@ -9,19 +9,34 @@ from pyspark.sql import functions as F
 TTFT_BOUNDS = (5, 10, 25, 50, 100, 150, 250, 400, 600, 1000, 1500, 2500, 5000, 10000)
 
 
+#: Stretches of a group's values that are counted before any is sorted.
+BINS = 1024
+
+
 def percentiles(rows: DataFrame, value: str, percents: tuple[int, ...], *, by: tuple[str, ...] = ()) -> DataFrame:
     """``p<q>`` columns: the element at ``min(n * q div 100, n - 1)`` of the sorted values, without collecting a group.
 
-    Equal values are counted first; the element is the least value whose running
-    count passes the index.  An empty input gives zeros.
+    Equal values are counted first, then the counts of ``BINS`` equal stretches between
+    a group's least and greatest value; only the stretches that a wanted index falls
+    into are sorted.  The element is the least value whose running count passes the
+    index.  An empty input gives zeros.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("v")))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    joined = upto.join(total, list(by)) if by else upto.join(F.broadcast(total), F.lit(True))  # one row
+    span = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    told = counts.join(span, list(by)) if by else counts.join(F.broadcast(span), F.lit(True))  # one row
+    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))).otherwise(0)
+    binned = told.select(*by, "v", "n", "total", bin_.cast("int").alias("bin"))
     at = lambda q: F.least(F.expr(f"total * {q} div 100"), F.col("total") - 1)
+    per_bin = binned.groupBy(*by, "bin").agg(F.sum("n").alias("inside"), F.first("total").alias("total"))
+    upto = F.sum("inside").over(Window.partitionBy(*by).orderBy("bin"))
+    wanted = per_bin.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("inside"))
+    asked = F.lit(False)
+    for q in percents:
+        asked |= (F.col("before") <= at(q)) & (at(q) < F.col("upto"))
+    wanted = wanted.filter(asked).select(*by, "bin", "before")
+    near = binned.join(wanted, [*by, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("v")))
     picks = [F.coalesce(F.min(F.when(F.col("upto") > at(q), F.col("v"))), F.lit(0)).alias(f"p{q}") for q in percents]
-    return joined.groupBy(*by).agg(*picks) if by else joined.agg(*picks)
+    return near.groupBy(*by).agg(*picks) if by else near.agg(*picks)
 
 
 def summary(results: DataFrame, elapsed_s: float, *, by: tuple[str, ...] = ()) -> DataFrame:

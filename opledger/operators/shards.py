@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opledger.functions.hashing import SHARDS
-from opledger.operators.asof import asof_join
+from opledger.operators.asof import asof_join, free_name
 from opledger.operators.folds import fold
 
 
@@ -40,6 +40,10 @@ def rebalanced(shards: list[int], gids: list[int]) -> list[int]:
     return [next(g for g in gids if s in owned[g]) for s in range(len(shards))]
 
 
+#: Rows of a configuration history that are broadcast at most.
+BROADCAST_HISTORY = 10_000
+
+
 class _Config:
     def __init__(self):
         self.num, self.shards, self.groups = 0, [0] * SHARDS, set()
@@ -85,7 +89,17 @@ def config_of(history_rows: DataFrame, num: int) -> DataFrame:
 
 
 def owner_at(ops: DataFrame, history_rows: DataFrame) -> DataFrame:
-    """Operations with the configuration number and owner of their shard at their place."""
+    """Operations with the configuration number and owner of their shard at their place.
+
+    A history of up to ``BROADCAST_HISTORY`` rows goes to the operations as spans of
+    places; a longer one is joined as of the place.
+    """
+    if history_rows.limit(BROADCAST_HISTORY + 1).count() <= BROADCAST_HISTORY:
+        until = F.lead("idx").over(Window.partitionBy("shard").orderBy("idx", "num"))
+        begin, end, of = (free_name(x, ops) for x in ("begins", "ends", "of"))
+        spans = history_rows.select(F.col("shard").alias(of), F.col("idx").alias(begin), until.alias(end), "num", "gid")
+        inside = (F.col("shard") == F.col(of)) & (F.col("idx") >= F.col(begin)) & (F.col(end).isNull() | (F.col("idx") < F.col(end)))
+        return ops.join(F.broadcast(spans), inside, "left").drop(of, begin, end)
     return asof_join(ops, history_rows.select("idx", "shard", "num", "gid"), by=["shard"], at="idx", values=["num", "gid"])
 
 

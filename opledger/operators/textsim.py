@@ -193,6 +193,30 @@ def near_pairs(texts: DataFrame, id_col: str, text_col: str, k: int = EDITS) ->
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def embedded(texts: DataFrame, id_col: str, text_col: str, *, dim: int = DIM) -> DataFrame:
+    """``(id, vector)``: the n-gram vector of each text as an array of ``dim`` doubles; texts without features have none."""
+    sparse = embed_sparse(texts, id_col, text_col, dim=dim).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    return sparse.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))
+
+
+def near_lookups(queries: DataFrame, entries: DataFrame, *, threshold: float = THRESHOLD, edits: int = EDITS) -> DataFrame:
+    """Lookups of ``queries (id, text)`` in a full cache of ``entries (id, text)``: ``(id, entry_id, outcome)``.
+
+    ``exact`` if an entry has the same normal form, the least id of several.  Else the
+    one entry nearest by n-gram vector is asked: below ``threshold`` it is a ``miss``;
+    within ``edits`` it is ``near``, otherwise ``near_rejected``, which gives no entry
+    and is not tried again with the next nearest.
+    """
+    forms = entries.groupBy(normalise(F.col("text")).alias("norm")).agg(F.min("id").alias("entry_id"))
+    asked = queries.select("id", normalise(F.col("text")).alias("norm")).join(forms, "norm", "left")
+    open_ = asked.filter("entry_id is null").select("id", "norm")
+    best = nearest(embedded(open_, "id", "norm"), embedded(forms.select(F.col("entry_id").alias("id"), "norm"), "id", "norm"), id_col="id", vec_col="vector", skip_self=False)
+    found = best.filter(F.col("similarity") >= threshold).select(F.col("query_id").alias("id"), F.col("neighbour_id").alias("entry_id"))
+    told = found.join(open_, "id").join(forms.select("entry_id", F.col("norm").alias("theirs")), "entry_id").select("id", "entry_id", within_edits(F.col("norm"), F.col("theirs"), edits).alias("same"))
+    near = open_.select("id").join(told, "id", "left").select("id", F.when(F.col("same"), F.col("entry_id")).alias("entry_id"), F.when(F.col("same"), "near").when(F.col("entry_id").isNotNull(), "near_rejected").otherwise("miss").alias("outcome"))
+    return asked.filter("entry_id is not null").select("id", "entry_id", F.lit("exact").alias("outcome")).unionByName(near)
+
+
 def lookups(requests: DataFrame, stores: DataFrame, *, ttl_ms: int = 0) -> DataFrame:
     """Exact lookups against the newest earlier store of their key: ``outcome`` hit, expired or miss.
 

@@ -14,6 +14,7 @@ query, QUERIES, ORACLE = BOOK.query, BOOK.queries, BOOK.oracle
 
 WHITE = r"[\p{Z}\s\x0b\x{85}]+"
 _NORM = "lower(trim(regexp_replace({0}, '" + WHITE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
+WHITE_FORM = _NORM.format("text")
 TTL = 6 * 3_600_000
 
 
@@ -132,3 +133,31 @@ def vec_cosine_pairs(spark, sf):
 def cache_fifo_index(spark, sf):
     """The fifty newest keys of an index that holds no more."""
     return ts.fifo_index(events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("idx")), 50)
+
+
+#: Each benchmark text asked for in four ways: in other spacing, with two characters missing, with words behind it, and backwards.
+_ASKED = """asked AS (SELECT 4 * item_id AS id, '  ' || replace(text, ' ', '  ') AS text FROM benchmark UNION ALL SELECT 4 * item_id + 1, substr(text, 3) FROM benchmark
+  UNION ALL SELECT 4 * item_id + 2, text || ' and once more' FROM benchmark UNION ALL SELECT 4 * item_id + 3, reverse(text) FROM benchmark)"""
+_FNV = fnv64_sql("feature")
+
+
+@query(f"""WITH {_ASKED}, forms AS (SELECT {WHITE_FORM} AS norm, min(item_id) AS entry_id FROM (SELECT item_id, text FROM benchmark) b GROUP BY 1), q AS (SELECT a.id, a.norm, f.entry_id FROM (SELECT id, {WHITE_FORM} AS norm FROM asked) a LEFT JOIN forms f ON f.norm = a.norm),
+t AS (SELECT 'q' AS side, id, norm FROM q WHERE entry_id IS NULL UNION ALL SELECT 'e', entry_id, norm FROM forms),
+f AS (SELECT side, id, 'c:' || substr(norm, i, 2) AS feature FROM t, unnest(range(1, length(norm))) u(i) UNION ALL SELECT side, id, 'c:' || substr(norm, i, 3) FROM t, unnest(range(1, length(norm) - 1)) u(i)
+  UNION ALL SELECT side, id, 'w:' || w FROM (SELECT side, id, regexp_replace(regexp_replace(unnest(string_split(norm, ' ')), '^\\p{{P}}+', ''), '\\p{{P}}+$', '') AS w FROM t) x WHERE w <> ''),
+h AS (SELECT side, id, {_FNV} AS h FROM f), s AS (SELECT side, id, CAST(h % 512 AS BIGINT) AS bucket, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -1 ELSE 1 END) AS n FROM h GROUP BY 1, 2, 3),
+norms AS (SELECT side, id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS size FROM s GROUP BY 1, 2),
+sim AS (SELECT a.id, b.id AS entry_id, sum(CAST(a.n AS DOUBLE) * b.n) / any_value(x.size) / any_value(y.size) AS similarity FROM s a JOIN s b ON a.side = 'q' AND b.side = 'e' AND a.bucket = b.bucket JOIN norms x ON x.side = 'q' AND x.id = a.id JOIN norms y ON y.side = 'e' AND y.id = b.id GROUP BY 1, 2),
+best AS (SELECT id, arg_max(entry_id, similarity) AS entry_id, max(similarity) AS similarity FROM sim GROUP BY id),
+j AS (SELECT q.id, b.entry_id, CASE WHEN b.similarity >= 0.92 THEN levenshtein(q.norm, e.norm) END AS edits FROM q LEFT JOIN best b ON b.id = q.id LEFT JOIN forms e ON e.entry_id = b.entry_id WHERE q.entry_id IS NULL)
+SELECT id, entry_id, 'exact' AS outcome FROM q WHERE entry_id IS NOT NULL
+UNION ALL SELECT id, CASE WHEN edits <= 3 THEN entry_id END, CASE WHEN edits IS NULL THEN 'miss' WHEN edits <= 3 THEN 'near' ELSE 'near_rejected' END FROM j""")
+def cache_lookup_near(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    ways = (F.concat(F.lit("  "), F.replace(F.col("text"), F.lit(" "), F.lit("  "))), F.expr("substring(text, 3)"), F.concat("text", F.lit(" and once more")), F.reverse("text"))
+    asked = None
+    for k, way in enumerate(ways):
+        part = b.select((4 * F.col("item_id") + k).alias("id"), way.alias("text"))
+        asked = part if asked is None else asked.unionByName(part)
+    return ts.near_lookups(asked, b.select(F.col("item_id").alias("id"), "text"))
+
