@@ -106,7 +106,7 @@ def restore(core: str, model: CharModel) -> str:
                     state, total = (a, b), paid + price
                 if state not in step or total < step[state][0]:
                     step[state] = (total, text + letter)
-        best = dict(sorted(step.items(), key=lambda x: x[1][0])[:64])
+        best = step  # all states of the last two letters: at most CLASSES squared
     return min((paid + cost[a, b, 0], text) for (a, b), (paid, text) in best.items())[1]
 
 
@@ -116,9 +116,9 @@ def reading(word: str, model: CharModel) -> str:
     return restore(core, model) if core and disguised(core) else core.lower()
 
 
-_SINGLES = re.compile(r"(?<!\S)[^\W_](?:[ \t]+[^\W_]){3,}(?!\S)")
+_SINGLES = re.compile(r"(?<!\S)[^\W_](?:[ \t]+[^\W_]){2,}(?!\S)")
 
 
 def spaced_runs(text: str) -> list[str]:
-    """Runs of four and more single characters with white space between."""
+    """Runs of three and more single characters with white space between."""
     return [re.sub(r"[ \t]+", " ", m) for m in _SINGLES.findall(text)]

@@ -35,9 +35,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a local one only where the setting is absent."""
+    """Folder of ``spark.checkpoint.dir``; one of its own where the setting is absent and all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='opledger-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -122,5 +124,47 @@ def summed(parts: DataFrame, slices: int) -> list[bytes]:
     return out
 
 
+#: Rows of one key that one task joins, and frequent keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 1024, 200_000
+
+
+class Spread:
+    """Joins on a key of which some values may be very frequent.
+
+    Rows of a value with more than ``HOT_ROWS`` rows are dealt to parts, and what is
+    joined to them is copied to each part.  ``counts`` has the key and its rows; the
+    frequent values, at most one for ``HOT_ROWS`` rows, are broadcast.  Beyond
+    ``HOT_KEYS`` of them the join is a plain one, whose largest partitions are left to
+    Spark's own splitting.
+    """
+
+    def __init__(self, counts: DataFrame, key: str, n: str, most: int = HOT_ROWS):
+        self.key = key
+        hot = counts.filter(F.col(n) > most).select(key, (F.col(n) / most + 1).cast("int").alias("_parts")).limit(HOT_KEYS + 1)
+        found = hot.toArrow()
+        self.hot = F.broadcast(counts.sparkSession.createDataFrame(found, hot.schema)) if 0 < found.num_rows <= HOT_KEYS else None
+
+    def parts(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the number of parts of their key as ``_parts``."""
+        if self.hot is None:
+            return rows.withColumn("_parts", F.lit(1))
+        return rows.join(self.hot, self.key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    def join(self, rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+        if self.hot is None:
+            return rows.join(facts, self.key, how)
+        dealt = self.parts(rows).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int")).drop("_parts")
+        copied = self.parts(facts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        return dealt.join(copied, [self.key, "_part"], how).drop("_part")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, or the first with underscores before it, that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def task_index() -> int:
     return TaskContext.get().partitionId()

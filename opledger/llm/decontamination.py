@@ -186,7 +186,11 @@ def _in_blocks(rows: DataFrame, indexes: list) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns stay."""
+    """``docs`` without the documents that hold a benchmark window; all columns stay.
+
+    Null and empty texts stay, and so do all if the benchmark has no words.  Repeated
+    rows are judged each for itself; an empty table stays empty.
+    """
     at = docs.columns.index("text")
     for k, block in enumerate(_blocks(benchmark)):
         docs = _kept(materialised(docs) if k else docs, block, width, at)
@@ -201,3 +205,23 @@ def _kept(docs: DataFrame, block: list[tuple[str, str]], width: int, at: int) ->
         return lambda batch: batch.filter(pa.array([not index.find(words(t))[0] for t in texts(batch.column(at))], pa.bool_()))
 
     return map_batches(docs, docs.schema, start)
+
+
+def _oracle() -> str:
+    text = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {found.format(text.format("coalesce(text, '')"))} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({WINDOW}, len(w)) AS n FROM (SELECT item_id, {found.format(text.format("text"))} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM i, unnest(range(1, len(w) - n + 2)) u(k)),
+sizes AS (SELECT DISTINCT n FROM iw), dn AS (SELECT r, w, n FROM d CROSS JOIN sizes WHERE len(w) >= n),
+dw AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM dn, unnest(range(1, len(w) - n + 2)) u(k)),
+h AS (SELECT r, k, n, item FROM dw JOIN iw USING (n, g)),
+p AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM h) x GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) x GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+"""
+
+
+ORACLE = _oracle()

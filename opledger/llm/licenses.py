@@ -33,16 +33,31 @@ Permission is granted to anyone to use this software for any purpose, including
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-KNOWN = (
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+_TEXTS = (
     ("0BSD", f"{_GRANT}.\n{_ISC_END}"), ("Apache-2.0", _APACHE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", _BSD_START + _BSD_END), ("BSD-3-Clause", _BSD_START + _BSD_THIRD + _BSD_END), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("ISC", f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("MIT", "Released under the MIT License."), ("Zlib", _ZLIB),
+    ("0BSD", f"Zero-Clause BSD\n{_GRANT}.\n{_ISC_END}"), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_START + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_START + _BSD_THIRD + _BSD_END),
+    ("BSL-1.0", _BOOST), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BOOST), ("ISC", f"ISC License\n{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
+    ("Unlicense", _UNLICENSE), ("Zlib", "zlib License\n" + _ZLIB),
 )
+#: The texts, and the one-line tag of each licence.
+KNOWN = (*_TEXTS, *((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in _TEXTS})))
+#: Digests of known licences that are broadcast at most; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 #: Spellings and phrases that count as equal, as (found, kept), after lower-casing.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("authorised", "authorized"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("https://", "http://"),
-    ("licence", "license"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("per cent", "percent"), ("recognised", "recognized"), ("sub-licen", "sublicen"), ("and/or ", "and "), ("whilst", "while"),
+    ("licence", "license"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("per cent", "percent"), ("recognised", "recognized"), ("sub-licen", "sublicen"), ("whilst", "while"),
 )
 #: A line of which only marks stand before the word.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright (\(c\)|©|[0-9])|\(c\) |© ?|all rights reserved)[^\n]*"
@@ -83,9 +98,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     nothing but copyright lines and marks is that of the empty text, which no
     licence has.  ``license_id`` is null without a match; if a known digest is
     given twice the least id is taken.  Repeated rows come back each, null ids
-    stay null, other columns are not read.
+    stay null, other columns are not read.  An empty table gives no rows; texts of
+    any length are taken whole.
     """
-    digests = F.broadcast(known.groupBy("digest").agg(F.min("license_id").alias("license_id")))  # the list of known licences
+    digests = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        digests = F.broadcast(digests)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256).alias("digest"))
     return rows.join(digests, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("matched"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opledger.llm.common import bounded_batches, dropped, materialised, texts
+from opledger.llm.common import Spread, bounded_batches, dropped, free_name, materialised, texts
 from opledger.llm.components import components
 from opledger.llm.decontamination import words
 
@@ -172,8 +172,8 @@ def _nodes(keyed: DataFrame) -> DataFrame:
     return by_id.groupBy("node").agg(least, F.sum("n").alias("copies"), F.first("bands").alias("bands")).select("node", "least.doc_id", F.col("least.n").alias("rows"), "copies", "bands")
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """``(h, node, size)`` of buckets with two and more texts."""
+def _members(nodes: DataFrame) -> tuple[DataFrame, Spread]:
+    """``(h, node, size)`` of buckets with two and more texts, and the joins on ``h``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +181,11 @@ def _members(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], names=["h", "node"])
 
     rows = nodes.select("node", "bands").mapInArrow(spread, "h long, node binary")
-    sizes = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(sizes, "h")
+    sizes = materialised(rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"))
+    spread_h = Spread(sizes, "h", "size")
+    members = materialised(spread_h.join(rows, sizes))
+    dropped(sizes)
+    return members, spread_h
 
 
 def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -191,11 +194,12 @@ def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     A hub's text goes to each part of ``PER_HUB`` of its pairs; a part's texts
     pass through a task one after another behind the hub's.
     """
-    wide = pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("parts", (F.col("n") / PER_HUB).cast("int") + 1)
-    members = pairs.join(wide.select("hub", "parts"), "hub").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    by_hub = Spread(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hub", "n", PER_HUB)
+    members = by_hub.parts(pairs).withColumn("part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int")).drop("_parts")
     texts_of = candidates.select("node", "text")
     left = members.join(texts_of, members.a == texts_of.node).select("hub", "part", F.col("a"), "text")
-    heads = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts_of, F.col("hub") == F.col("node")).select("hub", "part", F.lit(None).cast("binary").alias("a"), "text")
+    wide = by_hub.parts(pairs.select("hub").distinct())
+    heads = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").join(texts_of, F.col("hub") == F.col("node")).select("hub", "part", F.lit(None).cast("binary").alias("a"), "text")
     laid = left.unionByName(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +218,7 @@ def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return laid.select("hub", "part", "a", "text").mapInArrow(run, "a binary, b binary")
 
 
-def _across(placed: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, nodes: DataFrame, candidates: DataFrame, spread_h: Spread) -> DataFrame:
     """Links ``(a, b)`` between components, of texts that share a bucket.
 
     ``placed`` has ``(h, node, root, out)`` of buckets whose members are not all in
@@ -226,7 +230,7 @@ def _across(placed: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataF
     """
     blocks = placed.groupBy("h").agg(F.count("*").alias("n"), F.count_if("out").alias("outs"))
     blocks = blocks.select("h", (F.col("n") / BLOCK).cast("int").alias("mb"), (F.col("outs") / BLOCK).cast("int").alias("ob"))
-    rows = placed.join(blocks, "h").withColumn("own", F.xxhash64("node"))
+    rows = spread_h.join(placed, blocks).withColumn("own", F.xxhash64("node"))
     every = lambda n: F.sequence(F.lit(0), F.col(n))
     as_out = rows.filter("out").withColumn("o", F.pmod("own", F.col("ob") + 1).cast("int")).withColumn("m", F.explode(every("mb"))).withColumn("member", F.lit(False))
     as_member = rows.withColumn("m", F.pmod("own", F.col("mb") + 1).cast("int")).withColumn("o", F.explode(every("ob"))).withColumn("member", F.lit(True))
@@ -279,24 +283,24 @@ def _picked(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and the components of the texts that have a near-duplicate."""
     nodes = materialised(_nodes(keyed))
-    members = materialised(_members(nodes))
+    members, spread_h = _members(nodes)
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
     heavy = members.select("h", "node").join(weight, "node").groupBy("h").agg(F.max(F.struct("w", "node")).alias("top")).select("h", F.col("top.node").alias("hub"))
-    pairs = members.select("h", F.col("node").alias("a")).join(heavy, "h").filter("a <> hub").select("a", "hub").distinct()
-    pairs = materialised(pairs)
+    heavy = materialised(heavy)
+    pairs = materialised(spread_h.join(members.select("h", F.col("node").alias("a")), heavy).filter("a <> hub").select("a", "hub").distinct())
     candidates = materialised(_picked(keyed, nodes, members.select("node").distinct()))
     links = materialised(_verified(pairs, candidates))
     roots = components(links)
 
     placed = members.select("h", "node").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
     hub_root = heavy.join(roots, heavy.hub == roots.node, "left").select("h", F.coalesce("root", "hub").alias("hub_root"))
-    apart = placed.join(hub_root, "h").withColumn("out", F.col("root") != F.col("hub_root"))
+    apart = spread_h.join(placed, hub_root).withColumn("out", F.col("root") != F.col("hub_root"))
     mixed = apart.filter("out").select("h").distinct()
-    left = materialised(apart.join(mixed, "h", "left_semi").select("h", "node", "root", "out"))
-    more = materialised(_across(left, nodes, candidates))
+    left = materialised(spread_h.join(apart, mixed, "left_semi").select("h", "node", "root", "out"))
+    more = materialised(_across(left, nodes, candidates, spread_h))
     all_links = materialised(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(more))
     out = components(all_links)
-    for t in (members, pairs, candidates, links, left, more, all_links):
+    for t in (members, heavy, pairs, candidates, links, left, more, all_links):
         dropped(t)
     return nodes, out
 
@@ -304,6 +308,9 @@ def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the class's least id) and ``class_texts`` (its different texts).
 
+    A table without rows gives none.  Texts of any length are taken whole, each in
+    one task's memory.
+
     Documents of equal text, and those whose texts are linked by similarities of
     0.8 and more, share a class.  A text without words (null, empty, no letters or
     digits) is like no other; its class is its own id.  Repeated rows come back
@@ -313,25 +320,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     nodes, roots = _classes(keyed)
     joined = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    per_class = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))
-    classes = joined.select("node", "root").join(per_class, "root").select("node", "class_id", "class_texts")
-    return keyed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.when(F.col("class_texts").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+    per_class = materialised(joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts")))
+    classes = Spread(per_class, "root", "class_texts").join(joined.select("node", "root"), per_class).select("node", "class_id", "class_texts")
+    copies = Spread(nodes, "node", "copies")
+    return copies.join(keyed.select("doc_id", "node"), classes, "left").select("doc_id", F.when(F.col("class_texts").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the least id's document of each class; all columns stay.
 
-    Rows that repeat the kept document are dropped too.  Texts without words stay.
+    Rows that repeat the kept document are dropped too.  Texts without words (null,
+    empty, blank) stay, and so does a table without rows.  Of documents with equal
+    ids, and of null ids alone, the one with the least text digest stays.
     """
     keyed = _keyed(docs)
     nodes, roots = _classes(keyed)
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("node"))).alias("best"), F.count("*").alias("texts"))
-    judged = joined.join(best, "root").filter("texts > 1 or copies > 1").select(F.col("node").alias("_node"), F.col("best.doc_id").alias("_least"), (F.col("best.node") == F.col("node")).alias("_kept"), F.col("rows").alias("_rows"))
+    best = materialised(joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("node"))).alias("best"), F.count("*").alias("texts")))
+    node_, least_, kept_, rows_ = (free_name(x, docs) for x in ("node", "least", "kept", "rows"))
+    judged = Spread(best, "root", "texts").join(joined, best).filter("texts > 1 or copies > 1").select(F.col("node").alias(node_), F.col("best.doc_id").alias(least_), (F.col("best.node") == F.col("node")).alias(kept_), F.col("rows").alias(rows_))
     judged = materialised(judged)
     keys = F.broadcast(judged) if judged.count() <= BROADCAST_KEYS else judged
     node = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))
-    marked = docs.join(keys, node == F.col("_node"), "left").filter(F.col("_kept").isNull() | (F.col("_kept") & docs["doc_id"].cast("long").eqNullSafe(F.col("_least"))))
-    if judged.filter("_rows > 1 and _kept").limit(1).count():
-        marked = marked.filter("_rows is null or _rows = 1").unionByName(marked.filter("_rows > 1").dropDuplicates(["_node"]))
-    return marked.select(*(marked[c] for c in docs.columns))
+    marked = docs.join(keys, node == F.col(node_), "left").filter(F.col(kept_).isNull() | (F.col(kept_) & F.col("doc_id").cast("long").eqNullSafe(F.col(least_))))
+    if judged.filter((F.col(rows_) > 1) & F.col(kept_)).limit(1).count():
+        marked = marked.filter(F.coalesce(rows_, F.lit(1)) == 1).unionByName(marked.filter(F.col(rows_) > 1).dropDuplicates([node_]))
+    return marked.select(*docs.columns)

@@ -100,7 +100,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     A null text has no words and is rejected, as an empty one is.  Repeated rows
     are judged each for itself; a null ``doc_id`` stays null; other columns are
-    not read; an empty table gives no rows.
+    not read; an empty table gives no rows.  A text of any length is judged whole.
     """
 
     def start():
@@ -118,7 +118,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents the rules reject; all columns stay."""
+    """``docs`` without the documents the rules reject; all columns stay.
+
+    Null and empty texts are rejected.  Repeated rows and rows without an id are judged
+    each for itself; an empty table stays empty; a text of any length is judged whole.
+    """
     at = docs.columns.index("text")
 
     def start():

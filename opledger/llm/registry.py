@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opledger.llm import licenses, urls
+from opledger.llm import decontamination, licenses, urls
 from opledger.llm.common import table
 from opledger.llm.decontamination import decontaminate
 from opledger.llm.extraction import extract_text
@@ -56,4 +56,4 @@ def op10_near_duplicates(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_html_extraction, op4_lm_scoring, op5_license_scan, op6_url_filter, op7_packing, op8_toxicity, op9_decontamination, op10_near_duplicates)}
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.ORACLE, "op6_url_filter": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.ORACLE, "op6_url_filter": urls.ORACLE, "op9_decontamination": decontamination.ORACLE}

@@ -243,7 +243,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5)
 
     Null and empty texts have no words and get the score of no evidence.  Repeated
     rows are scored each for itself; a null ``doc_id`` stays null and counts as the
-    empty text for the fold; other columns are not read.
+    empty text for the fold; other columns are not read.  An empty table gives no
+    rows; a text of any length is read whole; a score of exactly 0.5 is predicted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out_of=held_out_of))
 
@@ -261,7 +262,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5)
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, *, held_out_of: int = 5) -> DataFrame:
-    """``docs`` without the documents scored 0.5 or more; all columns stay."""
+    """``docs`` without the documents scored 0.5 or more; all columns stay.
+
+    Null and empty texts have the score of no evidence.  Repeated rows and rows without
+    an id are scored each for itself; an empty table stays empty, and without labels
+    nothing is known to be toxic; a text of any length is read whole.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out_of=held_out_of)), docs.columns.index("text")
 
     def start():

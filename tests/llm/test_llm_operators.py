@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opledger.llm import attention, channel, decontamination, kk, lm_scoring, near_duplicates, packing, quality_model, quality_rules, subwords, toxicity, urls, wrappers
-from opledger.llm import extraction, licenses, registry
+from opledger.llm import common, extraction, licenses, registry
 
 SF = "/root/testdata/sf0.001"
 #: Null, empty and very long texts, ties, repeated rows, null ids, and a column that operators use inside.
@@ -66,6 +66,8 @@ def test_filters_keep_columns_and_survive_odd_rows(odd, labels, benchmark):
     for keep in (quality_rules.keep_passing, lambda d: toxicity.keep_civil(d, labels), lambda d: decontamination.keep_uncontaminated(d, benchmark), near_duplicates.keep_one_of_each):
         out = keep(odd)
         assert out.columns == odd.columns and out.count() <= len(ODD)
+    clash = odd.withColumns({c: F.lit(1) for c in ("_kept", "kept", "least", "rows", "root", "h", "size", "_part", "_parts")})
+    assert near_duplicates.keep_one_of_each(clash).columns == clash.columns
     kept = near_duplicates.keep_one_of_each(odd).filter("text = 'one two three'").collect()
     assert [r.doc_id for r in kept] == [4]
 
@@ -481,6 +483,34 @@ def test_disguised_words_are_read(docs):
     assert channel.spaced_runs("so i d i o t here") == ["i d i o t"] and channel.reading("i d i o t", model) == "idiot"
 
 
+def test_restoring_equals_a_search_of_all_readings(docs):
+    """Lattices of neighbouring masks, look-alikes, separators and repeats against every path."""
+    from itertools import product
+
+    text = "\n".join(r.text or "" for r in docs.collect()) + " stupid idiot moron trash" * 5
+    model = channel.CharModel(channel.CharModel.counts(text.encode()))
+
+    def dearest(core):
+        best = (math.inf, "")
+        for path in product(*channel._choices(core)):
+            letters = "".join(x for x, _ in path)
+            c = [0, 0, *(int(channel.CLASS_OF[x.encode()[0]]) for x in letters), 0]
+            cost = sum(p for _, p in path) + sum(model.cost[a, b, d] for a, b, d in zip(c, c[1:], c[2:], strict=False))
+            best = min(best, (cost, letters))
+        return best[0]
+
+    def price(core, reading):
+        return min(
+            sum(p for _, p in path) + sum(model.cost[a, b, d] for a, b, d in zip(c, c[1:], c[2:], strict=False))
+            for path in product(*channel._choices(core)) if "".join(x for x, _ in path) == reading
+            for c in [[0, 0, *(int(channel.CLASS_OF[x.encode()[0]]) for x in reading), 0]]
+        )
+
+    for core in ("ache**in", "id**t", "m0r**n", "s.t.u.p.1.d", "idiiiot", "tr@@sh", "1d1*t", "st*p*d", "a b c", "l00seer"):
+        assert math.isclose(price(core, channel.restore(core, model)), dearest(core), rel_tol=1e-9), core
+    assert channel.spaced_runs("it is b a d now") == ["b a d"]
+
+
 def test_toxicity_holds_out_and_finds(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -529,6 +559,23 @@ def test_leaks_equal_brute_force(spark, benchmark, monkeypatch):
 # 10: near-duplicates
 
 
+def test_frequent_keys_join_in_parts(spark):
+    rows = spark.range(5000).select((F.when(F.col("id") < 4000, 1).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    spread = common.Spread(facts, "k", "n", 100)
+    assert spread.hot is not None and sorted(spread.join(rows, facts).collect()) == sorted(rows.join(facts, "k").collect())
+    assert sorted(spread.join(rows, facts.filter("k = 1"), "left_semi").collect()) == sorted(rows.filter("k = 1").collect())
+    assert common.Spread(facts, "k", "n", 10_000).hot is None
+
+
+def test_classes_survive_frequent_buckets_and_roots(spark, monkeypatch):
+    monkeypatch.setattr(common.Spread.__init__, "__defaults__", (5,))
+    words_ = [f"w{k}" for k in range(60)]
+    near = [(k, " ".join(words_[:50] + [f"x{k}"])) for k in range(40)] + [(100 + k, " ".join(f"y{k}z{j}" for j in range(30))) for k in range(10)] + [(200 + k, "a copy of many words in one text") for k in range(20)]
+    got = {r.doc_id: (r.class_id, r.class_texts) for r in near_duplicates.near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).collect()}
+    assert all(got[k] == (0, 40) for k in range(40)) and all(got[100 + k] == (100 + k, 1) for k in range(10)) and all(got[200 + k] == (200, 1) for k in range(20))
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     error = []
@@ -576,3 +623,21 @@ def test_classes_equal_brute_force(spark):
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(table).collect()}
     assert got == {i: find(i) for i, _ in rows}
     assert {r.doc_id for r in near_duplicates.keep_one_of_each(table).collect()} == set(got.values())
+
+
+def test_near_copies_of_the_given_documents_are_found(spark):
+    """Recall of pairs against every pair that shares a shingle, on all documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shingles, by_text = near_duplicates.Shingles(), {}
+    for r in docs.collect():
+        by_text.setdefault(r.text or "", r.doc_id)
+    rows = [(i, shingles(t)) for t, i in by_text.items()]
+    holders = collections.defaultdict(list)
+    for k, (_, (s, _)) in enumerate(rows):
+        for x in s.tolist():
+            holders[x].append(k)
+    met = {(a, b) for ks in holders.values() if len(ks) > 1 for i, a in enumerate(ks) for b in ks[i + 1 :]}
+    pairs = [(rows[a][0], rows[b][0]) for a, b in met if near_duplicates.similarity(rows[a][1], rows[b][1]) >= near_duplicates.SIMILARITY]
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert pairs and found >= 0.99 * len(pairs)
