@@ -40,7 +40,7 @@ BROADCAST_KEYS = 200_000
 #: Members compared with one copy of their hub's text.
 PER_HUB = 256
 #: Members, and members outside the hub's component, of a bucket that one task holds against each other.
-BLOCK = 1024
+BLOCK = 512
 CACHE_WORDS = 300_000
 
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
