@@ -17,6 +17,7 @@ how they lie in partitions.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -56,10 +57,12 @@ def words(text: bytes) -> list[bytes]:
 def flat_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts one after another, and how many each text has; null is the empty text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
-    flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    flat, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
     there = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end of a text makes an empty one
-    owner = np.repeat(np.arange(len(column)), ends)[there.to_numpy(zero_copy_only=False)]
-    return flat.filter(there).cast(pa.binary()), np.bincount(owner, minlength=len(column))
+    if not pc.all(there, min_count=0).as_py():
+        owner = np.repeat(np.arange(len(column)), n)[there.to_numpy(zero_copy_only=False)]
+        flat, n = flat.filter(there), np.bincount(owner, minlength=len(column))
+    return flat.cast(pa.binary()), n.astype(np.int64)
 
 
 class Subwords:
@@ -266,6 +269,17 @@ class Known:
         return out
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """What ``make`` made for the key in this worker process, so that its tasks share the words they meet; one key at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def numbered(known: Known, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of several texts, the empty word as each one's end, and how many each has."""
     flat, n = flat_words(some)
@@ -438,11 +452,11 @@ def _trained(seen: DataFrame, tokens: int, path: str, lexicon, flat: np.ndarray)
     shares = max(round(tokens / SHARE_WORDS), 1)
     passes = max(-(-LEAST_STEPS * STEP_WINDOWS * net.SCORED // max(tokens // shares, 1)), 1)
     rows = seen.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int").alias("share"), F.xxhash64(F.lit("order"), "doc_id", "text").alias("place"))
-    low, high, k = 0, 1, 0
+    low, high, k, key = 0, 1, 0, uuid.uuid4().hex
     while tokens and low < shares:
         high = min(high, shares)
         mine = rows.filter((F.col("share") >= low) & (F.col("share") < high)).repartitionById(high - low, F.col("share") - low).sortWithinPartitions("share", "place")
-        total = _dense(mine.mapInArrow(_learn(path, lexicon, flat, RATE * SLOWER**k, passes, tokens // shares), "slice int, vec binary"), net.SIZE + 1, 4)
+        total = _dense(mine.mapInArrow(_learn(path, lexicon, key, flat, RATE * SLOWER**k, passes, tokens // shares), "slice int, vec binary"), net.SIZE + 1, 4)
         if total[-1]:
             flat = (total[:-1] / (total[-1] * POINT)).astype(np.float32)
         low, high, k = high, 4 * high, k + 1
@@ -453,13 +467,13 @@ def _trained(seen: DataFrame, tokens: int, path: str, lexicon, flat: np.ndarray)
 POINT = 1 << 24
 
 
-def _learn(path: str, lexicon, flat: np.ndarray, rate: float, passes: int, expected: int):
+def _learn(path: str, lexicon, key: str, flat: np.ndarray, rate: float, passes: int, expected: int):
     """Batch function over ``(text, share)`` sorted by share: trains each share from ``flat``, and adds up the results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net.keep_memory()
         encode, total = subwords(path), np.zeros(net.SIZE + 1)
-        known = Known(lambda ws: lexicon.value.described(encode, ws)[:2])
+        known = kept(key, lambda: Known(lambda ws: lexicon.value.described(encode, ws)[:2]))
 
         def finish(trainer: net.Trainer | None, held: list[pa.Array], rng) -> None:
             if trainer is None:
@@ -516,12 +530,12 @@ def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None
     bounded_batches(spark)
     model, counts = train(docs, held_out_of=held_out_of, tokenizer=tokenizer)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net.keep_memory()
-        m, encode, uid = shared.value, subwords(path), task_index() << 36
-        scorer = Scorer(m, encode)
+        uid = task_index() << 36
+        scorer = kept(key, lambda: Scorer(shared.value, subwords(path)))
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
             for some in parts(batch.column(1)):
