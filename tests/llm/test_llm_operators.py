@@ -391,7 +391,7 @@ def test_gradients_equal_differences(monkeypatch):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     found = con.execute(registry.ORACLE_SQL[name])
