@@ -33,10 +33,15 @@ def test_pipeline_counters_at_an_exact_refill(spark, exact):
     assert got == want == [("routed", 6)]
 
 
+def test_pipeline_outcomes_at_an_exact_refill(spark, exact):
+    got, want = both(spark, exact, "gw_pipeline_outcomes")
+    assert got == want and len(got) == 6
+
+
 @pytest.fixture
 def late_broadcast(spark):
     """Joins are planned as sorted ones, and turn into broadcasts of their small sides while they run, as at size."""
-    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2KB"}
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
