@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -65,6 +64,11 @@ def flat_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.cast(pa.binary()), n.astype(np.int64)
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column without nulls; ``to_pylist`` makes a scalar of each first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Subwords:
     """Lossless byte-level ids of lower-case words, each with the space before it."""
 
@@ -284,7 +288,7 @@ def numbered(known: Known, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of several texts, the empty word as each one's end, and how many each has."""
     flat, n = flat_words(some)
     coded = flat.dictionary_encode()
-    number = known.numbers([*coded.dictionary.to_pylist(), b""])
+    number = known.numbers([*values(coded.dictionary), b""])
     ends = np.cumsum(n + 1) - 1
     out = np.empty(len(flat) + len(n), dtype=np.int64)
     inside = np.ones(len(out), dtype=bool)
@@ -316,16 +320,17 @@ def _word_counts(train: DataFrame) -> DataFrame:
     """``(word, n)`` over the training texts; the empty word is the end token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[bytes, int] = {}
+        before = seen.get
 
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             met = pc.value_counts(flat_words(batch.column(0))[0])
-            for word, n in zip(met.field(0).to_pylist(), met.field(1).to_pylist(), strict=True):
-                seen[word] += n
-            seen[b""] += batch.num_rows
+            for word, n in zip(values(met.field(0)), values(met.field(1)), strict=True):
+                seen[word] = before(word, 0) + n
+            seen[b""] = before(b"", 0) + batch.num_rows
             if len(seen) > COUNT_WORDS:
                 yield batch_of()
                 seen.clear()
@@ -377,7 +382,7 @@ def _with_tokenizer(path: str, step):
         encode, total, ws, counts = subwords(path), None, [], []
         for batch in chain(batches, [None]):
             if batch is not None:
-                ws += batch.column(0).to_pylist()
+                ws += values(batch.column(0))
                 counts.append(batch.column(1).to_numpy().astype(np.float64))
             if ws and (batch is None or len(ws) > 50_000):  # a step makes arrays of the sum's size
                 n = np.concatenate(counts)
