@@ -45,6 +45,8 @@ UNITS = UNITS_ALONE + UNIT_GROUPS
 #: Words held by a task; words counted before they leave it; slices of a sum.
 CACHE_WORDS, COUNT_WORDS, SLICES = 300_000, 400_000, 64
 END = 50_256
+#: Rows behind those of the known words, for nothing and for the start mark.
+SPARE_ROWS = 2
 
 SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, share: double, rest: double>>"
 
@@ -235,16 +237,19 @@ class LanguageModel:
 
 
 class Known:
-    """Numbers of the words met, with rows of arrays that ``describe`` makes for new ones; full, it starts afresh."""
+    """Numbers of the words met, with rows of arrays that ``describe`` makes for new ones; full, it starts afresh.
+
+    Behind the words' rows are ``SPARE_ROWS`` that a caller may fill until the next call.
+    """
 
     def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = CACHE_WORDS):
         self.describe, self.limit = describe, limit
+        self.rows: list[np.ndarray] = []
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.named: list[bytes] = []
-        self.rows: list[np.ndarray] = []
 
     def _learn(self, ws: list[bytes]) -> None:
         if self.named and len(self.named) + len(ws) > self.limit:
@@ -252,8 +257,14 @@ class Known:
         made, at = self.describe(ws), len(self.named)
         if not self.rows:
             self.rows = [np.empty((1 << 12, *m.shape[1:]), dtype=m.dtype) for m in made]
-        while at + len(ws) > len(self.rows[0]):
-            self.rows = [np.concatenate([r, np.empty_like(r)]) for r in self.rows]
+        need, room = at + len(ws) + SPARE_ROWS, len(self.rows[0])
+        if need > room:  # the rows made new stay untouched, and so without memory, until they are used
+            while need > room:
+                room *= 2
+            held, self.rows = self.rows, []
+            for k, r in enumerate(held):
+                self.rows.append(np.empty((room, *r.shape[1:]), dtype=r.dtype))
+                self.rows[k][:at] = r[:at]
         for r, m in zip(self.rows, made, strict=True):
             r[at : at + len(ws)] = m
         self.number.update(zip(ws, range(at, at + len(ws)), strict=True))
@@ -513,12 +524,13 @@ def _steps(trainer: net.Trainer, known: Known, some: pa.Array, rate: float, rng:
     numbers, n = numbered(known, some)
     features, classes = known.rows
     read, score = laid_out(n)
-    table = np.concatenate([features[: len(known.named)], np.eye(2, net.FEATURES, net.ABSENT, dtype=np.float32)])  # two more rows: nothing and the mark
-    place = np.where(read >= 0, numbers[np.maximum(read, 0)], len(table) + read)
+    end = len(known.named) + SPARE_ROWS
+    features[end - SPARE_ROWS : end] = np.eye(SPARE_ROWS, net.FEATURES, net.ABSENT, dtype=np.float32)  # nothing and the mark
+    place = np.where(read >= 0, numbers[np.maximum(read, 0)], end + read)
     target = np.where(score >= 0, classes[numbers[np.maximum(score, 0)]], -1)
     for rows in np.array_split(rng.permutation(len(place)), -(-len(place) // STEP_WINDOWS)):
         done = min(trainer.t * STEP_WINDOWS * net.SCORED / max(expected, 1), 1.0)
-        trainer.step(table[place[rows]], target[rows], rate * (1 - 0.8 * done))
+        trainer.step(features[place[rows]], target[rows], rate * (1 - 0.8 * done))
 
 
 def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = None) -> DataFrame:
@@ -597,7 +609,7 @@ class Scorer:
         """Natural logs of each token's class probability, and of what all classes leave to the chain there."""
         read, score = laid_out(n)
         x = np.empty((*read.shape, net.WIDTH), dtype=np.float32)
-        x[:] = vectors[numbers[np.maximum(read, 0)]]
+        np.take(vectors, numbers[np.maximum(read, 0)], axis=0, out=x, mode="clip")  # the other modes make a copy of x
         x[read == -2], x[read == -1] = self.marks
         target = np.where(score >= 0, classes[numbers[np.maximum(score, 0)]], -1)
         return self.net.log_probabilities(x, target, self.left)

@@ -1,7 +1,11 @@
-"""Words read from Arrow columns."""
+"""Words read from Arrow columns, and rows of the words met."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
+from opledger.llm import attention as net
 from opledger.llm import lm_scoring as lm
 
 
@@ -10,3 +14,25 @@ def test_values_equal_the_scalars_of_a_column():
     for column in (words, words.slice(1, 2), words.slice(4), pa.array([3, 1 << 40], pa.int64())):
         assert lm.values(column) == column.to_pylist()
         assert all(type(v) in (bytes, int) for v in lm.values(column))
+
+
+def test_training_makes_no_copy_of_the_known_words_rows():
+    known = lm.Known(lambda ws: (np.ones((len(ws), net.FEATURES), np.float32), np.zeros(len(ws), np.int32)))
+    known.numbers([b"w%d" % k for k in range(100_000)])
+    trainer = net.Trainer(net.initial(np.full(net.CLASSES, 1 / net.CLASSES)))
+    tracemalloc.start()
+    lm._steps(trainer, known, pa.array(["w1 w2 new"]), 0.01, np.random.default_rng(1), 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert trainer.t == 1 and most < known.rows[0].nbytes / 4
+
+
+def test_known_words_keep_their_rows_beside_spare_ones_and_when_full():
+    known = lm.Known(lambda ws: (np.array([[int(w)] for w in ws], dtype=np.float32),), limit=6000)
+    for low in (0, 4094, 4095, 3000, 9000):  # at the first rows' end, over it, and beyond the limit
+        asked = [b"%d" % k for k in range(low, low + 1500)]
+        at = known.numbers(asked)
+        assert known.rows[0][at, 0].tolist() == [float(w) for w in asked]
+        end = len(known.named)
+        known.rows[0][end : end + lm.SPARE_ROWS] = -1
+        assert len(known.rows[0]) >= end + lm.SPARE_ROWS and known.rows[0][at, 0].min() >= 0
