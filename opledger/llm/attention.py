@@ -82,8 +82,9 @@ class Model:
     def hidden(self, x: np.ndarray, keep: bool = False):
         """Features of the scored positions of windows with position vectors ``x``, a one behind them."""
         p, n = self.p, len(x)
-        kv = np.ones((n, LENGTH, 2 * WIDTH + 1), dtype=np.float32)  # the last column adds up the weights
+        kv = np.empty((n, LENGTH, 2 * WIDTH + 1), dtype=np.float32)
         kv[:, :, : 2 * WIDTH] = (x.reshape(-1, WIDTH) @ p["wkv"]).reshape(n, LENGTH, 2 * WIDTH)
+        kv[:, :, 2 * WIDTH] = 1  # adds up the weights
         k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
         xs = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
         q = (xs @ self.wq).reshape(n, SCORED, WIDTH)
@@ -98,8 +99,7 @@ class Model:
         np.add(xs, c @ p["wo"], out=h[:, :WIDTH])
         if not keep:
             return h
-        a /= total.reshape(n, SCORED, 1)
-        return h, xs, q, k, v[:, :, :WIDTH], a, c
+        return h, xs, q, k, v, a, total, c
 
     def log_probabilities(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs for each place with a target (not below 0), windows in order.
@@ -111,7 +111,7 @@ class Model:
         for at in range(0, len(x), BATCH):
             t = target[at : at + BATCH].ravel()
             there = np.flatnonzero(t >= 0)
-            z = link(self.hidden(x[at : at + BATCH])[there] @ self.out)
+            z = link(self.hidden(x[at : at + BATCH]).take(there, axis=0) @ self.out)
             total = z @ each
             log = np.log(total[:, 0])
             won.append(np.log(z[np.arange(len(z)), t[there]]) - log)
@@ -127,24 +127,26 @@ def gradient(flat: np.ndarray, features: np.ndarray, target: np.ndarray) -> np.n
     model, n = Model(flat), len(features)
     p, features = model.p, features.reshape(-1, FEATURES)
     x = (features @ p["emb"]).reshape(n, LENGTH, WIDTH)
-    h, xs, q, k, v, a, c = model.hidden(x, keep=True)
+    h, xs, q, k, v, a, total, c = model.hidden(x, keep=True)
     t = target.ravel()
-    there = np.flatnonzero(t >= 0)
-    hs, t, of = h[there], t[there], np.arange(len(there))
-    z = link(hs @ model.out)
-    z *= (1 / ((z @ np.ones(CLASSES, dtype=np.float32)) * max(len(z), 1)))[:, None]
-    z[of, t] -= np.float32(1 / max(len(z), 1))
+    there = t >= 0
+    z = link(h @ model.out)
+    all_z = z @ np.ones(CLASSES, dtype=np.float32)
+    z.reshape(-1)[np.arange(0, z.size, CLASSES) + np.maximum(t, 0)] -= all_z
+    share = (there / (all_z * np.float32(max(np.count_nonzero(there), 1))))[:, None]  # each row of z times its share is its slope
     flat_g = np.zeros(SIZE, dtype=np.float32)
     g = unpacked(flat_g)
-    g["out"][:] = hs.T @ z
-    dh = np.zeros((len(h), WIDTH), dtype=np.float32)
-    dh[there] = z @ p["out"][:-1].T
+    g["out"][:] = (z.T @ (h * share)).T
+    dh = z @ p["out"][:-1].T
+    dh *= share
     g["wo"][:] = c.T @ dh
-    dc = (dh @ p["wo"].T).reshape(n, SCORED, WIDTH)
+    dc = np.empty((len(h), WIDTH + 1), dtype=np.float32)  # by the sum of weights; the last column meets that of v
+    np.divide(dh @ p["wo"].T, total, out=dc[:, :WIDTH])
+    np.negative(np.einsum("rw,rw->r", dc[:, :WIDTH], c), out=dc[:, WIDTH])
+    dc = dc.reshape(n, SCORED, WIDTH + 1)
     dkv = np.empty((n, LENGTH, 2 * WIDTH), dtype=np.float32)
-    dkv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), dc)
+    dkv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), dc[:, :, :WIDTH])
     ds = np.matmul(dc, v.transpose(0, 2, 1))
-    ds -= np.einsum("rw,rw->r", dc.reshape(-1, WIDTH), c).reshape(n, SCORED, 1)
     ds *= a
     g["far"][:] = np.bincount(_FAR.ravel(), weights=ds.sum(0).ravel(), minlength=LENGTH)
     dq = np.matmul(ds, k).reshape(-1, WIDTH)

@@ -42,8 +42,8 @@ LEAST_STEPS = 500
 #: Units of the spelling chain: frequent subwords alone, the others in groups.
 UNITS_ALONE, UNIT_GROUPS = 1024, 64
 UNITS = UNITS_ALONE + UNIT_GROUPS
-#: Words held by a task; words counted before they leave it; slices of a sum.
-CACHE_WORDS, COUNT_WORDS, SLICES = 300_000, 400_000, 64
+#: Words held by a task; words counted before they leave it, and bytes of counts held; slices of a sum.
+CACHE_WORDS, COUNT_WORDS, COUNT_BYTES, SLICES = 300_000, 400_000, 1 << 26, 64
 END = 50_256
 #: Rows behind those of the known words, for nothing and for the start mark.
 SPARE_ROWS = 2
@@ -79,7 +79,7 @@ class Subwords:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy  # with no special tokens
         self.names = sorted(ranks, key=ranks.get)
         self.first = np.array([n.startswith(b" ") for n in self.names])
 
@@ -89,11 +89,11 @@ class Subwords:
             at = ws.index(b"")
             ids, count = self(ws[:at] + ws[at + 1 :])
             return np.insert(ids, int(count[:at].sum()), END), np.insert(count, at, 1)
-        ids = np.array(self.encode((b" " + b" ".join(ws)).decode("utf-8", "replace")) if ws else [], dtype=np.int64)
+        ids = self.encode((b" " + b" ".join(ws)).decode("utf-8", "replace")).astype(np.int64) if ws else np.zeros(0, dtype=np.int64)
         begin = np.flatnonzero(self.first[ids]) if len(ids) else ids
         if len(begin) != len(ws):
             each = [self.encode(" " + w.decode("utf-8", "replace")) for w in ws]
-            return np.array([i for x in each for i in x], dtype=np.int64), np.array([len(x) for x in each], dtype=np.int64)
+            return np.concatenate(each).astype(np.int64), np.array([len(x) for x in each], dtype=np.int64)
         return ids, np.diff(begin, append=len(ids))
 
 
@@ -168,7 +168,7 @@ class Lexicon:
             step = self.units.log_share[ids]
             step[at] += self.log_next[unit[at], unit[at + 1]]
             log_chain[some] = np.add.reduceat(step, begin) + self.log_first[unit[begin]] + self.log_end[unit[last]]
-            total = np.add.reduceat(self.vector[unit], begin, axis=0)
+            total = np.add.reduceat(self.vector.take(unit, axis=0), begin, axis=0)
             mine = np.zeros((len(some), net.FEATURES), dtype=np.float32)
             mine[:, net.KNOWN : net.KNOWN + net.SPECTRAL] = total
             known = np.flatnonzero(unit < net.KNOWN)
@@ -176,9 +176,8 @@ class Lexicon:
             features[some] = mine / np.sqrt(count, dtype=np.float32)[:, None]
             direction = total / (np.sqrt((total * total).sum(1, keepdims=True)) + 1e-6)
             classes[some] = net.ALONE + (direction @ self.centre.T - 0.5 * (self.centre**2).sum(1)).argmax(1)
-        for k, w in enumerate(ws):
-            if w in self.alone:
-                classes[k] = self.alone[w]
+        for k in [k for k, w in enumerate(ws) if w in self.alone]:
+            classes[k] = self.alone[ws[k]]
         return features, classes, log_chain
 
 
@@ -237,23 +236,34 @@ class LanguageModel:
 
 
 class Known:
-    """Numbers of the words met, with rows of arrays that ``describe`` makes for new ones; full, it starts afresh.
+    """Numbers of the words met, with rows of arrays that ``describe`` makes for new ones; full, it keeps those asked for most.
 
     Behind the words' rows are ``SPARE_ROWS`` that a caller may fill until the next call.
     """
 
     def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = CACHE_WORDS):
         self.describe, self.limit = describe, limit
-        self.rows: list[np.ndarray] = []
-        self._clear()
-
-    def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.named: list[bytes] = []
+        self.rows: list[np.ndarray] = []
+        self.uses = np.zeros(0, dtype=np.int32)
+
+    def _forget(self, new: int) -> None:
+        """Keep the words that several calls asked for, half the limit and room for new ones at most; what was long ago counts less each time."""
+        most = max(min(self.limit // 2, self.limit - new), 0)
+        uses = self.uses[: len(self.named)]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[:most]])
+        self.named = [self.named[k] for k in keep.tolist()]
+        self.number = dict(zip(self.named, range(len(keep)), strict=True))
+        for r in (*self.rows, self.uses):
+            for at in range(0, len(keep), 1 << 12):  # no row moves up, so in parts none is lost
+                some = keep[at : at + (1 << 12)]
+                r[at : at + len(some)] = r.take(some, axis=0)
+        self.uses[: len(keep)] >>= 1
 
     def _learn(self, ws: list[bytes]) -> None:
-        if self.named and len(self.named) + len(ws) > self.limit:
-            self._clear()
         made, at = self.describe(ws), len(self.named)
         if not self.rows:
             self.rows = [np.empty((1 << 12, *m.shape[1:]), dtype=m.dtype) for m in made]
@@ -265,24 +275,31 @@ class Known:
             for k, r in enumerate(held):
                 self.rows.append(np.empty((room, *r.shape[1:]), dtype=r.dtype))
                 self.rows[k][:at] = r[:at]
+        if len(self.uses) < room:
+            self.uses = np.pad(self.uses, (0, room - len(self.uses)))
         for r, m in zip(self.rows, made, strict=True):
             r[at : at + len(ws)] = m
+        self.uses[at : at + len(ws)] = 1
         self.number.update(zip(ws, range(at, at + len(ws)), strict=True))
         self.named += ws
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         """Number of each of some different words; all are valid until the next call."""
-        out = np.fromiter(map(self.number.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
-        missed = np.flatnonzero(out < 0).tolist()
+        out, missed = self._found(ws)
+        self.uses[out[out >= 0]] += 1
+        if missed and self.named and len(self.named) + len(missed) > self.limit:
+            self._forget(len(missed))
+            out, missed = self._found(ws)  # some of the words may have gone
         if missed:
             before = len(self.named)
             self._learn([ws[k] for k in missed])
-            if len(self.named) < before + len(missed):  # started afresh: the other words went
-                self._learn([w for w in ws if w not in self.number])
-                return np.fromiter(map(self.number.__getitem__, ws), dtype=np.int64, count=len(ws))
             out[missed] = np.arange(before, before + len(missed))
         return out
 
+    def _found(self, ws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        out = np.fromiter(map(self.number.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
+        return out, np.flatnonzero(out < 0).tolist()
+
 
 _KEPT: dict[str, object] = {}
 
@@ -304,7 +321,7 @@ def numbered(known: Known, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(len(flat) + len(n), dtype=np.int64)
     inside = np.ones(len(out), dtype=bool)
     inside[ends] = False
-    out[inside], out[ends] = number[coded.indices.to_numpy()], number[-1]
+    out[inside], out[ends] = number.take(coded.indices.to_numpy()), number[-1]
     return out, n + 1
 
 
@@ -327,26 +344,36 @@ def laid_out(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return read[starts[:, None] + np.arange(net.LENGTH)], score.reshape(-1, net.SCORED)
 
 
+def _counts(words: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words, n], ["word", "n"])
+
+
+def _added(counts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The counts with each word once."""
+    coded = pa.concat_arrays([x.column(0) for x in counts]).dictionary_encode()
+    total = np.zeros(len(coded.dictionary), dtype=np.int64)
+    np.add.at(total, coded.indices.to_numpy(), np.concatenate([x.column(1).to_numpy() for x in counts]))
+    return _counts(coded.dictionary, pa.array(total))
+
+
 def _word_counts(train: DataFrame) -> DataFrame:
     """``(word, n)`` over the training texts; the empty word is the end token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        before = seen.get
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             met = pc.value_counts(flat_words(batch.column(0))[0])
-            for word, n in zip(values(met.field(0)), values(met.field(1)), strict=True):
-                seen[word] = before(word, 0) + n
-            seen[b""] = before(b"", 0) + batch.num_rows
-            if len(seen) > COUNT_WORDS:
-                yield batch_of()
-                seen.clear()
-        if seen:
-            yield batch_of()
+            new = [_counts(met.field(0), met.field(1)), _counts(pa.array([b""], pa.binary()), pa.array([batch.num_rows], pa.int64()))]
+            if held and sum(x.nbytes for x in [*held, *new]) > COUNT_BYTES:
+                yield _added(held)
+                held = []
+            held += new
+            if sum(x.num_rows for x in held) > 2 * COUNT_WORDS:
+                held = [_added(held)]
+                if held[0].num_rows > COUNT_WORDS:
+                    yield held.pop()
+        if held:
+            yield _added(held)
 
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -526,11 +553,11 @@ def _steps(trainer: net.Trainer, known: Known, some: pa.Array, rate: float, rng:
     read, score = laid_out(n)
     end = len(known.named) + SPARE_ROWS
     features[end - SPARE_ROWS : end] = np.eye(SPARE_ROWS, net.FEATURES, net.ABSENT, dtype=np.float32)  # nothing and the mark
-    place = np.where(read >= 0, numbers[np.maximum(read, 0)], end + read)
-    target = np.where(score >= 0, classes[numbers[np.maximum(score, 0)]], -1)
+    place = np.where(read >= 0, numbers.take(np.maximum(read, 0)), end + read)
+    target = np.where(score >= 0, classes.take(numbers.take(np.maximum(score, 0))), -1)
     for rows in np.array_split(rng.permutation(len(place)), -(-len(place) // STEP_WINDOWS)):
         done = min(trainer.t * STEP_WINDOWS * net.SCORED / max(expected, 1), 1.0)
-        trainer.step(features[place[rows]], target[rows], rate * (1 - 0.8 * done))
+        trainer.step(features.take(place[rows], axis=0), target[rows], rate * (1 - 0.8 * done))
 
 
 def score_texts(docs: DataFrame, *, held_out_of: int = 10, tokenizer: str | None = None) -> DataFrame:
@@ -584,7 +611,7 @@ class Scorer:
 
         def describe(ws: list[bytes]) -> tuple[np.ndarray, ...]:
             features, classes, log_chain = m.lexicon.described(encode, ws)
-            count = np.array([m.head.get(w, -1) for w in ws], dtype=np.int64)
+            count = np.fromiter(map(m.head.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
             share = np.maximum(count - taken[classes], 0) / tokens[classes]
             return features @ emb, classes, np.exp(log_chain), count, np.where(count >= 0, share, 1 / tokens[classes]), m.log10_unigram(np.maximum(count, 0))
 
@@ -595,9 +622,9 @@ class Scorer:
         numbers, n = numbered(self.known, some)
         vectors, classes, spelling, counts, shares, unigram = self.known.rows
         log_class, log_left = self.of_classes(vectors, classes, numbers, n)
-        of_class, rest, inside = np.exp(log_class, dtype=np.float64) * shares[numbers], np.exp(log_left, dtype=np.float64) * spelling[numbers], counts[numbers] >= 0
+        of_class, rest, inside = np.exp(log_class, dtype=np.float64) * shares.take(numbers), np.exp(log_left, dtype=np.float64) * spelling.take(numbers), counts.take(numbers) >= 0
         owner = np.repeat(np.arange(len(some)), n)
-        base = np.bincount(owner, weights=np.where(inside, unigram[numbers], 0), minlength=len(some))
+        base = np.bincount(owner, weights=np.where(inside, unigram.take(numbers), 0), minlength=len(some))
         known = np.bincount(owner[inside], minlength=len(some))
         score = np.bincount(owner, weights=np.where(inside, np.log10(of_class + rest + 1e-300), 0), minlength=len(some))
         out = np.flatnonzero(~inside)
@@ -611,5 +638,5 @@ class Scorer:
         x = np.empty((*read.shape, net.WIDTH), dtype=np.float32)
         np.take(vectors, numbers[np.maximum(read, 0)], axis=0, out=x, mode="clip")  # the other modes make a copy of x
         x[read == -2], x[read == -1] = self.marks
-        target = np.where(score >= 0, classes[numbers[np.maximum(score, 0)]], -1)
+        target = np.where(score >= 0, classes.take(numbers.take(np.maximum(score, 0))), -1)
         return self.net.log_probabilities(x, target, self.left)
